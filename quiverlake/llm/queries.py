@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, line_dedup, lm, quality, secrets, simhash
+from . import ann, bpe, chat, decontaminate, line_dedup, lm, passages, quality, secrets, simhash
 
 
 def tokenizer_path() -> str:
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -64,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat, op3_secrets, op4_line_dedup, op5_bpe, op6_lm, op7_ann, op8_decontaminate, op9_quality, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_passages, op2_chat, op3_secrets, op4_line_dedup, op5_bpe, op6_lm, op7_ann, op8_decontaminate, op9_quality, op10_simhash)}
 
 _ESCAPED = "(length({0}) + length({0}) - length(replace({0}, chr(92), '')) + (length({0}) - length(replace({0}, '<s>', ''))) // 3 + (length({0}) - length(replace({0}, '[INST]', ''))) // 6 + (length({0}) - length(replace({0}, '[/INST]', ''))) // 7 + (length({0}) - length(replace({0}, '</s>', ''))) // 4)"
 

@@ -100,3 +100,41 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
     cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+
+
+def release() -> None:
+    """Give memory that Arrow keeps back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+
+
+def bounds(table: pa.Table | pa.RecordBatch, keys: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Where each run of equal keys begins and ends."""
+    if not table.num_rows:
+        return []
+    same = np.ones(table.num_rows - 1, bool)
+    for c in keys:
+        x = table.column(c).to_numpy()
+        same &= x[1:] == x[:-1]
+    cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), table.num_rows]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that hold runs of equal keys whole."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = bounds(b, keys)
+        key = lambda i, b=b: tuple(b.column(c)[i].as_py() for c in keys)
+        if held and key(0) != last:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        if len(own) > 1:
+            yield pa.Table.from_batches([*held, b.slice(0, own[-1][0])]).combine_chunks()
+            held = []
+        held.append(b.slice(own[-1][0]))
+        last = key(b.num_rows - 1)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
