@@ -126,6 +126,7 @@ def _search(prepared, k: int, bands: int, least: float):
         for b in batches:
             for part in tv.slices(b, "text", 1 << 22):
                 yield batch(part)
+        tv.release()
 
     return run
 

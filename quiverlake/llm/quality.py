@@ -257,6 +257,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     views = _views(list(zip(*(p.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")), strict=True)), own.index)
                     q, t = (own.targets[n].probability(views) for n in TARGETS)
                     yield pa.record_batch([p.column("doc_id"), pa.array(q), pa.array(t), pa.array((q >= 0.5) & (t < 0.5))], ["doc_id", "quality_score", "toxic_score", "keep"])
+        tv.release()
 
     return _fields(docs).mapInArrow(run, "doc_id long, quality_score double, toxic_score double, keep boolean")
 

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
 from .common import materialize, partitions, remove
 from .components import connected_components
 
@@ -52,9 +53,11 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            fp = np.array([fingerprint(t or b"", k) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            for part in tv.slices(b, "text", 1 << 22):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                fp = np.array([fingerprint(t or b"", k) for t in texts], np.uint64).view(np.int64)
+                yield pa.record_batch([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        tv.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
