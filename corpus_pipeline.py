@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.llm import bpe, decontaminate, line_dedup, quality, simhash
-from quiverlake.llm.common import materialize
+from quiverlake.llm.common import materialize, small_batches
 from quiverlake.llm.queries import tokenizer_path
 
 
@@ -17,6 +17,7 @@ def _keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     scores = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _keep(docs, scores.where("not keep"))
 

@@ -6,13 +6,15 @@ loses its arc v. After any number of gadgets the state depends on the last token
 token, and an arc (x, y) can be read off the gadgets' history: the later-made of x and y was copied from an arc of its left
 part (for y) or right part (for x), and a merge of the two in force at that time has removed it. Arcs are compiled on first use into a table.
 
-Every prefix of a word has one accepted sequence, so a word is encoded by one left-to-right pass that keeps a state per byte position
-and follows the arcs of the tokens that start there. Decoding emits the arcs' labels.
+A word has one accepted sequence, and so has each of its prefixes: the state at a byte position is the same however it is reached. A word is
+encoded left to right by following arcs, the longest token first; a position that leads nowhere is marked, so work stays linear. Decoding emits the
+arcs' labels.
 """
 
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +27,18 @@ from . import textvec as tv
 
 #: How the byte-level format splits a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CACHE = 200_000
+_CACHE = 60_000
+_ARCS = 250_000
 _LONG = 64
 
 
+_ID = struct.Struct("<I")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _byte_letters() -> dict[str, int]:
     """The format writes a byte as its Latin-1 letter if that is printable and no space, others as letters from U+0100 in turn."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,27 +71,34 @@ class Automaton:
         for token, i in self.added.items():
             self.labels[i] = token.encode()
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.trie: list[dict[int, int]] = [{}]
+        self.trie: dict[int, int] = {}  # by node * 256 + byte: the next node
         self.ends: list[int] = [-1]
         for token in ids.values():
             if len(self.labels[token]) == 1 or token in self.made:
                 at = 0
                 for byte in self.labels[token]:
-                    at = self.trie[at].setdefault(byte, len(self.trie))
-                    if at == len(self.trie):
-                        self.trie.append({})
+                    at = self.trie.setdefault(at << 8 | byte, len(self.ends))
+                    if at == len(self.ends):
                         self.ends.append(-1)
                 self.ends[at] = token
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.shorter = [-1] * len(self.labels)  # by token: the longest one that begins it
+        for token in filter(lambda t: t >= 0, self.ends):
+            at, last = 0, -1
+            for byte in self.labels[token][:-1]:
+                at = self.trie[at << 8 | byte]
+                last = self.ends[at] if self.ends[at] >= 0 else last
+            self.shorter[token] = last
+        self.arcs: dict[int, bool] = {}
         self.words = _Words(self)
 
     def arc(self, x: int, y: int) -> bool:
         """Whether the state after token ``x`` has an arc ``y``."""
-        known = self.arcs.get((x, y))
+        key = x << 24 | y
+        known = self.arcs.get(key)
         if known is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) >= _ARCS:
                 self.arcs.clear()
-            known = self.arcs[x, y] = self._arc(x, y)
+            known = self.arcs[key] = self._arc(x, y)
         return known
 
     def _arc(self, x: int, y: int) -> bool:
@@ -99,29 +116,37 @@ class Automaton:
                 limit, x = kx, self.right[x]  # a new state is copied before it
 
     def word(self, word: bytes) -> list[int]:
-        """The accepted sequence of a word: the state at each position is the last token of the sequence up to it."""
-        n, trie, ends, arc = len(word), self.trie, self.ends, self.arc
-        last = [-1] * (n + 1)
-        for i in range(n):
-            state = last[i]
-            if i and state < 0:
-                continue
-            node = 0
-            for j in range(i, n):
-                node = trie[node].get(word[j])
-                if node is None:
+        """The accepted sequence of a word. From each state the longest token that has an arc is followed first; a place without a way on is never entered again."""
+        n, step, ends, arc, shorter, labels = len(word), self.trie.get, self.ends, self.arc, self.shorter, self.labels
+        out: list[int] = []
+        dead: set[int] = set()
+        at, state, token = 0, -1, None
+        while at < n:
+            if token is None:
+                token, node, j = -1, 0, at
+                while j < n:
+                    node = step(node << 8 | word[j])
+                    if node is None:
+                        break
+                    j += 1
+                    if ends[node] >= 0:
+                        token = ends[node]
+            while token >= 0:
+                to = at + len(labels[token])
+                if to not in dead and (state < 0 or arc(state, token)):
                     break
-                token = ends[node]
-                if token >= 0 and (not i or arc(state, token)):
-                    last[j + 1] = token
-        out, at = [], n
-        while at:
-            token = last[at]
-            if token < 0:
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
+                at, state, token = to, token, None
+            elif out:
+                dead.add(at)
+                token = out.pop()
+                at -= len(labels[token])
+                state, token = (out[-1] if out else -1), shorter[token]
+            else:
                 raise ValueError("the vocabulary lacks a byte")
-            out.append(token)
-            at -= len(self.labels[token])
-        return out[::-1]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
@@ -131,28 +156,29 @@ class Automaton:
 
     def _plain(self, text: str) -> bytes:
         if len(self.words) > _CACHE:
-            self.words.clear()
+            self.words.turn()
         return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
 
     def decode(self, ids: bytes) -> str:
         labels = self.labels
-        return b"".join([labels[i] for i in memoryview(ids).cast("I")] if _LITTLE else [labels[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4)]).decode("utf-8", "replace")
-
-
-import sys  # noqa: E402
-
-_LITTLE = sys.byteorder == "little"
+        return b"".join([labels[i] for (i,) in _ID.iter_unpack(ids)]).decode("utf-8", "replace")
 
 
 class _Words(dict):
-    """Encoded words; longer ones are not kept."""
+    """Encoded words in two generations, so frequent ones stay; long ones are not kept."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.before = automaton, {}
+
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.automaton.word(word.encode()))
+        ids = self.before.get(word)
+        if ids is None:
+            ids = _packed(self.automaton.word(word.encode()))
         if len(word) <= _LONG:
             self[word] = ids
         return ids
@@ -172,6 +198,7 @@ def _mapped(df: DataFrame, path: str, schema: str, step) -> DataFrame:
         for b in batches:
             for part in tv.slices(b, b.schema.names[-1], 1 << 23):
                 yield step(own, part)
+        tv.release()
 
     return df.mapInArrow(run, schema)
 

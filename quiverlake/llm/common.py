@@ -53,3 +53,10 @@ def text_of(column: str = "text"):
 
 def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows unless the session names another number: at Spark's 10,000, long texts fill the workers' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") in (None, "10000"):
+        spark.conf.set(name, "2000")

@@ -6,6 +6,7 @@ depends on the word alone. Equal words have equal hashes; for different words eq
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Byte classes: True where a byte separates words.
@@ -66,7 +67,7 @@ def words(buf: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray,
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash for each word, in slices of about a megabyte that are cut between words, so memory is bounded."""
+    """A hash for each word, in slices of about 256 KB that are cut between words, so memory is bounded."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -103,8 +104,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
 
 
 def release() -> None:
-    """Give memory that Arrow keeps back to the system: Python workers outlive their tasks."""
+    """Give memory that Arrow and the C library keep back to the system: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def bounds(table: pa.Table | pa.RecordBatch, keys: tuple[str, ...]) -> list[tuple[int, int]]:
