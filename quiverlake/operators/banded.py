@@ -36,21 +36,30 @@ class BandedIndex:
     def keys(self, signature: Column) -> Column:
         raise NotImplementedError
 
-    def similarity(self, row_sig: Column, vec: Column, query_sig: Column, q: Column) -> Column:
+    def size(self, vec: Column) -> Column:
+        """What similarity needs of a vector besides itself, taken once per vector and query and not per pair."""
+        return F.lit(0.0)
+
+    def similarity(self) -> Column:
+        """Over ``sig``, ``vec``, ``size`` of a row and ``query_sig``, ``q``, ``query_size`` of a query."""
         raise NotImplementedError
 
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        q = self._check(queries, "q").select("query_id", F.col("q").cast("array<double>").alias("q"))
+        return q.withColumns({"query_sig": self.signature(F.col("q")), "query_size": self.size(F.col("q"))})
+
     def _check(self, df: DataFrame, column: str) -> DataFrame:
         return df
 
     def insert(self, vectors: DataFrame) -> None:
         """``vectors(vec, [vec_id], [metadata], [seq])``; see ``sources.store.upsert``."""
-        rows = upsert(self.vectors(False), self._check(vectors, "vec")).withColumn("sig", self.signature(F.col("vec")))
+        rows = upsert(self.vectors(False), self._check(vectors, "vec")).withColumns({"sig": self.signature(F.col("vec")), "size": self.size(F.col("vec"))})
         buckets = rows.select("vec_id", F.posexplode(self.keys(F.col("sig"))).alias("band", "key"))
         self.store.save(self.parameters, vectors=rows, buckets=buckets)
 
     def vectors(self, with_signature: bool = True) -> DataFrame | None:
         df = self.store.load("vectors")
-        return df if df is None or with_signature else df.drop("sig")
+        return df if df is None or with_signature else df.drop("sig", "size")
 
     def buckets(self) -> DataFrame | None:
         """``(vec_id, band, key)``, the inverted index."""
@@ -78,21 +87,20 @@ class BandedIndex:
         """``queries(query_id, q)`` -> ``(query_id, vec_id, vec, similarity, rank, [metadata])``: the ``n`` most similar of at least the threshold, but none equal to the query."""
         if self.vectors() is None:
             return self._empty() if metadata else self._empty().drop("metadata")
-        q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).withColumn("query_sig", self.signature(F.col("q")))
-        rows = self.candidates(queries).join(q, "query_id").join(self.vectors().drop("metadata", "seq"), "vec_id").where(F.col("vec") != F.col("q"))
-        rows = rows.withColumn("similarity", self.similarity(F.col("sig"), F.col("vec"), F.col("query_sig"), F.col("q")))
+        rows = self.candidates(queries).join(self._asked(queries), "query_id").join(self.vectors().drop("metadata", "seq"), "vec_id").where(F.col("vec") != F.col("q"))
+        rows = rows.withColumn("similarity", self.similarity())
         rows = rows.where((F.col("similarity") >= self.threshold) & ~F.isnan("similarity")).select("query_id", "vec_id", "vec", "similarity")
         top = top_k(rows, n, F.desc("similarity"), F.col("vec_id"))
         return with_metadata(top, self.vectors()) if metadata else top
 
     def sample_excluding(self, queries: DataFrame, n: int, seed: int = 0) -> DataFrame:
-        """``(query_id, q, query_sig, vec_id, vec, sig)``: for each query ``n`` random vectors of those with a bucket that is not the query's, all if fewer.
+        """Queries and vectors with their signatures and sizes: for each query ``n`` random vectors of those with a bucket that is not the query's, all if fewer.
 
         Such are the vectors of another signature. In hash order, ``n`` at most of each signature, the first ``2n`` hold ``n`` for any query, so the pool is bounded.
         """
-        q = self._check(queries, "q").select("query_id", F.col("q").cast("array<double>").alias("q")).withColumn("query_sig", self.signature(F.col("q")))
+        q = self._asked(queries)
         order = F.xxhash64(F.lit(seed), "vec_id")
-        rows = self.vectors().select(F.hash("sig").alias("query_id"), "vec_id", "vec", "sig", order.alias("order"))
+        rows = self.vectors().select(F.hash("sig").alias("query_id"), "vec_id", "vec", "sig", "size", order.alias("order"))
         pool = top_k(rows, n, F.col("order"), F.col("vec_id")).drop("rank", "query_id").orderBy("order", "vec_id").limit(2 * n)
         pairs = q.join(F.broadcast(pool), F.col("sig") != F.col("query_sig"))  # 2n rows
         return top_k(pairs, n, F.col("order"), F.col("vec_id")).drop("order", "rank")
@@ -102,7 +110,7 @@ class BandedIndex:
         if self.vectors() is None:
             return self._empty()
         rows = self.sample_excluding(queries, 10 * n, seed)
-        rows = rows.withColumn("similarity", self.similarity(F.col("sig"), F.col("vec"), F.col("query_sig"), F.col("q"))).select("query_id", "vec_id", "vec", "similarity")
+        rows = rows.withColumn("similarity", self.similarity()).select("query_id", "vec_id", "vec", "similarity")
         return with_metadata(top_k(rows, n, F.col("similarity"), F.col("vec_id")), self.vectors())
 
     def compact(self) -> None:
@@ -133,8 +141,13 @@ class LshIndex(BandedIndex):
     def keys(self, signature: Column) -> Column:
         return hashing.sign_bands(signature, self.num_bands, self.rows)
 
-    def similarity(self, row_sig, vec, query_sig, q) -> Column:
-        return vector.cosine(vec, q)
+    def size(self, vec: Column) -> Column:
+        return vector.magnitude(vec)
+
+    def similarity(self) -> Column:
+        both = F.col("size") * F.col("query_size")
+        dot = F.aggregate(F.zip_with("vec", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return F.when(both == 0, F.lit(0.0)).otherwise(dot / F.nullif(both, F.lit(0.0)))
 
 
 class MinHashIndex(BandedIndex):
@@ -148,5 +161,5 @@ class MinHashIndex(BandedIndex):
     def keys(self, signature: Column) -> Column:
         return hashing.minhash_bands(signature, self.num_bands, self.rows)
 
-    def similarity(self, row_sig, vec, query_sig, q) -> Column:
-        return hashing.agreement(row_sig, query_sig, self.num_hashes)
+    def similarity(self) -> Column:
+        return hashing.agreement(F.col("sig"), F.col("query_sig"), self.num_hashes)
