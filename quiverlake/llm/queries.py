@@ -98,5 +98,15 @@ o AS (SELECT *, length(key) >= 10 AND doc_id <> min(doc_id) OVER (PARTITION BY k
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM o GROUP BY doc_id
+""",
+    "op8_decontaminate": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ig AS (SELECT DISTINCT item_id, k, unnest([array_to_string(w[j:j + k - 1], ' ') for j in range(1, len(w) - k + 2)]) AS g FROM k),
+dg AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[j:j + k - 1], ' ') for j in range(1, greatest(1, len(w) - k + 2))]) AS g FROM d, (SELECT DISTINCT k FROM k)),
+n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id)
+SELECT doc_id, item_id, n_item::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / n_item::DOUBLE AS containment
+FROM ig JOIN dg USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """,
 }
