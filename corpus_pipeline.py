@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.llm import bpe, decontaminate, line_dedup, quality, simhash
-from quiverlake.llm.common import materialize, small_batches
+from quiverlake.llm.common import materialize, prepare
 from quiverlake.llm.queries import tokenizer_path
 
 
@@ -17,30 +17,34 @@ def _keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    small_batches(spark)
+    prepare(spark)
     scores = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _keep(docs, scores.where("not keep"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; ``n_chars`` follows the text."""
+    prepare(spark)
     out = line_dedup.dedup_lines(docs)
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id stays."""
+    prepare(spark)
     found = simhash.simhash_components(docs)
     return _keep(docs, found.where("doc_id <> component_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    prepare(spark)
     return _keep(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, checked by decoding."""
+    prepare(spark)
     path = tokenizer_path()
     out = bpe.decode(bpe.encode(docs, path), path)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
+
 #: The ASCII white space that separates words: space and \x09 to \x0D.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,8 +57,9 @@ def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 2,000 rows unless the session names another number: at Spark's 10,000, long texts fill the workers' memory."""
+def prepare(spark: SparkSession) -> None:
+    """Hand the package to the executors, and take Arrow batches of 2,000 rows unless the session names another number: at Spark's 10,000, long texts fill the workers' memory."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") in (None, "10000"):
         spark.conf.set(name, "2000")
