@@ -59,15 +59,19 @@ class Block:
         self.doc = np.repeat(np.arange(n), self.sizes)
         train = ~held[self.doc]
         self.keys, at = np.unique(np.concatenate((tokens, [_BEGIN])), return_inverse=True)
+        del tokens
         begin, at = at[-1], at[:-1]
-        self.word = at
+        self.word = at.astype(np.int32)
         state = np.concatenate(([begin], at[:-1]))
         state[ends[:-1]] = begin
-        self.state = state
         size = len(self.keys)
-        pairs, self.arc = np.unique(state * size + at, return_inverse=True)
+        state *= size
+        state += at
+        pairs, arc = np.unique(state, return_inverse=True)
+        del state
+        self.arc = arc.astype(np.int32)
         self.arc_state, self.arc_word = pairs // size, pairs % size
-        self.seen = np.bincount(at, train, size).astype(np.uint32)
+        self.seen = np.bincount(self.word, train, size).astype(np.uint32)
         self.seen[begin] = int((~held).sum())
         self.arc_seen = np.bincount(self.arc, train, len(pairs)).astype(np.uint32)
         self.part = (self.keys % np.uint64(parts)).astype(np.int64)
@@ -109,7 +113,7 @@ def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
     return table.column("text").cast(pa.binary()).to_pylist(), table.column("held_out").to_numpy()
 
 
-def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, block: int = 8 << 20, part: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, block: int = 4 << 20, part: int = 12 << 20) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     Trained on rows whose ``crc32(doc_id as text) mod fold`` is not ``held``. Words are ASCII-lower-cased and split at ASCII white space; each text ends with an end token.
@@ -127,11 +131,13 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, block: int =
     def ask(table: pa.Table) -> pa.Table:
         own = Block(*_texts(table), parts)
         number = table.column("block")[0].as_py()
+        tv.release()
         return pa.table([pa.array(range(parts), pa.int32()), pa.array([number] * parts, pa.int32()), pa.array([own.request(p) for p in range(parts)], pa.binary())], ["part", "block", "blob"])
 
     def answer(table: pa.Table) -> pa.Table:
         blobs, stats = _totals(table.column("blob").to_pylist())
         n = len(blobs)
+        tv.release()
         return pa.table([table.column("part"), table.column("block"), *(pa.array([x] * n, pa.int64()) for x in stats), pa.array(blobs, pa.binary())], ["part", "block", "n", "v", "once", "twice", "blob"])
 
     def traverse(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -150,6 +156,7 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, block: int =
         score = np.bincount(own.doc, np.log10(weight)[own.arc], k)
         base = np.bincount(own.doc, np.log10(root)[own.word], k)
         known = np.bincount(own.doc, seen[own.word] > 0, k).astype(np.int64)
+        tv.release()
         return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(own.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(k, n, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     asked = rows.groupBy("block").applyInArrow(ask, "part int, block int, blob binary")
