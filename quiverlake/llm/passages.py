@@ -1,8 +1,8 @@
 """Substring dedup: paragraph MinHash banding.
 
-Repeated passages begin anywhere, so paragraphs are cut by content: a word position whose three-word hash is the least of its ``2 * radius + 1`` neighbours is an
-anchor, and the ``width`` words around it are a paragraph. The same passage has the same anchors wherever it stands; anchors are ``radius + 1`` words apart
-at least and about ``2 * radius + 1`` on average, so a passage of 50 words or more nearly always holds a whole paragraph.
+Repeated passages begin anywhere, so paragraphs are cut by content: of every ``passage - width + 1`` consecutive places that have half a paragraph on both sides, the
+one with the least three-word hash is an anchor (winnowing), and the ``width`` words around it are a paragraph. Two documents that share ``passage`` words in
+a row share all of one such window, so they have a paragraph in common, wherever the words stand. Anchors are about 14 words apart with the defaults.
 
 Equal paragraphs are one content (a grouped minimum, whatever their number). Contents are banded by MinHash over five-word shingles; those that
 collide are verified by exact Jaccard similarity, and links become components. Of each component, the smallest doc_id keeps its paragraphs; in all other
@@ -31,43 +31,42 @@ _BITS = 1 << 24
 _K = 5
 
 
-def _slide(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of ``x[i : i + w]`` for every ``i`` that has ``w`` values."""
-    done, out = 1, x
-    while done < w:
-        step = min(done, w - done)
-        out = np.minimum(out[:-step], out[step:])
-        done += step
-    return out
-
-
-def anchors(h: np.ndarray, doc: np.ndarray, radius: int) -> np.ndarray:
-    """Word positions that are local minima within their document; of equal values, the first."""
-    if len(h) < 3:
+def anchors(v: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least value in each ``window`` consecutive ones of a document, the first of equals; a shorter document has one window."""
+    if not len(v):
         return np.zeros(0, np.int64)
-    v = np.full(len(h), _MAX)
-    inside = doc[2:] == doc[:-2]
-    v[:-2][inside] = tv.shingles(h, 3)[inside]
-    at = np.arange(len(h)) + (doc - doc[0] + 1) * radius  # places between documents hold the largest value
-    padded = np.full(int(at[-1]) + radius + 1, _MAX)
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    size = np.diff(np.concatenate((first, [len(v)])))
+    room = np.maximum(size, window)
+    end = np.cumsum(room)
+    at = np.arange(len(v)) + np.repeat(end - room - first, size)
+    padded = np.full(int(end[-1]), _MAX)
     padded[at] = v
-    low = _slide(padded, radius)
-    return np.flatnonzero((v < low[at - radius]) & (v <= low[np.minimum(at + 1, len(low) - 1)]) & (v != _MAX))
+    least, done = np.arange(len(padded)), 1
+    while done < window:
+        step = min(done, window - done)
+        left, right = least[:-step], least[step:]
+        least = np.where(padded[right] < padded[left], right, left)
+        done += step
+    whole = np.arange(len(least)) + window <= np.repeat(end, room)[: len(least)]
+    hit = np.zeros(len(padded), bool)
+    hit[least[whole]] = True
+    return np.flatnonzero(hit[at])
 
 
 class Paragraphs:
     """The paragraphs of a batch of texts: document, word span, contents and shingles."""
 
-    def __init__(self, texts: list[bytes], width: int, radius: int):
+    def __init__(self, texts: list[bytes], width: int, passage: int):
         self.raw, self.offsets = tv.joined([t.lower() for t in texts])
         s, e = tv.words(self.raw, tv.PUNCTUATION)
         doc = np.searchsorted(self.offsets, s, "right") - 1
         h = tv.hashes(self.raw, s, e)
-        a = anchors(h, doc, radius)
         half = width // 2
-        a = a[(a >= half) & (a + half <= len(h))]
-        a = a[(doc[a - half] == doc[a]) & (doc[np.minimum(a + half, len(h)) - 1] == doc[a])] if len(a) else a
-        self.doc, self.start, self.end = doc[a], s[a - half] if len(a) else a, e[a + half - 1] if len(a) else a
+        a = np.arange(half, max(half, len(h) - half + 1))
+        a = a[(doc[a - half] == doc[a]) & (doc[a + half - 1] == doc[a])]
+        a = a[anchors(tv.shingles(h, 3)[a] if len(a) else np.zeros(0, np.uint64), doc[a], passage - 2 * half + 1)]
+        self.doc, self.start, self.end = doc[a], s[a - half], e[a + half - 1]
         sh, n = tv.shingles(h, _K), 2 * half - _K + 1
         self.sets = sh[(a - half)[:, None] + np.arange(n)] if len(a) else np.zeros((0, n), np.uint64)
         content = np.zeros(len(a), np.uint64)
@@ -97,11 +96,11 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.from_numpy_dtype(x.dtype)))
 
 
-def _first_scan(width: int, radius: int, bands: int, rows: int):
+def _first_scan(width: int, passage: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in tv.slices(b, "text", 1 << 21):
-                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, radius)
+                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, passage)
                 content, first = np.unique(own.content, return_index=True)  # equal paragraphs of a batch: one row with the least and largest document
                 ids = part.column("doc_id").to_numpy()[own.doc]
                 at = np.searchsorted(content, own.content)
@@ -114,12 +113,12 @@ def _first_scan(width: int, radius: int, bands: int, rows: int):
     return run
 
 
-def _second_scan(width: int, radius: int, tables):
+def _second_scan(width: int, passage: int, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, colliding = (np.unpackbits(t, bitorder="little").view(bool) for t in tables.value)
         for b in batches:
             for part in tv.slices(b, "text", 1 << 21):
-                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, radius)
+                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, passage)
                 bit = own.content.view(np.uint64) & np.uint64(_BITS - 1)
                 asked = colliding[bit]
                 pick = np.flatnonzero(repeated[bit] | asked)
@@ -174,21 +173,23 @@ def _verify(similarity: float):
     return run
 
 
-def repeated_passages(docs: DataFrame, width: int = 24, radius: int = 8, bands: int = 4, rows: int = 3, similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
+def repeated_passages(docs: DataFrame, width: int = 24, passage: int = 50, bands: int = 4, rows: int = 3, similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
     """``(doc_id, start, end, kept_doc_id, n_paragraphs)``: passages to remove, as spans of code points, and the smallest document that keeps one of their paragraphs.
 
     Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters. A paragraph that repeats inside one document alone is no
     removal. Null and empty texts and those of fewer than ``width`` words have no paragraph. Rows with one doc_id are one document (equal rows give
     one set of spans); a null doc_id takes no part. Other columns are not read; an empty table gives an empty table.
     """
+    if width < 6 or passage < width:
+        raise ValueError("a paragraph has 6 words or more, and a passage a paragraph's words or more")
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = texts.mapInArrow(_first_scan(width, radius, bands, rows), "content long, lo long, hi long, keys array<long>")
+    scan = texts.mapInArrow(_first_scan(width, passage, bands, rows), "content long, lo long, hi long, keys array<long>")
     contents, contents_path = materialize(scan.groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("keys").alias("keys")), "contents")
     keyed = contents.select("content", F.explode("keys").alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     members, members_path = materialize(keyed, "members")
     tables = spark.sparkContext.broadcast((_bit_table(contents.where("lo < hi")), _bit_table(members)))
-    found, found_path = materialize(texts.mapInArrow(_second_scan(width, radius, tables), "content long, doc_id long, start long, end long, shingles binary").distinct(), "found")
+    found, found_path = materialize(texts.mapInArrow(_second_scan(width, passage, tables), "content long, doc_id long, start long, end long, shingles binary").distinct(), "found")
     remove(spark, contents_path)
 
     sets = found.where("shingles is not null").groupBy("content").agg(F.first("shingles").alias("shingles"))

@@ -9,7 +9,7 @@ import numpy as np
 from quiverlake.llm import passages
 from quiverlake.llm import textvec as tv
 
-WIDTH, RADIUS = 24, 8
+WIDTH, PASSAGE = 24, 50
 
 
 def table(spark, rows):
@@ -32,11 +32,12 @@ def brute(rows, similarity=0.8):
         w = words(t)
         h = np.array([word_hash(x[2]) for x in w], np.uint64)
         v = tv.shingles(h, 3).tolist()
-        for a in range(len(v)):
-            near = range(max(0, a - RADIUS), min(len(v), a + RADIUS + 1))
-            if all(v[j] > v[a] for j in near if j < a) and all(v[j] >= v[a] for j in near if j > a) and a >= 12 and a + 12 <= len(w):
-                own = [x[2] for x in w[a - 12 : a + 12]]
-                found.append((i, w[a - 12][0], w[a + 11][1], frozenset(tuple(own[k : k + 5]) for k in range(20))))
+        places = list(range(WIDTH // 2, len(w) - WIDTH // 2 + 1))
+        window = PASSAGE - WIDTH + 1
+        chosen = {min(places[i : i + window], key=lambda a: (v[a], a)) for i in range(max(1, len(places) - window + 1))} if places else set()
+        for a in sorted(chosen):
+            own = [x[2] for x in w[a - 12 : a + 12]]
+            found.append((i, w[a - 12][0], w[a + 11][1], frozenset(tuple(own[k : k + 5]) for k in range(20))))
     parent = list(range(len(found)))
 
     def root(x):
@@ -81,9 +82,10 @@ def test_passages(spark, sf):
             w[rng.randrange(len(w))] = "changed"
         rows.append((2000 + n, " ".join(w)))
     rows += [(3000, None), (3001, ""), (3002, "short text"), (3003, base[0]), (3003, base[0]), (None, base[0]), (3004, "Ä🙂 " + base[1].upper()), (3005, "loop " * 300), (3006, "loop " * 300)]
+    expected = brute(rows)
     for chunk in (1024, 3):
         got = sorted(tuple(r) for r in passages.repeated_passages(table(spark, rows), bands=24, rows=2, chunk=chunk).collect())
-        assert got == brute(rows)
+        assert got == expected
     assert passages.repeated_passages(table(spark, [])).count() == 0
 
 
@@ -104,8 +106,22 @@ def test_planted(spark):
     got = found.collect()
     assert {r["doc_id"] for r in got} | {r["kept_doc_id"] for r in got} <= set(planted)
     caught = {planted[r["doc_id"]] for r in got}
-    assert len(caught) >= 39
+    assert caught == set(range(40))
     left = {r["doc_id"]: r["text"] for r in passages.cut(frame, found).collect()}
     for r in got:
         assert len(left[r["doc_id"]]) < len(" ".join(docs[r["doc_id"]]))
     assert left[399] == " ".join(docs[399])
+
+
+def test_shared_words_share_a_paragraph():
+    """Any 50 words in a row that two texts share give them a paragraph in common, also where words repeat at short distances."""
+    rng = random.Random(11)
+    for vocabulary in (1, 2, 3, 500):
+        text = lambda n, v=vocabulary: [f"w{rng.randrange(v)}" for _ in range(n)]
+        for _ in range(150):
+            shared = text(PASSAGE)
+            a, b = (" ".join(text(rng.randrange(90)) + shared + text(rng.randrange(90))).encode() for _ in range(2))
+            both = passages.Paragraphs([b"", a, b"few words", b], WIDTH, PASSAGE)
+            assert set(both.content[both.doc == 1]) & set(both.content[both.doc == 3])
+            assert set(both.doc.tolist()) == {1, 3}
+    assert len(passages.Paragraphs([], WIDTH, PASSAGE).content) == len(passages.Paragraphs([b"a b"], WIDTH, PASSAGE).content) == 0
