@@ -58,7 +58,7 @@ class Shard:
         out = []
         for q, own in enumerate(passed):
             own = own[self.ids[own] != ids[q]]
-            score = (self.vectors[own] @ queries[q]) / (self.sizes[own] * np.linalg.norm(queries[q]))
+            score = (self.vectors[own] * queries[q]).sum(axis=1) / (self.sizes[own] * np.linalg.norm(queries[q]))  # a sum for each row alone: equal vectors have equal scores wherever they lie
             best = np.lexsort((self.ids[own], -score))[:k]
             out += [(int(ids[q]), int(self.ids[own[b]]), float(score[b])) for b in best]
         return out

@@ -133,3 +133,19 @@ def test_nearest(spark, sf):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in ann.nearest(few).orderBy("rank").collect()] == [2, 1]
     assert ann.nearest(few.limit(0)).count() == 0
+
+
+def test_nearest_copies(spark):
+    """Copies of one vector tie wherever they lie, so the smallest ids come first."""
+    rng = np.random.default_rng(11)
+    copy, rows = rng.standard_normal(37), []
+    for i in range(1, 900):
+        rows.append((i, (copy if i % 3 else copy + rng.standard_normal(37)).tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, shard=300).collect()
+    copies = [i for i in range(1, 900) if i % 3]
+    for q in range(50, 900, 50):
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        if q % 3:
+            assert [v for _, v in own] == [i for i in copies if i != q][:5]
+    assert len({r["score"] for r in got if r["query_id"] == 50}) == 1
