@@ -9,7 +9,7 @@ import numpy as np
 from quiverlake.llm import passages
 from quiverlake.llm import textvec as tv
 
-WIDTH, RADIUS = 24, 8
+SHAPES = ((20, 6), (24, 8))
 
 
 def table(spark, rows):
@@ -24,8 +24,8 @@ def word_hash(w):
     return int(tv.hashes(np.frombuffer(w + b" ", np.uint8), np.array([0]), np.array([len(w)]))[0])
 
 
-def brute(rows, similarity=0.8):
-    found = []
+def brute(rows, width, radius, similarity=0.8):
+    found, half = [], width // 2
     for i, t in dict.fromkeys(rows):
         if i is None:
             continue
@@ -33,10 +33,10 @@ def brute(rows, similarity=0.8):
         h = np.array([word_hash(x[2]) for x in w], np.uint64)
         v = tv.shingles(h, 3).tolist()
         for a in range(len(v)):
-            near = range(max(0, a - RADIUS), min(len(v), a + RADIUS + 1))
-            if all(v[j] > v[a] for j in near if j < a) and all(v[j] >= v[a] for j in near if j > a) and a >= 12 and a + 12 <= len(w):
-                own = [x[2] for x in w[a - 12 : a + 12]]
-                found.append((i, w[a - 12][0], w[a + 11][1], frozenset(tuple(own[k : k + 5]) for k in range(20))))
+            near = range(max(0, a - radius), min(len(v), a + radius + 1))
+            if all(v[j] > v[a] for j in near if j < a) and all(v[j] >= v[a] for j in near if j > a) and a >= half and a + half <= len(w):
+                own = [x[2] for x in w[a - half : a + half]]
+                found.append((i, w[a - half][0], w[a + half - 1][1], frozenset(tuple(own[k : k + 5]) for k in range(width - 4))))
     parent = list(range(len(found)))
 
     def root(x):
@@ -81,10 +81,11 @@ def test_passages(spark, sf):
             w[rng.randrange(len(w))] = "changed"
         rows.append((2000 + n, " ".join(w)))
     rows += [(3000, None), (3001, ""), (3002, "short text"), (3003, base[0]), (3003, base[0]), (None, base[0]), (3004, "Ä🙂 " + base[1].upper()), (3005, "loop " * 300), (3006, "loop " * 300)]
-    expected = brute(rows)
-    for chunk in (1024, 3):
-        got = sorted(tuple(r) for r in passages.repeated_passages(table(spark, rows), bands=24, rows=2, chunk=chunk).collect())
-        assert got == expected
+    for width, radius in SHAPES:
+        expected = brute(rows, width, radius)
+        for chunk in (1024, 3):
+            got = sorted(tuple(r) for r in passages.repeated_passages(table(spark, rows), width, radius, bands=24, rows=2, chunk=chunk).collect())
+            assert got == expected
     assert passages.repeated_passages(table(spark, [])).count() == 0
 
 
@@ -105,7 +106,7 @@ def test_planted(spark):
     got = found.collect()
     assert {r["doc_id"] for r in got} | {r["kept_doc_id"] for r in got} <= set(planted)
     caught = {planted[r["doc_id"]] for r in got}
-    assert len(caught) >= 39
+    assert len(caught) == 40
     left = {r["doc_id"]: r["text"] for r in passages.cut(frame, found).collect()}
     for r in got:
         assert len(left[r["doc_id"]]) < len(" ".join(docs[r["doc_id"]]))
