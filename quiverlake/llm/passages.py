@@ -178,7 +178,8 @@ def repeated_passages(docs: DataFrame, width: int = 20, radius: int = 6, bands:
     """``(doc_id, start, end, kept_doc_id, n_paragraphs)``: passages to remove, as spans of code points, and the smallest document that keeps one of their paragraphs.
 
     Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters. A paragraph that repeats inside one document alone is no
-    removal. Null and empty texts and those of fewer than ``width`` words have no paragraph. Rows with one doc_id are one document (equal rows give
+    removal. Null and empty texts and those of fewer than ``width`` words have no paragraph. Inside a run of one repeated word all
+    hashes tie, so it has an anchor at its start alone: such a run is not a passage. Rows with one doc_id are one document (equal rows give
     one set of spans); a null doc_id takes no part. Other columns are not read; an empty table gives an empty table.
     """
     spark = docs.sparkSession
@@ -200,13 +201,14 @@ def repeated_passages(docs: DataFrame, width: int = 20, radius: int = 6, bands:
     where = found.select("content", "doc_id", "start", "end").join(groups, "content", "left").withColumn("component", F.coalesce("component", "content"))
     where, where_path = materialize(where, "where")
     owners = where.groupBy("component").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last")
+    owners, owners_path = materialize(owners.drop("last"), "owners")  # a table of its own, so that the join below can split a hot component
     gone = where.join(owners, "component").where("doc_id <> kept_doc_id").select("doc_id", "start", "end", "kept_doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "end", "kept_doc_id")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = gone.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
     out = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept_doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n_paragraphs")).drop("island")
     out, _ = materialize(out, "passages")
-    remove(spark, members_path, found_path, where_path)
+    remove(spark, members_path, found_path, where_path, owners_path)
     return out
 
 
