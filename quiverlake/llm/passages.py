@@ -9,6 +9,11 @@ collide are verified by exact Jaccard similarity, and links become components. O
 documents they are removals, merged where they touch. Documents are read twice; the second time only paragraphs that repeat or collide
 leave the scan, as told by a bit table of fixed size (which lets extra rows through when full, and loses none).
 
+``whole_passages`` adds what those paragraphs cannot hold. Lines and blocks (lines between blank ones) of five words or more are units of their own, compared
+whole at the same similarity with twice the bands. And every run of ``width`` equal words that two documents share is taken, at whatever word it begins: two equal runs
+have the same least eight-word hash (their seed), so runs whose seed repeats are compared exactly, one at each word. Together they
+cover a shared passage from its first word to its last.
+
 Bands: 4 of 3 rows. Of 16 shingles, Jaccard 0.8 means 15 shared (0.882) or more, found with odds of 0.990 at least; equal paragraphs always meet.
 """
 
@@ -29,6 +34,7 @@ from .components import connected_components
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = 1 << 24
 _K = 5
+_SEED = 8
 
 
 def _slide(x: np.ndarray, w: int) -> np.ndarray:
@@ -55,10 +61,28 @@ def anchors(h: np.ndarray, doc: np.ndarray, radius: int) -> np.ndarray:
     return np.flatnonzero((v < low[at - radius]) & (v <= low[np.minimum(at + 1, len(low) - 1)]) & (v != _MAX))
 
 
+def natural_units(raw: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words, and the words after the last, of all lines and of blocks of several lines, that have ``_K`` words or more."""
+    ends = np.flatnonzero(raw == 10)
+    line = np.searchsorted(ends, start)
+    filled = np.concatenate(([0], np.cumsum(~tv.SPACES[raw])))[ends]
+    blanks = np.cumsum(np.diff(filled, prepend=0) == 0)[line]
+    first, last = [], []
+    for cut in (line[1:] != line[:-1], (doc[1:] != doc[:-1]) | (blanks[1:] != blanks[:-1])):
+        at = np.concatenate(([0], np.flatnonzero(cut) + 1, [len(start)]))
+        lo, hi = at[:-1], at[1:]
+        ok = hi - lo >= _K
+        if first:
+            ok &= line[lo] != line[hi - 1]  # else it is a line
+        first.append(lo[ok])
+        last.append(hi[ok])
+    return np.concatenate(first), np.concatenate(last)
+
+
 class Paragraphs:
-    """The paragraphs of a batch of texts: document, word span, contents and shingles."""
+    """The paragraphs of a batch of texts: document, word span, contents and shingles. With ``natural``, lines and blocks follow them."""
 
-    def __init__(self, texts: list[bytes], width: int, radius: int):
+    def __init__(self, texts: list[bytes], width: int, radius: int, natural: bool = False):
         self.raw, self.offsets = tv.joined([t.lower() for t in texts])
         s, e = tv.words(self.raw, tv.PUNCTUATION)
         doc = np.searchsorted(self.offsets, s, "right") - 1
@@ -67,64 +91,80 @@ class Paragraphs:
         half = width // 2
         a = a[(a >= half) & (a + half <= len(h))]
         a = a[(doc[a - half] == doc[a]) & (doc[np.minimum(a + half, len(h)) - 1] == doc[a])] if len(a) else a
-        self.doc, self.start, self.end = doc[a], s[a - half] if len(a) else a, e[a + half - 1] if len(a) else a
-        sh, n = tv.shingles(h, _K), 2 * half - _K + 1
-        self.sets = sh[(a - half)[:, None] + np.arange(n)] if len(a) else np.zeros((0, n), np.uint64)
+        self.n_anchored, self.sh, n = len(a), tv.shingles(h, _K), 2 * half - _K + 1
         content = np.zeros(len(a), np.uint64)
-        for i in sorted({*range(0, n, _K), n - 1}):
-            content = tv.mix(content * np.uint64(0x9E3779B97F4A7C15) ^ self.sets[:, i])
+        for i in sorted({*range(0, n, _K), n - 1}) if len(a) else ():
+            content = tv.mix(content * np.uint64(0x9E3779B97F4A7C15) ^ self.sh[a - half + i])
+        self.first, self.last = a - half, a + half
+        if natural and len(h):
+            lo, hi = natural_units(self.raw, s, doc)
+            power, inverse = tv._powers(len(h) + 1)
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)))
+            own = tv.mix((total[hi] - total[lo]) * inverse[lo] ^ tv.mix((hi - lo).astype(np.uint64)))
+            self.first, self.last, content = np.concatenate((self.first, lo)), np.concatenate((self.last, hi)), np.concatenate((content, own))
+        self.doc, self.start, self.end = (doc[self.first], s[self.first], e[self.last - 1]) if len(self.first) else (self.first,) * 3
         self.content = content.view(np.int64)
 
+    def shingles(self, i: int) -> np.ndarray:
+        return self.sh[self.first[i] : self.last[i] - _K + 1]
+
     def points(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends in code points of the document."""
         lead = np.concatenate(([0], np.cumsum((self.raw & 0xC0) != 0x80)))
         base = lead[self.offsets[self.doc]]
         return lead[self.start] - base, lead[self.end] - base
 
-    def keys(self, bands: int, rows: int) -> np.ndarray:
+    def keys(self, bands: int, rows: int) -> pa.Array:
+        """Lists of ``bands`` keys, of twice as many for lines and blocks."""
         rng = np.random.default_rng(977)
-        out = np.zeros((len(self.content), bands), np.uint64)
-        for b in range(bands):
+        many = bands * 2 if len(self.content) > self.n_anchored else bands
+        out = np.zeros((len(self.content), many), np.uint64)
+        at = np.stack((self.first, self.last - _K + 1), axis=1).ravel()
+        for b in range(many):
             key = np.full(len(self.content), np.uint64(b + 1))
             for _ in range(rows):
                 mul, add = rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                key = tv.mix(key * np.uint64(0xD1342543DE82EF95) ^ (self.sets * mul + add).min(axis=1))
+                low = np.minimum.reduceat(np.append(self.sh * mul + add, _MAX), at)[::2] if len(at) else np.zeros(0, np.uint64)
+                key = tv.mix(key * np.uint64(0xD1342543DE82EF95) ^ low)
             out[:, b] = key
-        return out.view(np.int64)
+        out = out.view(np.int64)
+        return pa.concat_arrays([_lists(np.ascontiguousarray(out[: self.n_anchored, :bands])), _lists(out[self.n_anchored :])])
 
 
 def _lists(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.from_numpy_dtype(x.dtype)))
 
 
-def _first_scan(width: int, radius: int, bands: int, rows: int):
+def _first_scan(width: int, radius: int, bands: int, rows: int, natural: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in tv.slices(b, "text", 1 << 21):
-                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, radius)
+                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, radius, natural)
                 content, first = np.unique(own.content, return_index=True)  # equal paragraphs of a batch: one row with the least and largest document
                 ids = part.column("doc_id").to_numpy()[own.doc]
                 at = np.searchsorted(content, own.content)
                 lo, hi = np.full(len(content), np.iinfo(np.int64).max), np.full(len(content), np.iinfo(np.int64).min)
                 np.minimum.at(lo, at, ids)
                 np.maximum.at(hi, at, ids)
-                yield pa.record_batch([pa.array(content), pa.array(lo), pa.array(hi), _lists(own.keys(bands, rows)[first])], ["content", "lo", "hi", "keys"])
+                yield pa.record_batch([pa.array(content), pa.array(lo), pa.array(hi), own.keys(bands, rows).take(pa.array(first))], ["content", "lo", "hi", "keys"])
         tv.release()
 
     return run
 
 
-def _second_scan(width: int, radius: int, tables):
+def _second_scan(width: int, radius: int, natural: bool, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, colliding = (np.unpackbits(t, bitorder="little").view(bool) for t in tables.value)
         for b in batches:
             for part in tv.slices(b, "text", 1 << 21):
-                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, radius)
+                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, radius, natural)
                 bit = own.content.view(np.uint64) & np.uint64(_BITS - 1)
                 asked = colliding[bit]
                 pick = np.flatnonzero(repeated[bit] | asked)
                 start, end = own.points()
-                sets = [own.sets[i].tobytes() if asked[i] else None for i in pick]
+                given = np.zeros(len(asked), bool)
+                given[np.unique(own.content, return_index=True)[1]] = True  # the shingles of a content once in a batch
+                sets = [own.shingles(i).astype(np.uint32).tobytes() if asked[i] and given[i] else None for i in pick]
                 yield pa.record_batch([pa.array(own.content[pick]), part.column("doc_id").take(pa.array(own.doc[pick])), pa.array(start[pick]), pa.array(end[pick]), pa.array(sets, pa.binary())], ["content", "doc_id", "start", "end", "shingles"])
         tv.release()
 
@@ -146,15 +186,25 @@ def _verify(similarity: float):
 
     def forest(contents: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         size = max(len(s) for s in sets)
-        table = np.stack([np.concatenate((s, np.arange(size - len(s), dtype=np.uint64))) for s in sets])  # fillers are told apart by the sizes below
         sizes = np.array([len(s) for s in sets])
-        real = np.arange(size)[None, :] < sizes[:, None]
+        narrow = size <= 32
+        if narrow:
+            table = np.stack([np.concatenate((s, np.arange(size - len(s), dtype=np.uint32))) for s in sets])  # fillers are told apart by the sizes below
+            real = np.arange(size)[None, :] < sizes[:, None]
         left, out = np.arange(len(sets)), []
+        flat, held = None, left
         while len(left):
             front, left = [left[0]], left[1:]
             while front and len(left):
                 at = front.pop()
-                shared = ((table[left][:, :, None] == sets[at][None, None, :]).any(axis=2) & real[left]).sum(axis=1)
+                if narrow:
+                    shared = ((table[left][:, :, None] == sets[at][None, None, :]).any(axis=2) & real[left]).sum(axis=1)
+                else:
+                    if flat is None or 2 * len(left) < len(held):
+                        held, flat = left, np.concatenate([sets[i] for i in left])
+                        bound = np.cumsum(sizes[held]) - sizes[held]
+                    place = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
+                    shared = np.add.reduceat((sets[at][place] == flat).astype(np.int64), bound)[np.searchsorted(held, left)]
                 hit = shared >= similarity * (sizes[left] + sizes[at] - shared) - 1e-9
                 out += [(int(contents[at]), int(contents[i])) for i in left[hit]]
                 front.extend(left[hit].tolist())
@@ -167,29 +217,97 @@ def _verify(similarity: float):
             contents, blobs = t.column("content").to_numpy(), t.column("shingles").to_pylist()
             for lo, hi in tv.bounds(t, ("key", "a", "b")):
                 if hi - lo > 1:
-                    links += forest(contents[lo:hi], [np.unique(np.frombuffer(x, np.uint64)) for x in blobs[lo:hi]])
+                    links += forest(contents[lo:hi], [np.unique(np.frombuffer(x, np.uint32)) for x in blobs[lo:hi]])
             a, b = zip(*links, strict=True) if links else ((), ())
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, width: int = 20, radius: int = 6, bands: int = 4, rows: int = 3, similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
+class Runs:
+    """All runs of ``width`` words inside a document: first word and seed."""
+
+    def __init__(self, texts: list[bytes], width: int):
+        self.raw, self.offsets = tv.joined([t.lower() for t in texts])
+        self.s, self.e = tv.words(self.raw, tv.PUNCTUATION)
+        self.h, self.width = tv.hashes(self.raw, self.s, self.e), width
+        self.doc = np.searchsorted(self.offsets, self.s, "right") - 1
+        k = min(_SEED, width)
+        at = np.flatnonzero(self.doc[width - 1 :] == self.doc[: len(self.doc) - width + 1]) if len(self.h) >= width else np.zeros(0, np.int64)
+        self.first, self.seed = at, _slide(tv.shingles(self.h, k), width - k + 1)[at] if len(at) else np.zeros(0, np.uint64)
+
+    def points(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lead = np.concatenate(([0], np.cumsum((self.raw & 0xC0) != 0x80)))
+        base = lead[self.offsets[self.doc[at]]]
+        return lead[self.s[at]] - base, lead[self.e[at + self.width - 1]] - base
+
+
+def _seed_scan(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in tv.slices(b, "text", 1 << 21):
+                own = Runs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width)
+                new = np.append(True, (own.seed[1:] != own.seed[:-1]) | (own.doc[own.first][1:] != own.doc[own.first][:-1]))[: len(own.seed)]
+                seed, ids = own.seed[new], part.column("doc_id").to_numpy()[own.doc[own.first[new]]]
+                content, at = np.unique(seed, return_inverse=True)
+                lo, hi = np.full(len(content), np.iinfo(np.int64).max), np.full(len(content), np.iinfo(np.int64).min)
+                np.minimum.at(lo, at, ids)
+                np.maximum.at(hi, at, ids)
+                yield pa.record_batch([pa.array(content.view(np.int64)), pa.array(lo), pa.array(hi)], ["content", "lo", "hi"])
+        tv.release()
+
+    return run
+
+
+def _run_scan(width: int, table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = np.unpackbits(table.value, bitorder="little").view(bool)
+        for b in batches:
+            for part in tv.slices(b, "text", 1 << 21):
+                own = Runs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width)
+                at = own.first[repeated[own.seed & np.uint64(_BITS - 1)]]
+                content = tv.shingles(own.h, width)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
+                start, end = own.points(at)
+                yield pa.record_batch([pa.array(content), part.column("doc_id").take(pa.array(own.doc[at])), pa.array(start), pa.array(end)], ["content", "doc_id", "start", "end"])
+        tv.release()
+
+    return run
+
+
+def _equal_runs(texts: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
+    """``(doc_id, start, end, kept_doc_id)``: every run of ``width`` words that a smaller doc_id holds too, and the folders it is read from."""
+    spark = texts.sparkSession
+    seeds, seeds_path = materialize(texts.mapInArrow(_seed_scan(width), "content long, lo long, hi long").groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("content"), "seeds")
+    table = spark.sparkContext.broadcast(_bit_table(seeds))
+    remove(spark, seeds_path)
+    runs, runs_path = materialize(texts.mapInArrow(_run_scan(width, table), "content long, doc_id long, start long, end long"), "runs")
+    owners = runs.groupBy("content").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
+    owners, owners_path = materialize(owners, "run-owners")
+    gone = runs.join(owners, "content").where("doc_id <> kept_doc_id").select("doc_id", "start", "end", "kept_doc_id")
+    return gone, [runs_path, owners_path]
+
+
+def repeated_passages(docs: DataFrame, width: int = 20, radius: int = 6, bands: int = 4, rows: int = 3, similarity: float = 0.8, chunk: int = 1024, natural: bool = False, runs: bool = False) -> DataFrame:
     """``(doc_id, start, end, kept_doc_id, n_paragraphs)``: passages to remove, as spans of code points, and the smallest document that keeps one of their paragraphs.
 
     Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters. A paragraph that repeats inside one document alone is no
     removal. Null and empty texts and those of fewer than ``width`` words have no paragraph. Inside a run of one repeated word all
     hashes tie, so it has an anchor at its start alone: such a run is not a passage. Rows with one doc_id are one document (equal rows give
-    one set of spans); a null doc_id takes no part. Other columns are not read; an empty table gives an empty table.
+    one set of spans); a null doc_id takes no part. Other columns are not read; an empty table gives an empty table. With ``natural``,
+    lines and blocks are paragraphs too, and with ``runs`` all equal runs of ``width`` words are removed to their ends (no
+    paragraphs by count: a span of runs alone has an ``n_paragraphs`` of 1).
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = texts.mapInArrow(_first_scan(width, radius, bands, rows), "content long, lo long, hi long, keys array<long>")
+    scan = texts.mapInArrow(_first_scan(width, radius, bands, rows, natural), "content long, lo long, hi long, keys array<long>")
     contents, contents_path = materialize(scan.groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("keys").alias("keys")), "contents")
-    keyed = contents.select("content", F.explode("keys").alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    keyed = contents.select("content", F.explode("keys").alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).withColumn("bucket", F.expr("bit_xor(xxhash64(content))").over(Window.partitionBy("key"))).where("n > 1")
+    keyed = keyed.select("content", F.col("bucket").alias("key"), "n").distinct()  # buckets of the same contents are compared once
     members, members_path = materialize(keyed, "members")
+    del scan, keyed
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files once their plans are collected; else both large shuffles stay on disk
     tables = spark.sparkContext.broadcast((_bit_table(contents.where("lo < hi")), _bit_table(members)))
-    found, found_path = materialize(texts.mapInArrow(_second_scan(width, radius, tables), "content long, doc_id long, start long, end long, shingles binary").distinct(), "found")
+    found, found_path = materialize(texts.mapInArrow(_second_scan(width, radius, natural, tables), "content long, doc_id long, start long, end long, shingles binary"), "found")
     remove(spark, contents_path)
 
     sets = found.where("shingles is not null").groupBy("content").agg(F.first("shingles").alias("shingles"))
@@ -203,15 +321,26 @@ def repeated_passages(docs: DataFrame, width: int = 20, radius: int = 6, bands:
     owners = where.groupBy("component").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last")
     owners, owners_path = materialize(owners.drop("last"), "owners")  # a table of its own, so that the join below can split a hot component
     gone = where.join(owners, "component").where("doc_id <> kept_doc_id").select("doc_id", "start", "end", "kept_doc_id").distinct()
+    gone, temporary = gone.withColumn("units", F.lit(1)), [members_path, found_path, where_path, owners_path]
+    if runs:
+        gone, gone_path = materialize(gone, "gone")
+        remove(spark, *temporary)
+        more, temporary = _equal_runs(texts, width)
+        gone, temporary = gone.unionByName(more.withColumn("units", F.lit(0))), [gone_path, *temporary]
     order = Window.partitionBy("doc_id").orderBy("start", "end", "kept_doc_id")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = gone.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-    out = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept_doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n_paragraphs")).drop("island")
+    out = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept_doc_id").alias("kept_doc_id"), F.greatest(F.sum("units"), F.lit(1)).cast("long").alias("n_paragraphs")).drop("island")
     out, _ = materialize(out, "passages")
-    remove(spark, members_path, found_path, where_path, owners_path)
+    remove(spark, *temporary)
     return out
 
 
+def whole_passages(docs: DataFrame, **settings) -> DataFrame:
+    """``repeated_passages`` with lines and blocks as units and with equal runs: no shared run of ``width`` words and no repeated line of five words is lost."""
+    return repeated_passages(docs, natural=True, runs=True, **settings)
+
+
 def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` with the passages taken out of ``text``."""
     spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))

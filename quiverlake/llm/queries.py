@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+    return passages.whole_passages(_table(spark, sf_dir, "documents"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

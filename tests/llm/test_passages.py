@@ -111,3 +111,36 @@ def test_planted(spark):
     for r in got:
         assert len(left[r["doc_id"]]) < len(" ".join(docs[r["doc_id"]]))
     assert left[399] == " ".join(docs[399])
+
+
+def test_whole_passages(spark):
+    rng = random.Random(11)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+    docs, expected = {}, {}
+    for k in range(30):
+        shared, at = text((20, 23, 27, 31, 45)[k % 5]), (0, 30, 60)[k % 3]  # a passage inside longer lines, at their beginning and end too
+        docs[10 * k] = " ".join([*text(40), *shared, *text(40)])
+        own = text(60)
+        docs[10 * k + 1] = " ".join([*own[:at], *shared, *own[at:]])
+        lead = len(" ".join(own[:at])) + (at > 0)
+        expected[10 * k + 1] = [(lead, lead + len(" ".join(shared)), 10 * k)]
+        line = text((5, 8, 12, 19)[k % 4])  # a short repeated line between others
+        docs[10 * k + 2] = "\n".join([" ".join(text(15)), " ".join(line), " ".join(text(15))])
+        head = " ".join(text(15))
+        docs[10 * k + 3] = "\n".join([head, " ".join(line), " ".join(text(15))])
+        expected[10 * k + 3] = [(len(head) + 1, len(head) + 1 + len(" ".join(line)), 10 * k + 2)]
+        docs[10 * k + 4] = docs[10 * k + 5] = " ".join(text(7))  # a short document and its copy
+        expected[10 * k + 5] = [(0, len(docs[10 * k + 5]), 10 * k + 4)]
+        long = text(120)
+        docs[10 * k + 6] = " ".join(long)
+        for i in (15, 75):  # two changed words of 120: similar as a whole, though 20 words around each are not
+            long[i] = "changed"
+        docs[10 * k + 7] = " ".join(long)
+        expected[10 * k + 7] = [(0, len(docs[10 * k + 7]), 10 * k + 6)]
+    got = defaultdict(list)
+    for r in passages.whole_passages(table(spark, docs.items())).collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["kept_doc_id"]))
+    assert set(got) == set(expected)
+    for i, [(start, end, kept)] in expected.items():  # similar paragraphs reach a word or two beyond equal ones
+        [(s, e, k)] = got[i]
+        assert k == kept and start - 18 <= s <= start and end <= e <= end + 18
