@@ -22,6 +22,10 @@ SQL: dict[str, str] = {}
 E = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, embedding AS f, label FROM embeddings), q AS (SELECT vec_id AS qid, v AS q, f AS g FROM e WHERE vec_id = 0)"
 
 
+#: The query set of searches of a whole table.
+ALL = "{} % 20 = 0"
+
+
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
@@ -338,8 +342,7 @@ def graph_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("graph_shards")
 def graph_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks over real graphs; their neighbour lists have no SQL form."""
-    graph = build_shards(embeddings(spark, sf_dir), 4, 32)
-    return search_shards(graph, _asked(spark, sf_dir, "{} % 40 = 3"), 10, 0.1)
+    return search_shards(build_shards(embeddings(spark, sf_dir)), _asked(spark, sf_dir, ALL), 10, 0.1, beam=4)
 
 
 # k-means with the first two vectors as centroids

@@ -154,6 +154,28 @@ def test_graph_shards(spark):
     assert len(got) == 200 and right > 100
 
 
+def _recall(spark, got, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in e]), np.array([r[1] for r in e], float)
+    unit, found, right, total = x / np.linalg.norm(x, axis=1)[:, None], {(r["query_id"], r["vec_id"]) for r in got}, 0, 0
+    asked_ids = set(ids[ids % 20 == 0].tolist())
+    assert {q for q, _ in found} <= asked_ids
+    for i in np.flatnonzero(ids % 20 == 0):
+        ok = np.flatnonzero((unit @ unit[i] >= 0.1) & ~(x == x[i]).all(axis=1))
+        near = ok[np.lexsort((ids[ok], ((x[ok] - x[i]) ** 2).sum(axis=1)))][:10]
+        right, total = right + sum((ids[i], ids[j]) in found for j in near), total + len(near)
+    return right / total
+
+
+def test_graph_shards_recall(spark):
+    from quiverlake.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    recall = _recall(spark, QUERIES["graph_shards"](spark, sf).collect(), sf)
+    print("recall", recall)
+    assert recall >= 0.9
+
+
 def test_kmeans(spark):
     grows = lambda points, fits: [m := KMeans(spark, len(points[0])), m.add(rows(spark, points)), [m.fit(n) for n in fits], m][-1]
     line = [(2.0 * (i - 10),) * 2 for i in range(20)]
