@@ -345,6 +345,12 @@ def graph_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_shards(build_shards(embeddings(spark, sf_dir)), _asked(spark, sf_dir, ALL), 10, 0.1, beam=4)
 
 
+@query("graph_walk_all")
+def graph_walk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk of ``graph_walk``, which ends at the first passing nodes, over real graphs of the whole table; no SQL form."""
+    return _near(search_shards(build_shards(embeddings(spark, sf_dir)), _asked(spark, sf_dir, ALL), 10, 0.1))
+
+
 # k-means with the first two vectors as centroids
 
 _KM = f"""{E}, c AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS i, v AS c FROM e WHERE vec_id IN (0, 1)),

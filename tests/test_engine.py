@@ -176,6 +176,16 @@ def test_graph_shards_recall(spark):
     assert recall >= 0.9
 
 
+def test_graph_walk_all(spark):
+    from quiverlake.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["graph_walk_all"](spark, sf).collect()
+    recall = _recall(spark, got, sf)
+    print("recall", recall)
+    assert max(r["vec_id"] for r in got) >= 1800 and {r["query_id"] for r in got} == set(range(0, 2000, 20)) and recall >= 0.9
+
+
 def test_kmeans(spark):
     grows = lambda points, fits: [m := KMeans(spark, len(points[0])), m.add(rows(spark, points)), [m.fit(n) for n in fits], m][-1]
     line = [(2.0 * (i - 10),) * 2 for i in range(20)]
