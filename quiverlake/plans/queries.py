@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,13 +158,13 @@ def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lsh_query", _sign_query_sql("uniform", "{} = 0", 20, 0.1))
-def lsh_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(_lsh(spark, sf_dir, 0.1).query(_asked(spark, sf_dir, "{} = 0"), 20))
+def lsh_query(spark: SparkSession, sf_dir: str, which: str = "{} = 0") -> DataFrame:
+    return _scored(_lsh(spark, sf_dir, 0.1).query(_asked(spark, sf_dir, which), 20))
 
 
 @query("lsh_query_metadata", _sign_query_sql("uniform", "{} = 0", 20, 0.1, True))
-def lsh_query_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(_lsh(spark, sf_dir, 0.1).query(_asked(spark, sf_dir, "{} = 0"), 20, metadata=True), F.col("metadata")["label"].alias("label"))
+def lsh_query_metadata(spark: SparkSession, sf_dir: str, which: str = "{} = 0") -> DataFrame:
+    return _scored(_lsh(spark, sf_dir, 0.1).query(_asked(spark, sf_dir, which), 20, metadata=True), F.col("metadata")["label"].alias("label"))
 
 
 @query("lsh_query_batch", _sign_query_sql("gaussian", "{} % 10 = 0", 5, 0.2))
@@ -172,7 +173,7 @@ def lsh_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lsh_query_persistent", _sign_query_sql("gaussian", "{} % 25 = 0", 5, 0.2))
-def lsh_query_persistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lsh_query_persistent(spark: SparkSession, sf_dir: str, which: str = "{} % 25 = 0") -> DataFrame:
     """Two inserts, a compaction, and a read-only reopening in between."""
     store = ParquetStore(spark, mode="temporary")
     index = LshIndex(spark, HASHES, BANDS, DIM, 0.2, store, "gaussian")
@@ -181,18 +182,18 @@ def lsh_query_persistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.insert(e)
     index.compact()
     again = LshIndex(spark, HASHES, BANDS, DIM, 0.2, ParquetStore(spark, store.path, "readonly"), "gaussian")
-    return _scored(again.query(_asked(spark, sf_dir, "{} % 25 = 0"), 5))
+    return _scored(again.query(_asked(spark, sf_dir, which), 5))
 
 
 @query("lsh_dissimilar", f"{_sign_sql('uniform')}, r AS (SELECT o.vec_id, o.label, list_cosine_similarity(o.v, q.q) AS sim FROM e o, q WHERE (SELECT sig FROM g WHERE vec_id = o.vec_id) <> (SELECT sig FROM g WHERE vec_id = 0)) SELECT 0::BIGINT AS query_id, vec_id, round(sim, 6) AS similarity, label::VARCHAR AS label FROM r ORDER BY sim, vec_id LIMIT 300")
-def lsh_dissimilar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _lsh(spark, sf_dir, 0.1).query_dissimilar(_asked(spark, sf_dir, "{} = 0"), 300)
+def lsh_dissimilar(spark: SparkSession, sf_dir: str, which: str = "{} = 0") -> DataFrame:
+    out = _lsh(spark, sf_dir, 0.1).query_dissimilar(_asked(spark, sf_dir, which), 300)
     return out.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("metadata")["label"].alias("label"))
 
 
 @query("sample_excluding", f"{_sign_sql('gaussian')} SELECT x.vec_id AS query_id, y.vec_id FROM g x JOIN g y ON x.sig <> y.sig WHERE x.vec_id IN (0, 7)")
-def sample_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lsh(spark, sf_dir, 0.1, "gaussian").sample_excluding(_asked(spark, sf_dir, "{} IN (0, 7)"), 100_000).select("query_id", "vec_id")
+def sample_excluding(spark: SparkSession, sf_dir: str, which: str = "{} IN (0, 7)") -> DataFrame:
+    return _lsh(spark, sf_dir, 0.1, "gaussian").sample_excluding(_asked(spark, sf_dir, which), 100_000).select("query_id", "vec_id")
 
 
 @query("bucket_sizes", f"{_sign_sql('uniform')} SELECT band, key, count(*)::BIGINT AS n FROM b GROUP BY band, key")
@@ -245,16 +246,20 @@ b AS (SELECT vec_id, (i // 2)::INTEGER AS band, 'm' || (i // 2) || '_' || string
 _AGREE = f"(SELECT x.vec_id AS query_id, y.vec_id, sum(CASE WHEN x.h = y.h THEN 1 ELSE 0 END) / {_MH}.0 AS sim FROM h x JOIN h y USING (i) WHERE x.vec_id <= 5 GROUP BY ALL)"
 
 
+#: The query set of the MinHash searches that have this in their SQL.
+FIVE = "{} <= 5"
+
+
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("vec_id"), F.col("l_partkey").cast("double").alias("e"))
     return rows.groupBy("vec_id").agg(F.sort_array(F.collect_set("e")).alias("vec")).withColumn("metadata", F.create_map(F.lit("id"), F.col("vec_id").cast("string")))
 
 
-def _minhash(spark: SparkSession, sf_dir: str) -> tuple[MinHashIndex, DataFrame]:
+def _minhash(spark: SparkSession, sf_dir: str, which: str = FIVE) -> tuple[MinHashIndex, DataFrame]:
     index = MinHashIndex(spark, _MH, _MB, 0.1)
     sets = _sets(spark, sf_dir).persist()
     index.insert(sets)
-    asked = sets.where("vec_id <= 5").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    asked = sets.where(which.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
     return index, asked
 
 
@@ -269,9 +274,9 @@ def minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("minhash_estimated_jaccard", f"{_SETS} SELECT query_id, vec_id, round(sim, 6)::DOUBLE AS similarity FROM {_AGREE}")
-def minhash_estimated_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def minhash_estimated_jaccard(spark: SparkSession, sf_dir: str, which: str = FIVE) -> DataFrame:
     sig = _sets(spark, sf_dir).select("vec_id", hashing.minhash_signature(hashing.as_set(F.col("vec")), _MH).alias("sig"))
-    asked = F.broadcast(sig.where("vec_id <= 5").select(F.col("vec_id").alias("query_id"), F.col("sig").alias("query_sig")))  # five rows
+    asked = sig.where(which.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("sig").alias("query_sig"))
     return sig.crossJoin(asked).select("query_id", "vec_id", F.round(hashing.agreement(F.col("sig"), F.col("query_sig"), _MH), 6).alias("similarity"))
 
 
@@ -280,20 +285,20 @@ t AS (SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORD
 
 
 @query("minhash_query", f"{_MINHASH} SELECT query_id, vec_id, round(sim, 6)::DOUBLE AS similarity, rank::INTEGER AS rank FROM t WHERE rank <= 10")
-def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, asked = _minhash(spark, sf_dir)
+def minhash_query(spark: SparkSession, sf_dir: str, which: str = FIVE) -> DataFrame:
+    index, asked = _minhash(spark, sf_dir, which)
     return _scored(index.query(asked, 10))
 
 
 @query("minhash_query_metadata", f"{_MINHASH} SELECT query_id, vec_id, round(sim, 6)::DOUBLE AS similarity, rank::INTEGER AS rank, vec_id::VARCHAR AS id FROM t WHERE rank <= 10")
-def minhash_query_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, asked = _minhash(spark, sf_dir)
+def minhash_query_metadata(spark: SparkSession, sf_dir: str, which: str = FIVE) -> DataFrame:
+    index, asked = _minhash(spark, sf_dir, which)
     return _scored(index.query(asked, 10, metadata=True), F.col("metadata")["id"].alias("id"))
 
 
 @query("minhash_dissimilar", f"{_SETS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim, vec_id) AS rank FROM {_AGREE} WHERE sim < 1) SELECT query_id, vec_id, round(sim, 6)::DOUBLE AS similarity FROM t WHERE rank <= 200")
-def minhash_dissimilar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, asked = _minhash(spark, sf_dir)
+def minhash_dissimilar(spark: SparkSession, sf_dir: str, which: str = FIVE) -> DataFrame:
+    index, asked = _minhash(spark, sf_dir, which)
     return index.query_dissimilar(asked, 200).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -315,13 +320,13 @@ def _graph(spark: SparkSession, sf_dir: str, which: str = "true") -> GraphIndex:
 
 
 @query("graph_query", _NEAR.format("", "", ""))
-def graph_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(_graph(spark, sf_dir).query(_asked(spark, sf_dir, "{} % 40 = 3"), 10))
+def graph_query(spark: SparkSession, sf_dir: str, which: str = "{} % 40 = 3") -> DataFrame:
+    return _near(_graph(spark, sf_dir).query(_asked(spark, sf_dir, which), 10))
 
 
 @query("graph_query_metadata", _NEAR.format("", "", ", label::VARCHAR AS label"))
-def graph_query_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(_graph(spark, sf_dir).query(_asked(spark, sf_dir, "{} % 40 = 3"), 10, metadata=True), F.col("metadata")["label"].alias("label"))
+def graph_query_metadata(spark: SparkSession, sf_dir: str, which: str = "{} % 40 = 3") -> DataFrame:
+    return _near(_graph(spark, sf_dir).query(_asked(spark, sf_dir, which), 10, metadata=True), F.col("metadata")["label"].alias("label"))
 
 
 @query("graph_walk", _NEAR.format("AND o.vec_id < 200", "o0,", "").replace("o.label,", "o.label, o.vec_id <> 0 AS o0,"))
@@ -396,11 +401,11 @@ def kmeans_should_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("kmeans_query", f"{_KM}, t AS (SELECT vec_id, v, cluster, row_number() OVER (PARTITION BY cluster ORDER BY vec_id) AS rank FROM a) SELECT s.vec_id AS query_id, t.vec_id, t.rank::INTEGER AS rank FROM a s JOIN t USING (cluster) WHERE s.vec_id % 100 = 7 AND t.rank <= 10 AND t.v <> s.v")
-def kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kmeans_query(spark: SparkSession, sf_dir: str, which: str = "{} % 100 = 7") -> DataFrame:
     model = kmeans.KMeans(spark, DIM)
     model.centroids = list(_centroids(spark, sf_dir))
     model.add(embeddings(spark, sf_dir).drop("metadata"))
-    return model.query(_asked(spark, sf_dir, "{} % 100 = 7"), 10).select("query_id", "vec_id", "rank")
+    return model.query(_asked(spark, sf_dir, which), 10).select("query_id", "vec_id", "rank")
 
 
 @query("kmeans_fit")
@@ -410,3 +415,22 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     model.add(embeddings(spark, sf_dir).drop("metadata"))
     model.fit(5)
     return model.results().select("vec_id", "cluster")
+
+
+# the searches above with every id divisible by 20 as a query; lsh_dissimilar's SQL is for one query, so it has none here
+
+for _f, _which in (
+    (lsh_query, "x.vec_id = 0"),
+    (lsh_query_metadata, "x.vec_id = 0"),
+    (lsh_query_persistent, "x.vec_id % 25 = 0"),
+    (lsh_dissimilar, None),
+    (sample_excluding, "x.vec_id IN (0, 7)"),
+    (minhash_estimated_jaccard, "x.vec_id <= 5"),
+    (minhash_query, "x.vec_id <= 5"),
+    (minhash_query_metadata, "x.vec_id <= 5"),
+    (minhash_dissimilar, "x.vec_id <= 5"),
+    (graph_query, "s.vec_id % 40 = 3"),
+    (graph_query_metadata, "s.vec_id % 40 = 3"),
+    (kmeans_query, "s.vec_id % 100 = 7"),
+):
+    query(f"{_f.__name__}_all", _which and SQL[_f.__name__].replace(_which, ALL.format(_which.split()[0])))(partial(_f, which=ALL))

@@ -246,6 +246,17 @@ def test_capabilities(spark, tmp_path):
             calls[name]()
 
 
+def test_whole_query_sets(spark, sf):
+    from quiverlake.plans.queries import QUERIES
+
+    for name, f in QUERIES.items():
+        if name.endswith("_all"):
+            ids = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_suppkey AS i") if "minhash" in name else spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS i")
+            want = {r["i"] for r in ids.where("i % 20 = 0").distinct().collect()}
+            got = {r["query_id"] for r in f(spark, sf).select("query_id").distinct().collect()}
+            assert got == want, name
+
+
 def test_stream(spark, sf, tmp_path):
     index = LshIndex(spark, 8, 4, 64, 0.5, ParquetStore(spark, f"file://{tmp_path}/s"))
     kind = spark.read.parquet(f"{sf}/embeddings.parquet").schema
