@@ -1,20 +1,19 @@
 """Substring dedup: paragraph MinHash banding.
 
-Repeated passages begin anywhere, so paragraphs are cut by content: a word position whose three-word hash is the least of its ``2 * radius + 1`` neighbours is an
-anchor, and the ``width`` words around it are a paragraph. The same passage has the same anchors wherever it stands; anchors are ``radius + 1`` words apart
-at least and about ``2 * radius + 1`` on average. At a width of 20 and a radius of 6, a passage of 50 words lacks a whole paragraph with odds of about 0.001, one of 60 with 0.00003.
+Words are runs between ASCII white space, ASCII-lower-cased. Two kinds of paragraph are looked at.
 
-Equal paragraphs are one content (a grouped minimum, whatever their number). Contents are banded by MinHash over five-word shingles; those that
-collide are verified by exact Jaccard similarity, and links become components. Of each component, the smallest doc_id keeps its paragraphs; in all other
-documents they are removals, merged where they touch. Documents are read twice; the second time only paragraphs that repeat or collide
-leave the scan, as told by a bit table of fixed size (which lets extra rows through when full, and loses none).
+Paragraphs of the text: lines and blocks (lines between blank ones) of ``min_words`` or more, and whole texts of five words or more. They are banded by MinHash
+over five-word shingles; paragraphs that meet in a band are verified by exact Jaccard similarity of their shingle sets, and links become components. One
+changed word inside a paragraph costs five shingles, so a paragraph of 49 words or more stays at 0.8. Bands: 8 of 3 rows, which find a similarity
+of 0.8 with odds of 0.997.
 
-``whole_passages`` adds what those paragraphs cannot hold. Lines and blocks (lines between blank ones) of five words or more are units of their own, compared
-whole at the same similarity with twice the bands. And every run of ``width`` equal words that two documents share is taken, at whatever word it begins: two equal runs
-have the same least eight-word hash (their seed), so runs whose seed repeats are compared exactly, one at each word. Together they
-cover a shared passage from its first word to its last.
+Sliding paragraphs, for passages that lie inside longer lines: ``width`` words from a position whose three-word hash is the least of some ``spread`` neighbouring
+ones (winnowing). They are compared for equality alone, so their one band is their content. Any ``width + spread + 2`` equal words (50)
+hold a whole one, at the same place in each copy. At the ends of a passage inside a line fewer than ``spread`` words can be left over.
 
-Bands: 4 of 3 rows. Of 16 shingles, Jaccard 0.8 means 15 shared (0.882) or more, found with odds of 0.990 at least; equal paragraphs always meet.
+Equal content is equal by 128 bits of hash; shingles are told apart by 64 bits inside one comparison. Of each component, the smallest doc_id keeps its paragraphs; in all
+other documents they are removals, merged where they touch. All paragraphs are written once; what follows are joins and grouped minima
+of that table, and the texts of colliding paragraphs alone are fetched again.
 """
 
 from __future__ import annotations
@@ -28,319 +27,250 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialize, partitions, remove
+from .common import free_shuffles, materialize, partitions, remove
 from .components import connected_components
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BITS = 1 << 24
 _K = 5
-_SEED = 8
+_SEED = 3
+_BYTES = 1 << 23
 
 
-def _slide(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of ``x[i : i + w]`` for every ``i`` that has ``w`` values."""
+def _slide(x: np.ndarray, w: int, least=np.minimum) -> np.ndarray:
+    """Minimum (or maximum) of ``x[i : i + w]`` for every ``i`` that has ``w`` values."""
     done, out = 1, x
     while done < w:
         step = min(done, w - done)
-        out = np.minimum(out[:-step], out[step:])
+        out = least(out[:-step], out[step:])
         done += step
     return out
 
 
-def anchors(h: np.ndarray, doc: np.ndarray, radius: int) -> np.ndarray:
-    """Word positions that are local minima within their document; of equal values, the first."""
-    if len(h) < 3:
+def winnowed(h: np.ndarray, doc: np.ndarray, spread: int) -> np.ndarray:
+    """Word positions whose three-word hash is the least of some ``spread`` neighbouring ones of the document; of equal ones closer than that, one in ``spread`` words."""
+    if len(h) < _SEED:
         return np.zeros(0, np.int64)
     v = np.full(len(h), _MAX)
-    inside = doc[2:] == doc[:-2]
-    v[:-2][inside] = tv.shingles(h, 3)[inside]
-    at = np.arange(len(h)) + (doc - doc[0] + 1) * radius  # places between documents hold the largest value
-    padded = np.full(int(at[-1]) + radius + 1, _MAX)
+    inside = doc[_SEED - 1 :] == doc[: len(doc) - _SEED + 1]
+    v[: len(inside)][inside] = tv.shingles(h, _SEED)[inside]
+    at = np.arange(len(h)) + (doc - doc[0] + 1) * spread  # places before and between documents hold the largest value
+    padded = np.full(int(at[-1]) + 2 * spread, _MAX)
     padded[at] = v
-    low = _slide(padded, radius)
-    return np.flatnonzero((v < low[at - radius]) & (v <= low[np.minimum(at + 1, len(low) - 1)]) & (v != _MAX))
-
-
-def natural_units(raw: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words, and the words after the last, of all lines and of blocks of several lines, that have ``_K`` words or more."""
+    low = np.concatenate((np.zeros(spread - 1, np.uint64), _slide(padded, spread)))
+    pos = np.flatnonzero((_slide(low, spread, np.maximum)[at] == v) & (v != _MAX))
+    if not len(pos):
+        return pos
+    new = np.append(True, (v[pos[1:]] != v[pos[:-1]]) | (doc[pos[1:]] != doc[pos[:-1]]) | (pos[1:] - pos[:-1] >= spread))
+    first = np.maximum.accumulate(np.where(new, pos, 0))
+    step = (pos - first) // spread
+    return pos[np.append(True, new[1:] | (step[1:] != step[:-1]))]
+
+
+def natural_units(raw: np.ndarray, start: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words, and the words after the last, of lines, of blocks of several lines, and of texts that are neither."""
     ends = np.flatnonzero(raw == 10)
     line = np.searchsorted(ends, start)
     filled = np.concatenate(([0], np.cumsum(~tv.SPACES[raw])))[ends]
-    blanks = np.cumsum(np.diff(filled, prepend=0) == 0)[line]
+    block = np.cumsum(np.diff(filled, prepend=0) == 0)[line]
+    new_doc = doc[1:] != doc[:-1]
     first, last = [], []
-    for cut in (line[1:] != line[:-1], (doc[1:] != doc[:-1]) | (blanks[1:] != blanks[:-1])):
+    for cut, below in ((line[1:] != line[:-1], None), (new_doc | (block[1:] != block[:-1]), line), (new_doc, block)):
         at = np.concatenate(([0], np.flatnonzero(cut) + 1, [len(start)]))
         lo, hi = at[:-1], at[1:]
-        ok = hi - lo >= _K
-        if first:
-            ok &= line[lo] != line[hi - 1]  # else it is a line
+        if below is line or below is None:
+            ok = hi - lo >= min_words
+        else:
+            ok = hi - lo >= _K
+        if below is not None:  # what lies in one line or block is that line or block, if it is long enough to be a unit
+            ok &= (below[lo] != below[hi - 1]) | (hi - lo < min_words)
         first.append(lo[ok])
         last.append(hi[ok])
     return np.concatenate(first), np.concatenate(last)
 
 
-class Paragraphs:
-    """The paragraphs of a batch of texts: document, word span, contents and shingles. With ``natural``, lines and blocks follow them."""
+class Words:
+    """The words of a batch of texts: byte spans, document, hashes, and the hash of any span of words."""
 
-    def __init__(self, texts: list[bytes], width: int, radius: int, natural: bool = False):
+    def __init__(self, texts: list[bytes]):
         self.raw, self.offsets = tv.joined([t.lower() for t in texts])
-        s, e = tv.words(self.raw, tv.PUNCTUATION)
-        doc = np.searchsorted(self.offsets, s, "right") - 1
-        h = tv.hashes(self.raw, s, e)
-        a = anchors(h, doc, radius)
-        half = width // 2
-        a = a[(a >= half) & (a + half <= len(h))]
-        a = a[(doc[a - half] == doc[a]) & (doc[np.minimum(a + half, len(h)) - 1] == doc[a])] if len(a) else a
-        self.n_anchored, self.sh, n = len(a), tv.shingles(h, _K), 2 * half - _K + 1
-        content = np.zeros(len(a), np.uint64)
-        for i in sorted({*range(0, n, _K), n - 1}) if len(a) else ():
-            content = tv.mix(content * np.uint64(0x9E3779B97F4A7C15) ^ self.sh[a - half + i])
-        self.first, self.last = a - half, a + half
-        if natural and len(h):
-            lo, hi = natural_units(self.raw, s, doc)
-            power, inverse = tv._powers(len(h) + 1)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)))
-            own = tv.mix((total[hi] - total[lo]) * inverse[lo] ^ tv.mix((hi - lo).astype(np.uint64)))
-            self.first, self.last, content = np.concatenate((self.first, lo)), np.concatenate((self.last, hi)), np.concatenate((content, own))
-        self.doc, self.start, self.end = (doc[self.first], s[self.first], e[self.last - 1]) if len(self.first) else (self.first,) * 3
-        self.content = content.view(np.int64)
-
-    def shingles(self, i: int) -> np.ndarray:
-        return self.sh[self.first[i] : self.last[i] - _K + 1]
-
-    def points(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends in code points of the document."""
-        lead = np.concatenate(([0], np.cumsum((self.raw & 0xC0) != 0x80)))
-        base = lead[self.offsets[self.doc]]
-        return lead[self.start] - base, lead[self.end] - base
-
-    def keys(self, bands: int, rows: int) -> pa.Array:
-        """Lists of ``bands`` keys, of twice as many for lines and blocks."""
-        rng = np.random.default_rng(977)
-        many = bands * 2 if len(self.content) > self.n_anchored else bands
-        out = np.zeros((len(self.content), many), np.uint64)
-        at = np.stack((self.first, self.last - _K + 1), axis=1).ravel()
-        for b in range(many):
-            key = np.full(len(self.content), np.uint64(b + 1))
-            for _ in range(rows):
-                mul, add = rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                low = np.minimum.reduceat(np.append(self.sh * mul + add, _MAX), at)[::2] if len(at) else np.zeros(0, np.uint64)
-                key = tv.mix(key * np.uint64(0xD1342543DE82EF95) ^ low)
-            out[:, b] = key
-        out = out.view(np.int64)
-        return pa.concat_arrays([_lists(np.ascontiguousarray(out[: self.n_anchored, :bands])), _lists(out[self.n_anchored :])])
-
-
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.from_numpy_dtype(x.dtype)))
-
-
-def _first_scan(width: int, radius: int, bands: int, rows: int, natural: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in tv.slices(b, "text", 1 << 21):
-                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, radius, natural)
-                content, first = np.unique(own.content, return_index=True)  # equal paragraphs of a batch: one row with the least and largest document
-                ids = part.column("doc_id").to_numpy()[own.doc]
-                at = np.searchsorted(content, own.content)
-                lo, hi = np.full(len(content), np.iinfo(np.int64).max), np.full(len(content), np.iinfo(np.int64).min)
-                np.minimum.at(lo, at, ids)
-                np.maximum.at(hi, at, ids)
-                yield pa.record_batch([pa.array(content), pa.array(lo), pa.array(hi), own.keys(bands, rows).take(pa.array(first))], ["content", "lo", "hi", "keys"])
-        tv.release()
-
-    return run
-
+        self.s, self.e = tv.words(self.raw)
+        self.doc = np.searchsorted(self.offsets, self.s, "right") - 1
+        self.h = tv.hashes(self.raw, self.s, self.e)
+        power, self.inverse = tv._powers(len(self.h) + 1)
+        self.totals = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64))) for x in (self.h, tv.mix(self.h ^ np.uint64(0x5851F42D4C957F2D)))]
+
+    def content(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """128 bits for each span, as two columns."""
+        size = tv.mix((hi - lo).astype(np.uint64))
+        return np.stack([tv.mix((t[hi] - t[lo]) * self.inverse[lo] ^ size) for t in self.totals], 1)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(x)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+
+
+def _minima(sh: np.ndarray, first: np.ndarray, last: np.ndarray, bands: int, rows: int) -> Iterator[np.ndarray]:
+    """For each band, the key of every unit."""
+    rng = np.random.default_rng(977)
+    at = np.stack((first, last - _K + 1), axis=1).ravel()
+    for b in range(bands):
+        key = np.full(len(first), np.uint64(b + 1))
+        for _ in range(rows):
+            mul, add = rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            low = np.minimum.reduceat(np.append(sh * mul + add, _MAX), at)[::2] if len(at) else np.zeros(0, np.uint64)
+            key = tv.mix(key * np.uint64(0xD1342543DE82EF95) ^ low)
+        yield key.view(np.int64)
+
+
+def _scan(width: int, spread: int, min_words: int, bands: int, rows: int):
+    def units(part: pa.RecordBatch) -> pa.RecordBatch:
+        own = Words([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+        lo, hi = natural_units(own.raw, own.s, own.doc, min_words) if len(own.h) else (np.zeros(0, np.int64),) * 2
+        at = winnowed(own.h, own.doc, spread)
+        at = at[at + width <= len(own.h)]
+        at = at[own.doc[at] == own.doc[at + width - 1]]
+        keys = [pa.concat_arrays([pa.array(k), pa.nulls(len(at), pa.int64())]) for k in _minima(tv.shingles(own.h, _K), lo, hi, bands, rows)]
+        lo, hi = np.concatenate((lo, at)), np.concatenate((hi, at + width))
+        lead = np.concatenate(([0], np.cumsum((own.raw & 0xC0) != 0x80)))
+        doc = own.doc[lo] if len(lo) else lo
+        base = lead[own.offsets[doc]] if len(lo) else lo
+        start, end = (lead[x] - base if len(lo) else lo for x in ((own.s[lo], own.e[hi - 1]) if len(lo) else (lo, lo)))
+        columns = [_binary(own.content(lo, hi)), part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), *keys]
+        return pa.record_batch(columns, ["content", "doc_id", "start", "end", *_keys(bands)])
 
-def _second_scan(width: int, radius: int, natural: bool, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, colliding = (np.unpackbits(t, bitorder="little").view(bool) for t in tables.value)
         for b in batches:
             for part in tv.slices(b, "text", 1 << 21):
-                own = Paragraphs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width, radius, natural)
-                bit = own.content.view(np.uint64) & np.uint64(_BITS - 1)
-                asked = colliding[bit]
-                pick = np.flatnonzero(repeated[bit] | asked)
-                start, end = own.points()
-                given = np.zeros(len(asked), bool)
-                given[np.unique(own.content, return_index=True)[1]] = True  # the shingles of a content once in a batch
-                sets = [own.shingles(i).astype(np.uint32).tobytes() if asked[i] and given[i] else None for i in pick]
-                yield pa.record_batch([pa.array(own.content[pick]), part.column("doc_id").take(pa.array(own.doc[pick])), pa.array(start[pick]), pa.array(end[pick]), pa.array(sets, pa.binary())], ["content", "doc_id", "start", "end", "shingles"])
+                yield units(part)
         tv.release()
 
     return run
 
 
-def _bit_table(contents: DataFrame) -> np.ndarray:
-    """``_BITS`` bits as bytes, those of the contents set; the driver gets one row a 64-bit word at most, whatever the number of contents."""
-    bit = F.col("content").bitwiseAND(F.lit(_BITS - 1))
-    words = contents.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(content & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    out = np.zeros(_BITS // 64, np.int64)
-    got = words.toPandas()
-    out[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
-    return out.view(np.uint8)
+def _keys(bands: int) -> list[str]:
+    return [f"k{b}" for b in range(bands)]
+
+
+def _forest(contents: list[bytes], sets: list[np.ndarray], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links of a spanning forest of those of this similarity: each set is compared with those not yet reached."""
+    sizes = np.array([len(s) for s in sets])
+    left, out = np.arange(len(sets)), []
+    held, flat, bound = left[:0], None, None
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop()
+            if flat is None or 2 * len(left) < len(held):
+                held, flat = left, np.concatenate([sets[i] for i in left])
+                bound = np.cumsum(sizes[held]) - sizes[held]
+            place = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
+            shared = np.add.reduceat((sets[at][place] == flat).astype(np.int64), bound)[np.searchsorted(held, left)]
+            hit = shared >= similarity * (sizes[left] + sizes[at] - shared) - 1e-9
+            out += [(contents[at], contents[i]) for i in left[hit]]
+            front.extend(left[hit].tolist())
+            left = left[~hit]
+    return out
 
 
 def _verify(similarity: float):
-    """Groups of one key (and pair of chunks): a spanning forest of the links of this similarity."""
-
-    def forest(contents: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        size = max(len(s) for s in sets)
-        sizes = np.array([len(s) for s in sets])
-        narrow = size <= 32
-        if narrow:
-            table = np.stack([np.concatenate((s, np.arange(size - len(s), dtype=np.uint32))) for s in sets])  # fillers are told apart by the sizes below
-            real = np.arange(size)[None, :] < sizes[:, None]
-        left, out = np.arange(len(sets)), []
-        flat, held = None, left
-        while len(left):
-            front, left = [left[0]], left[1:]
-            while front and len(left):
-                at = front.pop()
-                if narrow:
-                    shared = ((table[left][:, :, None] == sets[at][None, None, :]).any(axis=2) & real[left]).sum(axis=1)
-                else:
-                    if flat is None or 2 * len(left) < len(held):
-                        held, flat = left, np.concatenate([sets[i] for i in left])
-                        bound = np.cumsum(sizes[held]) - sizes[held]
-                    place = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
-                    shared = np.add.reduceat((sets[at][place] == flat).astype(np.int64), bound)[np.searchsorted(held, left)]
-                hit = shared >= similarity * (sizes[left] + sizes[at] - shared) - 1e-9
-                out += [(int(contents[at]), int(contents[i])) for i in left[hit]]
-                front.extend(left[hit].tolist())
-                left = left[~hit]
+    """Groups of paragraphs that meet: a spanning forest of the links of this similarity. A text that is not its content's (of another row with that doc_id) is left out."""
+
+    def links(t: pa.Table) -> list[tuple[bytes, bytes]]:
+        own = Words([x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()])
+        rows = np.arange(t.num_rows)
+        lo, hi = np.searchsorted(own.doc, rows), np.searchsorted(own.doc, rows, "right")
+        contents, found = t.column("content").to_pylist(), own.content(lo, hi)
+        right = [hi[i] - lo[i] >= _K and found[i].tobytes() == contents[i] for i in rows]
+        sh, out = tv.shingles(own.h, _K), []
+        for a, b in tv.bounds(t, ("id", "a", "b")):
+            pick = [i for i in range(a, b) if right[i]]
+            if len(pick) > 1:
+                out += _forest([contents[i] for i in pick], [np.unique(sh[lo[i] : hi[i] - _K + 1]) for i in pick], similarity)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tv.runs(batches, ("key", "a", "b")):
-            links: list[tuple[int, int]] = []
-            contents, blobs = t.column("content").to_numpy(), t.column("shingles").to_pylist()
-            for lo, hi in tv.bounds(t, ("key", "a", "b")):
-                if hi - lo > 1:
-                    links += forest(contents[lo:hi], [np.unique(np.frombuffer(x, np.uint32)) for x in blobs[lo:hi]])
-            a, b = zip(*links, strict=True) if links else ((), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-class Runs:
-    """All runs of ``width`` words inside a document: first word and seed."""
-
-    def __init__(self, texts: list[bytes], width: int):
-        self.raw, self.offsets = tv.joined([t.lower() for t in texts])
-        self.s, self.e = tv.words(self.raw, tv.PUNCTUATION)
-        self.h, self.width = tv.hashes(self.raw, self.s, self.e), width
-        self.doc = np.searchsorted(self.offsets, self.s, "right") - 1
-        k = min(_SEED, width)
-        at = np.flatnonzero(self.doc[width - 1 :] == self.doc[: len(self.doc) - width + 1]) if len(self.h) >= width else np.zeros(0, np.int64)
-        self.first, self.seed = at, _slide(tv.shingles(self.h, k), width - k + 1)[at] if len(at) else np.zeros(0, np.uint64)
-
-    def points(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lead = np.concatenate(([0], np.cumsum((self.raw & 0xC0) != 0x80)))
-        base = lead[self.offsets[self.doc[at]]]
-        return lead[self.s[at]] - base, lead[self.e[at + self.width - 1]] - base
-
-
-def _seed_scan(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in tv.slices(b, "text", 1 << 21):
-                own = Runs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width)
-                new = np.append(True, (own.seed[1:] != own.seed[:-1]) | (own.doc[own.first][1:] != own.doc[own.first][:-1]))[: len(own.seed)]
-                seed, ids = own.seed[new], part.column("doc_id").to_numpy()[own.doc[own.first[new]]]
-                content, at = np.unique(seed, return_inverse=True)
-                lo, hi = np.full(len(content), np.iinfo(np.int64).max), np.full(len(content), np.iinfo(np.int64).min)
-                np.minimum.at(lo, at, ids)
-                np.maximum.at(hi, at, ids)
-                yield pa.record_batch([pa.array(content.view(np.int64)), pa.array(lo), pa.array(hi)], ["content", "lo", "hi"])
+        for t in tv.runs(batches, ("id", "a", "b")):
+            a, b = zip(*found, strict=True) if (found := links(t)) else ((), ())
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
         tv.release()
 
     return run
 
 
-def _run_scan(width: int, table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = np.unpackbits(table.value, bitorder="little").view(bool)
-        for b in batches:
-            for part in tv.slices(b, "text", 1 << 21):
-                own = Runs([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], width)
-                at = own.first[repeated[own.seed & np.uint64(_BITS - 1)]]
-                content = tv.shingles(own.h, width)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
-                start, end = own.points(at)
-                yield pa.record_batch([pa.array(content), part.column("doc_id").take(pa.array(own.doc[at])), pa.array(start), pa.array(end)], ["content", "doc_id", "start", "end"])
-        tv.release()
-
-    return run
+def _compared(pairs: DataFrame, similarity: float) -> DataFrame:
+    return pairs.repartition(partitions(pairs.sparkSession), "id", "a", "b").sortWithinPartitions("id", "a", "b").mapInArrow(_verify(similarity), "a binary, b binary")
 
 
-def _equal_runs(texts: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
-    """``(doc_id, start, end, kept_doc_id)``: every run of ``width`` words that a smaller doc_id holds too, and the folders it is read from."""
-    spark = texts.sparkSession
-    seeds, seeds_path = materialize(texts.mapInArrow(_seed_scan(width), "content long, lo long, hi long").groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("content"), "seeds")
-    table = spark.sparkContext.broadcast(_bit_table(seeds))
-    remove(spark, seeds_path)
-    runs, runs_path = materialize(texts.mapInArrow(_run_scan(width, table), "content long, doc_id long, start long, end long"), "runs")
-    owners = runs.groupBy("content").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
-    owners, owners_path = materialize(owners, "run-owners")
-    gone = runs.join(owners, "content").where("doc_id <> kept_doc_id").select("doc_id", "start", "end", "kept_doc_id")
-    return gone, [runs_path, owners_path]
+def similar_contents(texts: DataFrame, units: DataFrame, bands: int, similarity: float, chunk: int) -> tuple[DataFrame, list[str]]:
+    """``(content, component)`` of all paragraphs with a link to another content, and the folders to remove in the end.
 
-
-def repeated_passages(docs: DataFrame, width: int = 20, radius: int = 6, bands: int = 4, rows: int = 3, similarity: float = 0.8, chunk: int = 1024, natural: bool = False, runs: bool = False) -> DataFrame:
+    A bucket of over ``chunk`` contents is dealt into chunks, in another way for each band, and compared inside them; near copies of one another become one
+    component by the bands together. Only buckets that still hold several components are compared across all pairs of their chunks.
+    """
+    natural = units.where("k0 is not null")
+    contents, contents_path = materialize(natural.groupBy("content").agg(F.max(F.col("end") - F.col("start")).cast("long").alias("size"), *[F.min(k).alias(k) for k in _keys(bands)]), "contents")
+    free_shuffles(texts.sparkSession)
+    keyed = contents.select("content", "size", F.explode(F.array(*_keys(bands))).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("content")).alias("bucket")).where("n > 1")
+    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("size") / _BYTES)).cast("int")
+    buckets = buckets.select("key", chunks.alias("chunks"), F.when(chunks == 1, F.col("bucket")).otherwise(F.col("key")).alias("id"))  # small buckets of the same contents are compared once
+    members, members_path = materialize(keyed.drop("size").join(buckets, "key").select("content", "id", "chunks").distinct(), "members")
+    free_shuffles(texts.sparkSession)
+    wanted = natural.select("content", "doc_id", "start", "end").join(members.select("content").distinct(), "content", "left_semi")
+    wanted = wanted.groupBy("content").agg(F.min(F.struct("doc_id", "start", "end")).alias("at")).groupBy("at.doc_id").agg(F.collect_list(F.struct("content", "at.start", "at.end")).alias("wanted"))
+    given = F.transform("wanted", lambda w: F.struct(w["content"].alias("content"), F.substr("text", w["start"] + 1, w["end"] - w["start"]).alias("text")))
+    sets, sets_path = materialize(texts.join(wanted, "doc_id").select(F.explode(given).alias("given")).select("given.*"), "sets")
+    free_shuffles(texts.sparkSession)
+    pairs = members.join(sets, "content").withColumn("a", F.pmod(F.xxhash64("content", "id"), F.col("chunks")).cast("int"))
+    links, links_path = materialize(_compared(pairs.select("id", "a", F.col("a").alias("b"), "content", "text"), similarity), "links")
+    groups, groups_path = materialize(connected_components(links).select(F.col("node").alias("content"), "component"), "groups")
+    paths = [contents_path, members_path, sets_path, links_path, groups_path]
+    crowded = members.where("chunks > 1").join(groups, "content", "left").groupBy("id").agg(F.min(F.coalesce("component", "content")).alias("a"), F.max(F.coalesce("component", "content")).alias("b"))
+    crowded, crowded_path = materialize(crowded.where("a <> b").select("id"), "crowded")
+    if not crowded.isEmpty():
+        across = pairs.join(crowded, "id", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> a")
+        more = _compared(across.select("id", F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b"), "content", "text"), similarity)
+        more, more_path = materialize(more, "links")
+        groups, groups_path = materialize(connected_components(links.unionByName(more)).select(F.col("node").alias("content"), "component"), "groups")
+        paths += [more_path, groups_path]
+    remove(texts.sparkSession, *paths[:-1], crowded_path)
+    return groups, paths[-1:]
+
+
+def repeated_passages(docs: DataFrame, width: int = 28, spread: int = 20, min_words: int = 40, bands: int = 8, rows: int = 3, similarity: float = 0.8, chunk: int = 256) -> DataFrame:
     """``(doc_id, start, end, kept_doc_id, n_paragraphs)``: passages to remove, as spans of code points, and the smallest document that keeps one of their paragraphs.
 
-    Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters. A paragraph that repeats inside one document alone is no
-    removal. Null and empty texts and those of fewer than ``width`` words have no paragraph. Inside a run of one repeated word all
-    hashes tie, so it has an anchor at its start alone: such a run is not a passage. Rows with one doc_id are one document (equal rows give
-    one set of spans); a null doc_id takes no part. Other columns are not read; an empty table gives an empty table. With ``natural``,
-    lines and blocks are paragraphs too, and with ``runs`` all equal runs of ``width`` words are removed to their ends (no
-    paragraphs by count: a span of runs alone has an ``n_paragraphs`` of 1).
+    A paragraph that repeats inside one document alone is no removal. Null and empty texts and those of fewer than five words have no paragraph; a text of fewer than
+    ``min_words`` words is a paragraph as a whole, but its lines are not. Repeats of fewer words than ``min_words`` inside longer texts are found by sliding paragraphs
+    or not at all; a smaller ``min_words`` finds lines of five words on. Rows with one doc_id are one document (equal rows give one set of
+    spans); a null doc_id takes no part. Other columns are not read; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = texts.mapInArrow(_first_scan(width, radius, bands, rows, natural), "content long, lo long, hi long, keys array<long>")
-    contents, contents_path = materialize(scan.groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("keys").alias("keys")), "contents")
-    keyed = contents.select("content", F.explode("keys").alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).withColumn("bucket", F.expr("bit_xor(xxhash64(content))").over(Window.partitionBy("key"))).where("n > 1")
-    keyed = keyed.select("content", F.col("bucket").alias("key"), "n").distinct()  # buckets of the same contents are compared once
-    members, members_path = materialize(keyed, "members")
-    del scan, keyed
-    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files once their plans are collected; else both large shuffles stay on disk
-    tables = spark.sparkContext.broadcast((_bit_table(contents.where("lo < hi")), _bit_table(members)))
-    found, found_path = materialize(texts.mapInArrow(_second_scan(width, radius, natural, tables), "content long, doc_id long, start long, end long, shingles binary"), "found")
-    remove(spark, contents_path)
-
-    sets = found.where("shingles is not null").groupBy("content").agg(F.first("shingles").alias("shingles"))
-    pairs = members.join(sets, "content").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    pairs = pairs.withColumn("own", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = pairs.select("content", "shingles", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    links = pairs.repartition(partitions(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_verify(similarity), "a long, b long")
-    groups = connected_components(links).select(F.col("node").alias("content"), "component")
-    where = found.select("content", "doc_id", "start", "end").join(groups, "content", "left").withColumn("component", F.coalesce("component", "content"))
-    where, where_path = materialize(where, "where")
+    schema = "content binary, doc_id long, start int, end int, " + ", ".join(f"{k} long" for k in _keys(bands))
+    units, units_path = materialize(texts.mapInArrow(_scan(width, spread, min_words, bands, rows), schema), "units")
+    groups, temporary = similar_contents(texts, units, bands, similarity, chunk)
+    repeated = units.groupBy("content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("content")
+    found = repeated.unionByName(groups.select("content")).distinct().join(groups, "content", "left").select("content", F.coalesce("component", "content").alias("component"))
+    found, found_path = materialize(found, "repeated")
+    del repeated
+    free_shuffles(spark)
+    where, where_path = materialize(units.select("content", "doc_id", "start", "end").join(found, "content").select("component", "doc_id", "start", "end"), "where")
+    free_shuffles(spark)
+    remove(spark, units_path, found_path, *temporary)
     owners = where.groupBy("component").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last")
     owners, owners_path = materialize(owners.drop("last"), "owners")  # a table of its own, so that the join below can split a hot component
     gone = where.join(owners, "component").where("doc_id <> kept_doc_id").select("doc_id", "start", "end", "kept_doc_id").distinct()
-    gone, temporary = gone.withColumn("units", F.lit(1)), [members_path, found_path, where_path, owners_path]
-    if runs:
-        gone, gone_path = materialize(gone, "gone")
-        remove(spark, *temporary)
-        more, temporary = _equal_runs(texts, width)
-        gone, temporary = gone.unionByName(more.withColumn("units", F.lit(0))), [gone_path, *temporary]
     order = Window.partitionBy("doc_id").orderBy("start", "end", "kept_doc_id")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = gone.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-    out = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept_doc_id").alias("kept_doc_id"), F.greatest(F.sum("units"), F.lit(1)).cast("long").alias("n_paragraphs")).drop("island")
+    out = islands.groupBy("doc_id", "island").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("kept_doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n_paragraphs")).drop("island")
     out, _ = materialize(out, "passages")
-    remove(spark, *temporary)
+    remove(spark, where_path, owners_path)
     return out
 
 
-def whole_passages(docs: DataFrame, **settings) -> DataFrame:
-    """``repeated_passages`` with lines and blocks as units and with equal runs: no shared run of ``width`` words and no repeated line of five words is lost."""
-    return repeated_passages(docs, natural=True, runs=True, **settings)
-
-
 def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` with the passages taken out of ``text``."""
     spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
