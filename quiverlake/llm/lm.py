@@ -1,40 +1,50 @@
-"""LM scoring with a weighted backoff automaton over bigrams.
+"""LM scoring with a weighted backoff automaton over n-grams.
 
-A state is the last word. A seen bigram (v, w) is an arc w out of state v; what is not seen takes v's failure arc to the root, where every word has
-an arc. Arc weights are interpolated absolute discounting: ``max(c(vw) - D, 0) / c(v) + f(v) p(w)``, failure weights ``f(v) = D n(v) / c(v)``, root
-arcs ``p(w)`` add-one unigrams; ``D`` comes from the numbers of bigrams seen once and twice. One left-to-right traversal of a text sums the weights.
+States are contexts of up to ``order - 1`` words that training holds, and the root. A state has an arc for every word that followed its context, and a failure
+arc to the state of the longest shorter context; the root has an arc for every word. An arc leads to the longest state that ends
+the words read. Weights are interpolated absolute discounting: an arc of a context ``h`` has ``max(c(hw) - D, 0) / c(h) + f(h) p(w | shorter)``, its failure arc
+``f(h) = D n(h) / c(h)``, a root arc add-one unigrams; each order's ``D`` comes from its numbers of n-grams seen once and twice. One left-to-right traversal carries
+the state, follows arcs and failure arcs, and adds up their weights.
 
-The automaton grows with the corpus and is nowhere whole. Documents are dealt into blocks of about ``block`` bytes. A block sends, for each part of
-the hashed contexts, its distinct contexts and bigrams with their training counts; the part adds them up over all blocks and answers
-every block with the totals, in the block's own order; the block then has the states and arcs that its texts can reach, and is traversed. Words
-are 64-bit hashes. Each message is one compressed array per block and part, and every one carries its part's share of the global totals.
+The automaton grows with the corpus and is nowhere whole. Documents are packed into blocks of about ``block`` bytes; the texts are never shuffled but for
+these blocks, compressed. Order by order, a block sends its distinct contexts and arcs with their training counts to the parts of the hashed contexts; a part adds
+them up over all blocks and answers with the totals, in the block's own order. From the third order on, a context that no other
+block holds, as the order below has told, is not sent. With the totals a block compiles the states and arcs that its texts can reach, and is traversed: long
+texts in pieces side by side, each led in by the ``order - 1`` words before it. Contexts are 64-bit hashes, arcs 40 bits inside their context. No message is
+empty, so there are never more than n-grams in the corpus, however many blocks and parts there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import partitions, text_of
+from .common import free_shuffles, materialize, remove, text_of
 
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ZSTD = "zstd"
+_PIECE = 256
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ANSWER = "part int, block long, phase int, n long, v long, once long, twice long, blob binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Sizes, then the arrays with the bytes of a place together, compressed."""
-    head = np.array([len(a) for a in arrays], "<u4").tobytes()
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    head = np.array([len(a) for a in arrays], "<u8").tobytes()
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
     raw = head + body
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_ZSTD, asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=_ZSTD, asbytes=True)
-    sizes, at, out = np.frombuffer(raw, "<u4", len(kinds)), 4 * len(kinds), []
+    sizes, at, out = np.frombuffer(raw, "<u8", len(kinds)), 8 * len(kinds), []
     for n, kind in zip(sizes.tolist(), kinds, strict=True):
         width = np.dtype(kind).itemsize
         out.append(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).reshape(n))
@@ -42,78 +52,221 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _packed(block: int):
+    """Rows (doc_id, text, held_out) as blocks: ids, null ids, held-out flags, text sizes and texts."""
+
+    def one(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        texts = t.column("text").cast(pa.binary()).to_pylist()
+        ids = t.column("doc_id").combine_chunks()
+        arrays = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), t.column("held_out").to_numpy(), np.array([len(x) for x in texts], "<u4"), np.frombuffer(b"".join(texts), np.uint8)
+        return pa.record_batch([pa.array([number], pa.int64()), pa.array([arrays[-1].size + 8 * len(texts)], pa.int64()), pa.array([_pack(*arrays)], pa.binary())], ["block", "size", "texts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            for part in tv.slices(b, "text", 1 << 18):
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= block:
+                    yield one(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield one(number, held)
+        tv.release()
+
+    return run
+
+
+class Level:
+    """The distinct n-grams of a block: context (a gram of the level below) and word, hash, where each position has its gram (-1: none), the gram without its first word, training counts."""
+
+    def __init__(self, block: Block, below: Level | None):
+        size = len(block.keys)
+        if below is None:
+            self.at, self.ctx, self.word, self.hash, self.shorter = block.word, None, None, block.keys, None
+            self.seen = np.bincount(block.word, block.train, size).astype(np.int64)
+            self.seen[block.begin] = block.n_train
+        else:
+            ctx = np.full(len(block.word), -1, np.int64)
+            if below.ctx is None:
+                ctx[1:] = block.word[:-1]
+                ctx[block.starts] = block.begin
+            else:
+                ctx[1:] = below.at[:-1]
+                ctx[block.starts] = -1
+            where = np.flatnonzero(ctx >= 0)
+            code, first, at = np.unique(ctx[where] * size + block.word[where], return_index=True, return_inverse=True)
+            self.at = np.full(len(block.word), -1, np.int32)
+            self.at[where] = at
+            self.ctx, self.word = code // size, code % size
+            self.hash = tv.mix(below.hash[self.ctx] * np.uint64(0xD1342543DE82EF95) ^ block.keys[self.word])
+            self.shorter = below.at[where[first]]
+            self.seen = np.bincount(at, block.train[where], len(code)).astype(np.int64)
+            self.ctx_seen = np.bincount(self.ctx, self.seen, len(below.hash)).astype(np.int64)
+        self.total = None
+
+
 class Block:
-    """A block's tokens: distinct words and contexts by hash, and distinct bigrams by context, then word."""
+    """A block's tokens and its n-grams up to an order; ``fill`` takes the totals of one order after the other."""
 
-    def __init__(self, texts: list[bytes], held: np.ndarray, parts: int):
+    def __init__(self, blob: bytes, order: int):
+        ids, null, held, sizes, text = _unpack(blob, "<i8", "?", "?", "<u4", "u1")
+        ends = np.cumsum(sizes.astype(np.int64))
+        raw = text.tobytes()
+        texts = [raw[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        self.ids, self.held = pa.array(ids, pa.int64(), mask=null), held
         buf, offsets = tv.joined([t.lower() for t in texts])
         s, e = tv.words(buf, tv.SPACES)
         doc = np.searchsorted(offsets, s, "right") - 1
-        n = len(texts)
-        self.sizes = np.bincount(doc, minlength=n) + 1
+        self.sizes = np.bincount(doc, minlength=len(texts)) + 1
         ends = np.cumsum(self.sizes)
         tokens = np.empty(int(ends[-1]), np.uint64)
         tokens[np.arange(len(s)) + doc] = tv.hashes(buf, s, e)
         tokens[ends - 1] = _END
-        del buf, s, e
-        self.doc = np.repeat(np.arange(n), self.sizes)
-        train = ~held[self.doc]
+        self.starts = ends - self.sizes
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        self.train, self.n_train = ~held[self.doc], int((~held).sum())
         self.keys, at = np.unique(np.concatenate((tokens, [_BEGIN])), return_inverse=True)
-        del tokens
-        begin, at = at[-1], at[:-1]
-        self.word = at.astype(np.int32)
-        state = np.concatenate(([begin], at[:-1]))
-        state[ends[:-1]] = begin
-        size = len(self.keys)
-        state *= size
-        state += at
-        pairs, arc = np.unique(state, return_inverse=True)
-        del state
-        self.arc = arc.astype(np.int32)
-        self.arc_state, self.arc_word = pairs // size, pairs % size
-        self.seen = np.bincount(self.word, train, size).astype(np.uint32)
-        self.seen[begin] = int((~held).sum())
-        self.arc_seen = np.bincount(self.arc, train, len(pairs)).astype(np.uint32)
-        self.part = (self.keys % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(self.part, kind="stable")
-        self.arc_order = np.argsort(self.part[self.arc_state], kind="stable")
-        self.bounds = np.searchsorted(self.part[self.order], np.arange(parts + 1))
-        self.arc_bounds = np.searchsorted(self.part[self.arc_state][self.arc_order], np.arange(parts + 1))
-
-    def of(self, p: int) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts and arcs of a part, in order."""
-        return self.order[self.bounds[p] : self.bounds[p + 1]], self.arc_order[self.arc_bounds[p] : self.arc_bounds[p + 1]]
-
-    def request(self, p: int) -> bytes:
-        own, arcs = self.of(p)
-        fan = np.bincount(np.searchsorted(own, self.arc_state[arcs]), minlength=len(own)).astype("<u4")
-        pair = tv.mix(self.keys[self.arc_state[arcs]] * np.uint64(0xD1342543DE82EF95) ^ self.keys[self.arc_word[arcs]])
-        return _pack(self.keys[own], self.seen[own], fan, pair, self.arc_seen[arcs])
-
-
-def _totals(parts_of: list[bytes]) -> tuple[list[bytes], tuple[int, int, int, int]]:
-    """Answers to the blocks' requests for one part; the part's training tokens, distinct tokens, and bigrams seen once and twice."""
-    asked = [_unpack(b, "<u8", "<u4", "<u4", "<u8", "<u4") for b in parts_of]
-    keys, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        self.begin, self.word = int(at[-1]), at[:-1]
+        self.levels = [Level(self, None)]
+        for _ in range(order - 1):
+            self.levels.append(Level(self, self.levels[-1]))
+
+    def _sent(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For order ``n``: the contexts that other blocks hold too (all words at order 2), by hash, their numbers of arcs, and the arcs."""
+        level, below = self.levels[n - 1], self.levels[n - 2]
+        fan = np.bincount(level.ctx, minlength=len(below.hash))
+        own = np.arange(len(below.hash)) if n == 2 else np.flatnonzero((fan > 0) & ~below.alone)
+        own = own[np.argsort(below.hash[own], kind="stable")]
+        first = np.cumsum(fan) - fan
+        size = fan[own]
+        arcs = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return own, size, arcs
+
+    def requests(self, n: int, parts: int) -> list[tuple[int, bytes, tuple[int, int, int, int]]]:
+        """``(part, message, counts)``; the first message carries what the block counts on its own: training tokens, and arcs not sent that were seen once and twice."""
+        level, below = self.levels[n - 1], self.levels[n - 2]
+        own, size, arcs = self._sent(n)
+        kept = np.ones(len(level.hash), bool)
+        kept[arcs] = False
+        counts, out = (int(self.train.sum()) if n == 2 else 0, 0, int((level.seen[kept] == 1).sum()), int((level.seen[kept] == 2).sum())), []
+        ctx_seen = below.seen if n == 2 else level.ctx_seen
+        for p, a, b, c, d in self._parts(below.hash[own], size, parts):
+            h, x = below.hash[own[a:b]], level.hash[arcs[c:d]]
+            out.append((p, _pack(np.diff(h, prepend=np.uint64(0)), ctx_seen[own[a:b]].astype("<u4"), size[a:b].astype("<u4"), x.astype("<u4"), (x >> np.uint64(32)).astype("u1"), level.seen[arcs[c:d]].astype("<u4")), counts))
+            counts = (0, 0, 0, 0)
+        return out or [(0, _pack(*(np.zeros(0, k) for k in ("<u8", "<u4", "<u4", "<u4", "u1", "<u4"))), counts)]
+
+    @staticmethod
+    def _parts(h: np.ndarray, size: np.ndarray, parts: int) -> list[tuple[int, int, int, int, int]]:
+        """Parts that are not empty, with the bounds of their contexts and arcs."""
+        part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, int)
+        upto = np.concatenate(([0], np.cumsum(size)))
+        return [(int(part[a]), int(a), int(b), int(upto[a]), int(upto[b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def fill(self, n: int, answers: dict[int, bytes], parts: int) -> None:
+        """Totals of order ``n``: contexts (count, arcs seen) and arcs (count, whether no other block holds it); those not sent are the block's own."""
+        level, below = self.levels[n - 1], self.levels[n - 2]
+        own, size, arcs = self._sent(n)
+        level.ctx_total, level.total, level.alone = level.ctx_seen.copy(), level.seen.copy(), np.ones(len(level.hash), bool)
+        level.fan = np.bincount(level.ctx, level.seen > 0, len(below.hash)).astype(np.int64)
+        for p, a, b, c, d in self._parts(below.hash[own], size, parts):
+            level.ctx_total[own[a:b]], level.fan[own[a:b]], level.total[arcs[c:d]], level.alone[arcs[c:d]] = _unpack(answers[p], "<u4", "<u4", "<u4", "?")
+        if n == 2:
+            below.total = level.ctx_total.copy()
+            level.ctx_total[np.searchsorted(self.keys, _END)] = 0  # the end is no context
+
+
+def _totals(parts_of: list[bytes]) -> tuple[list[bytes], tuple[int, int, int]]:
+    """Answers to the blocks' requests for one part; the part's distinct contexts (but the beginning) seen, and its arcs seen once and twice."""
+    asked = [_unpack(b, "<u8", "<u4", "<u4", "<u4", "u1", "<u4") for b in parts_of]
+    keys, at = np.unique(np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked]), return_inverse=True)
     seen = np.bincount(at, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
-    owner = np.repeat(at, np.concatenate([a[2] for a in asked]))
-    pairs, first, arc = np.unique(np.concatenate([a[3] for a in asked]), return_index=True, return_inverse=True)
-    arc_seen = np.bincount(arc, np.concatenate([a[4] for a in asked]), len(pairs)).astype(np.int64)
-    fan = np.bincount(owner[first], arc_seen > 0, len(keys)).astype(np.int64)
+    owner = np.repeat(at, np.concatenate([a[2] for a in asked])).astype(np.uint64)
+    arc = np.concatenate([a[3] for a in asked]).astype(np.uint64) | np.concatenate([a[4] for a in asked]).astype(np.uint64) << np.uint64(32) | owner << np.uint64(40)
+    arc, first, place = np.unique(arc, return_index=True, return_inverse=True)
+    arc_seen = np.bincount(place, np.concatenate([a[5] for a in asked]), len(arc)).astype(np.int64)
+    alone = np.bincount(place, minlength=len(arc)) == 1
+    fan = np.bincount(owner[first].astype(np.int64), arc_seen > 0, len(keys)).astype(np.int64)
     out, i, j = [], 0, 0
     for a in asked:
-        own, arcs = at[i : i + len(a[0])], arc[j : j + len(a[3])]
-        out.append(_pack(seen[own].astype("<u4"), fan[own].astype("<u4"), arc_seen[arcs].astype("<u4")))
+        own, arcs = at[i : i + len(a[0])], place[j : j + len(a[3])]
+        out.append(_pack(seen[own].astype("<u4"), fan[own].astype("<u4"), arc_seen[arcs].astype("<u4"), alone[arcs]))
         i, j = i + len(own), j + len(arcs)
-    words = keys != _BEGIN
-    return out, (int(seen[words].sum()), int((seen[words] > 0).sum()), int((arc_seen == 1).sum()), int((arc_seen == 2).sum()))
+    return out, (int(((seen > 0) & (keys != _BEGIN)).sum()), int((arc_seen == 1).sum()), int((arc_seen == 2).sum()))
+
+
+class Automaton:
+    """The states and arcs that a block's texts can reach. States are numbered by level, the root last."""
 
+    def __init__(self, block: Block, n: int, v: int, discounts: list[float]):
+        self.block, levels, size = block, block.levels, len(block.keys)
+        self.root = (levels[0].total + 1) / (n + v + 1)
+        offsets = np.cumsum([0, *(len(x.hash) for x in levels[:-1])])
+        self.n_states = int(offsets[-1])
+        self.failure, self.failure_weight = np.full(self.n_states, self.n_states, np.int64), np.zeros(self.n_states)
+        p, target, keys, weights, targets = self.root, None, [], [], []
+        for k, level in enumerate(levels):
+            if k:
+                total, fan = level.ctx_total, level.fan
+                f = discounts[k - 1] * fan / np.maximum(total, 1)
+                own = total > 0
+                states = offsets[k - 1] + np.flatnonzero(own)
+                self.failure_weight[states] = np.log10(f[own])
+                p = np.where(own[level.ctx], np.maximum(level.total - discounts[k - 1], 0) / np.maximum(total, 1)[level.ctx] + f[level.ctx] * p[level.shorter], p[level.shorter])
+            follow = levels[k + 1].ctx_total > 0 if k + 1 < len(levels) else np.zeros(len(level.hash), bool)
+            shorter = np.full(len(level.hash), self.n_states) if k == 0 else target[level.shorter]
+            target = np.where(follow, (offsets[k] if k + 1 < len(levels) else 0) + np.arange(len(level.hash)), shorter)
+            if k + 1 < len(levels):
+                self.failure[offsets[k] : offsets[k] + len(level.hash)] = shorter
+            if k:
+                there = level.total > 0
+                keys.append((offsets[k - 1] + level.ctx[there]) * size + level.word[there])
+                weights.append(np.log10(p[there]))
+                targets.append(target[there])
+            else:
+                self.first = target
+        self.keys, self.weights, self.targets = (np.concatenate(x) for x in (keys, weights, targets))
+        self.lead = len(levels) - 1
 
-def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    return table.column("text").cast(pa.binary()).to_pylist(), table.column("held_out").to_numpy()
+    def traverse(self) -> np.ndarray:
+        """The sum of weights for each document."""
+        own, size, root = self.block, len(self.block.keys), np.log10(self.root)
+        pieces = -(-own.sizes // _PIECE)
+        doc = np.repeat(np.arange(len(pieces)), pieces)
+        begin = own.starts[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _PIECE
+        stop = np.minimum(begin + _PIECE, own.starts[doc] + own.sizes[doc])
+        at = np.maximum(begin - self.lead, own.starts[doc])  # words that lead in are read without being scored
+        state = np.where(at == own.starts[doc], self.first[own.begin], self.n_states)
+        order = np.argsort(at - stop, kind="stable")
+        doc, begin, stop, at, state = (x[order] for x in (doc, begin, stop, at, state))
+        length, total = stop - at, np.zeros(len(doc))
+        alive = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
+        for t, n in enumerate(alive.tolist()):
+            word, now, said = own.word[at[:n] + t], state[:n].copy(), np.zeros(n)
+            todo = np.arange(n)
+            while len(todo):
+                here, w = now[todo], word[todo]
+                top = here == self.n_states
+                said[todo[top]] += root[w[top]]
+                now[todo[top]] = self.first[w[top]]
+                todo, here, w = todo[~top], here[~top], w[~top]
+                key = here * size + w
+                place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+                hit = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
+                said[todo[hit]] += self.weights[place[hit]]
+                now[todo[hit]] = self.targets[place[hit]]
+                todo, here = todo[~hit], here[~hit]
+                said[todo] += self.failure_weight[here]
+                now[todo] = self.failure[here]
+            state[:n] = now
+            total[:n] += np.where(at[:n] + t >= begin[:n], said, 0.0)
+        return np.bincount(doc, total, len(own.sizes))
 
 
-def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, block: int = 4 << 20, part: int = 12 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, order: int = 4, block: int = 4 << 20, part: int = 32 << 20) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     Trained on rows whose ``crc32(doc_id as text) mod fold`` is not ``held``. Words are ASCII-lower-cased and split at ASCII white space; each text ends with an end token.
@@ -121,45 +274,67 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, block: int =
     empty: its end token alone. A null doc_id is in training. Repeated rows count and are scored each. Other columns are not read; an empty
     table gives an empty table.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), out.alias("held_out"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long") + 8)).first()[0] or 0
-    blocks, parts = max(1, -(-total // block)), max(1, -(-total // part))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(partitions(spark), "block")
+    blocks, blocks_path = materialize(rows.mapInArrow(_packed(block), "block long, size long, texts binary"), "blocks")
+    parts = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // part))
+    blocks = blocks.select("block", "texts")
 
-    def ask(table: pa.Table) -> pa.Table:
-        own = Block(*_texts(table), parts)
-        number = table.column("block")[0].as_py()
-        tv.release()
-        return pa.table([pa.array(range(parts), pa.int32()), pa.array([number] * parts, pa.int32()), pa.array([own.request(p) for p in range(parts)], pa.binary())], ["part", "block", "blob"])
+    def filled(texts: pa.Table, answers: pa.Table | None, n: int) -> Block:
+        """The block with the totals of all orders below ``n``."""
+        own, said = Block(texts.column("texts")[0].as_py(), min(n, order)), {}
+        for phase, p, blob in zip(*(answers.column(c).to_pylist() for c in ("phase", "part", "blob")), strict=True) if answers is not None else ():
+            said.setdefault(phase, {})[p] = blob
+        for k in range(2, n):
+            own.fill(k, said.get(k, {}), parts)
+        return own
+
+    def ask(n: int):
+        def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            p, blob, counts = zip(*filled(texts, answers, n).requests(n, parts), strict=True)
+            number = texts.column("block")[0].as_py()
+            tv.release()
+            return pa.table([pa.array(p, pa.int32()), pa.array([number] * len(p), pa.int64()), pa.array([n] * len(p), pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*counts, strict=True)), pa.array(blob, pa.binary())], [x.split(" ")[0] for x in _ANSWER.split(", ")])
+
+        return run
+
+    def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from ask(2)(pa.Table.from_batches([b.slice(i, 1)]), None).to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
-        blobs, stats = _totals(table.column("blob").to_pylist())
-        n = len(blobs)
+        blobs, (v, once, twice) = _totals(table.column("blob").to_pylist())
+        phase, rest = table.column("phase")[0].as_py(), [0] * (len(blobs) - 1)
+        n, once, twice = (x + sum(table.column(c).to_pylist()) for c, x in (("n", 0), ("once", once), ("twice", twice)))
         tv.release()
-        return pa.table([table.column("part"), table.column("block"), *(pa.array([x] * n, pa.int64()) for x in stats), pa.array(blobs, pa.binary())], ["part", "block", "n", "v", "once", "twice", "blob"])
-
-    def traverse(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, held_out = _texts(table)
-        own = Block(texts, held_out, parts)
-        seen, fan, arc_seen = np.zeros(len(own.keys)), np.zeros(len(own.keys)), np.zeros(len(own.arc_state))
-        for p, blob in zip(answers.column("part").to_pylist(), answers.column("blob").to_pylist(), strict=True):
-            states, arcs = own.of(p)
-            seen[states], fan[states], arc_seen[arcs] = _unpack(blob, "<u4", "<u4", "<u4")
-        n, v, once, twice = (sum(answers.column(c).to_pylist()) for c in ("n", "v", "once", "twice"))
-        discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once and twice else 0.5
-        root = (seen + 1) / (n + v + 1)
-        fail = np.where(seen > 0, discount * fan / np.maximum(seen, 1), 1.0)
-        weight = fail[own.arc_state] * root[own.arc_word] + np.maximum(arc_seen - discount, 0) / np.maximum(seen[own.arc_state], 1)
-        k = len(texts)
-        score = np.bincount(own.doc, np.log10(weight)[own.arc], k)
-        base = np.bincount(own.doc, np.log10(root)[own.word], k)
+        stats = [pa.array([x, *rest], pa.int64()) for x in (n, v if phase == 2 else 0, once, twice)]  # a part's counts are in one of its rows
+        return pa.table([table.column("part"), table.column("block"), table.column("phase"), *stats, pa.array(blobs, pa.binary())], table.column_names)
+
+    answers, paths, counted = None, [blocks_path], []
+    for n in range(2, order + 1):
+        asked = blocks.mapInArrow(ask_first, _ANSWER) if answers is None else blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask(n), _ANSWER)
+        answered, path = materialize(asked.groupBy("part").applyInArrow(answer, _ANSWER), "answers")
+        counted.append(answered.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]).first())
+        answers = answered if answers is None else answers.unionByName(answered)
+        paths.append(path)
+        del asked, answered
+        free_shuffles(spark)
+    n_train, n_words = counted[0][0], counted[0][1]
+    discounts = [min(0.95, max(0.05, c[2] / (c[2] + 2 * c[3]))) if c[2] and c[3] else 0.5 for c in counted]
+
+    def traverse(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        own = filled(texts, answers, order + 1)
+        score, k = Automaton(own, n_train, n_words, discounts).traverse(), len(own.sizes)
+        seen = own.levels[0].total
+        base = np.bincount(own.doc, np.log10((seen + 1) / (n_train + n_words + 1))[own.word], k)
         known = np.bincount(own.doc, seen[own.word] > 0, k).astype(np.int64)
         tv.release()
-        return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(own.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(k, n, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([own.ids, pa.array(own.held), pa.array(own.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(k, n_train, np.int64)), pa.array(base), pa.array(score)], [x.split(" ")[0] for x in _SCORED.split(", ")])
 
-    asked = rows.groupBy("block").applyInArrow(ask, "part int, block int, blob binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "part int, block int, n long, v long, once long, twice long, blob binary")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(traverse, schema)
+    scored, _ = materialize(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(traverse, _SCORED), "scores")
+    remove(spark, *paths)
+    return scored

@@ -69,43 +69,54 @@ def test_secrets(spark, sf, tmp_path):
     assert secrets.scan(frame.limit(0)).count() == 0
 
 
-def brute_model(rows):
+def brute_model(rows, order):
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    uni, bi, fan = Counter(), Counter(), Counter()
+    count, context, fan = Counter(), Counter(), Counter()
     for i, t in rows:
         if not held(i):
-            w = words(t)
-            uni.update(w)
-            bi.update(zip(["<", *w], w, strict=False))
-            uni["<"] += 1
-    for a, _ in bi:
-        fan[a] += 1
-    n, v = sum(uni.values()) - uni["<"], len(uni) - ("<" in uni)
-    once, twice = (sum(c == k for c in bi.values()) for k in (1, 2))
-    d = min(0.95, max(0.05, once / (once + 2 * twice))) if once and twice else 0.5
-    p = lambda w: (uni[w] + 1) / (n + v + 1)
-
-    def arc(a, w):
-        return (max(bi[a, w] - d, 0) / uni[a] + d * fan[a] / uni[a] * p(w)) if uni[a] else p(w)
+            w = ["<", *words(t)]
+            for k in range(1, len(w)):
+                for n in range(1, order + 1):
+                    if k - n + 1 >= 0:
+                        gram = tuple(w[k - n + 1 : k + 1])
+                        count[gram] += 1
+                        context[gram[:-1]] += 1
+    for gram in count:
+        fan[gram[:-1]] += 1
+    n, v = context[()], fan[()]
+    d = {}
+    for k in range(2, order + 1):
+        once, twice = (sum(c == m for g, c in count.items() if len(g) == k) for m in (1, 2))
+        d[k] = min(0.95, max(0.05, once / (once + 2 * twice))) if once and twice else 0.5
+
+    def p(gram):
+        if len(gram) == 1:
+            return (count[gram] + 1) / (n + v + 1)
+        h = gram[:-1]
+        if not context[h]:
+            return p(gram[1:])
+        return (max(count[gram] - d[len(gram)], 0) + d[len(gram)] * fan[h] * p(gram[1:])) / context[h]
 
     for i, t in rows:
         w = words(t)
-        yield i, held(i), len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), sum(math.log10(arc(a, x)) for a, x in zip(["<", *w], w, strict=False))
+        x = ["<", *w]
+        score = sum(math.log10(p(tuple(x[max(0, k - order + 1) : k + 1]))) for k in range(1, len(x)))
+        yield i, held(i), len(w), sum(count[y,] > 0 for y in w), n, sum(math.log10(p((y,))) for y in w), score
 
 
-@pytest.mark.parametrize("block", [1 << 23, 60_000])
-def test_language_model(spark, sf, block):
+@pytest.mark.parametrize(("order", "block"), [(3, 4 << 20), (2, 60_000), (3, 60_000), (4, 200_000)])
+def test_language_model(spark, sf, order, block):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    rows += [(9000, None), (9001, ""), (9002, "\x0b A a\x00 Á á "), (9002, "again"), (None, "the of"), (9003, "w " * 20000)]
+    rows += [(9000, None), (9001, ""), (9002, "\x0b A a\x00 Á á "), (9002, "again"), (None, "the of"), (9003, "w " * 20000), (9004, "w " * 600 + "new words here"), (9005, rows[0][1]), (9005, rows[0][1])]
     frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, block int")
-    got = sorted([tuple(r) for r in lm.score_documents(frame, block=block, part=2 * block).collect()], key=repr)
-    want = sorted(brute_model(rows), key=repr)
+    got = sorted([tuple(r) for r in lm.score_documents(frame, order=order, block=block, part=block // 2).collect()], key=repr)
+    want = sorted(brute_model(rows, order), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
-    assert lm.score_documents(frame.limit(0)).count() == 0
+    assert lm.score_documents(frame.limit(0), order=order).count() == 0
 
 
 def test_nearest(spark, sf):
