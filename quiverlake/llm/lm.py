@@ -6,8 +6,8 @@ the words read. Weights are interpolated absolute discounting: an arc of a conte
 ``f(h) = D n(h) / c(h)``, a root arc add-one unigrams; each order's ``D`` comes from its numbers of n-grams seen once and twice. One left-to-right traversal carries
 the state, follows arcs and failure arcs, and adds up their weights.
 
-The automaton grows with the corpus and is nowhere whole. Documents are packed into blocks of about ``block`` bytes; the texts are never shuffled but for
-these blocks, compressed. Order by order, a block sends its distinct contexts and arcs with their training counts to the parts of the hashed contexts; a part adds
+The automaton grows with the corpus and is nowhere whole. Documents are packed into blocks of about ``block`` bytes, compressed, and written
+in buckets; the texts do not move after that. Order by order, a block sends its distinct contexts and arcs with their training counts to the parts of the hashed contexts; a part adds
 them up over all blocks and answers with the totals, in the block's own order. From the third order on, a context that no other
 block holds, as the order below has told, is not sent. With the totals a block compiles the states and arcs that its texts can reach, and is traversed: long
 texts in pieces side by side, each led in by the ``order - 1`` words before it. Contexts are 64-bit hashes, arcs 40 bits inside their context. No message is
@@ -16,6 +16,7 @@ empty, so there are never more than n-grams in the corpus, however many blocks a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import free_shuffles, materialize, remove, text_of
+from .common import free_shuffles, materialize, partitions, remove, scratch_path, text_of
 
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ZSTD = "zstd"
@@ -96,12 +97,14 @@ class Level:
                 ctx[1:] = below.at[:-1]
                 ctx[block.starts] = -1
             where = np.flatnonzero(ctx >= 0)
-            code, first, at = np.unique(ctx[where] * size + block.word[where], return_index=True, return_inverse=True)
+            code, at = np.unique(ctx[where] * size + block.word[where], return_inverse=True)
+            first = np.empty(len(code), np.int64)
+            first[at] = where
             self.at = np.full(len(block.word), -1, np.int32)
             self.at[where] = at
-            self.ctx, self.word = code // size, code % size
+            self.ctx, self.word = (code // size).astype(np.int32), (code % size).astype(np.int32)
             self.hash = tv.mix(below.hash[self.ctx] * np.uint64(0xD1342543DE82EF95) ^ block.keys[self.word])
-            self.shorter = below.at[where[first]]
+            self.shorter = below.at[first]
             self.seen = np.bincount(at, block.train[where], len(code)).astype(np.int64)
             self.ctx_seen = np.bincount(self.ctx, self.seen, len(below.hash)).astype(np.int64)
         self.total = None
@@ -138,7 +141,7 @@ class Block:
         level, below = self.levels[n - 1], self.levels[n - 2]
         fan = np.bincount(level.ctx, minlength=len(below.hash))
         own = np.arange(len(below.hash)) if n == 2 else np.flatnonzero((fan > 0) & ~below.alone)
-        own = own[np.argsort(below.hash[own], kind="stable")]
+        own = own[np.argsort(below.hash[own])]
         first = np.cumsum(fan) - fan
         size = fan[own]
         arcs = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -186,10 +189,10 @@ def _totals(parts_of: list[bytes]) -> tuple[list[bytes], tuple[int, int, int]]:
     seen = np.bincount(at, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
     owner = np.repeat(at, np.concatenate([a[2] for a in asked])).astype(np.uint64)
     arc = np.concatenate([a[3] for a in asked]).astype(np.uint64) | np.concatenate([a[4] for a in asked]).astype(np.uint64) << np.uint64(32) | owner << np.uint64(40)
-    arc, first, place = np.unique(arc, return_index=True, return_inverse=True)
+    arc, place = np.unique(arc, return_inverse=True)
     arc_seen = np.bincount(place, np.concatenate([a[5] for a in asked]), len(arc)).astype(np.int64)
     alone = np.bincount(place, minlength=len(arc)) == 1
-    fan = np.bincount(owner[first].astype(np.int64), arc_seen > 0, len(keys)).astype(np.int64)
+    fan = np.bincount((arc >> np.uint64(40)).astype(np.int64), arc_seen > 0, len(keys)).astype(np.int64)
     out, i, j = [], 0, 0
     for a in asked:
         own, arcs = at[i : i + len(a[0])], place[j : j + len(a[3])]
@@ -266,7 +269,7 @@ class Automaton:
         return np.bincount(doc, total, len(own.sizes))
 
 
-def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, order: int = 4, block: int = 4 << 20, part: int = 32 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, order: int = 4, block: int = 4 << 20, part: int = 16 << 20) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     Trained on rows whose ``crc32(doc_id as text) mod fold`` is not ``held``. Words are ASCII-lower-cased and split at ASCII white space; each text ends with an end token.
@@ -279,7 +282,12 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, order: int =
     spark = docs.sparkSession
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), out.alias("held_out"))
-    blocks, blocks_path = materialize(rows.mapInArrow(_packed(block), "block long, size long, texts binary"), "blocks")
+    name, blocks_path, n_buckets = f"quiverlake_blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks"), partitions(spark)
+    packed = rows.mapInArrow(_packed(block), "block long, size long, texts binary").repartition(n_buckets, "block")
+    packed.write.bucketBy(n_buckets, "block").option("path", blocks_path).saveAsTable(name)  # so that blocks meet their answers without being shuffled again
+    del packed
+    free_shuffles(spark)
+    blocks = spark.table(name)
     parts = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // part))
     blocks = blocks.select("block", "texts")
 
@@ -336,5 +344,6 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, order: int =
         return pa.table([own.ids, pa.array(own.held), pa.array(own.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(k, n_train, np.int64)), pa.array(base), pa.array(score)], [x.split(" ")[0] for x in _SCORED.split(", ")])
 
     scored, _ = materialize(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(traverse, _SCORED), "scores")
+    spark.sql(f"DROP TABLE {name}")
     remove(spark, *paths)
     return scored
