@@ -1,14 +1,14 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton reads tokens and accepts just those sequences that the merges produce. It starts as one state with a loop for
-each byte. A merge (u, v) is a gadget: where an arc u leads to a state with an arc v, a new arc uv goes to a copy of v's target, and the state after u
-loses its arc v. After any number of gadgets the state depends on the last token alone, so the finished automaton has a state per
-token, and an arc (x, y) can be read off the gadgets' history: the later-made of x and y was copied from an arc of its left
-part (for y) or right part (for x), and a merge of the two in force at that time has removed it. Arcs are compiled on first use into a table.
-
-A word has one accepted sequence, and so has each of its prefixes: the state at a byte position is the same however it is reached. A word is
-encoded left to right by following arcs, the longest token first; a position that leads nowhere is marked, so work stays linear. Decoding emits the
-arcs' labels.
+The automaton reads tokens and accepts just those sequences that the merges produce. It starts as one state with a loop for each byte. Each merge (u, v), in order, is a
+gadget: where an arc u leads to a state with an arc v, a new arc uv goes to a new state, a copy of v's, and the state after u loses its arc v. As a state
+is known by the token that led to it, a gadget is one new row (a copy of v's), one new column (a copy of u's, without the arc just lost) and one
+lost arc. Rows and columns are kept as they are made: a copy is a default, the row or column copied and the time, and what is written out are the
+lost arcs, one a gadget, in place of the square of the vocabulary. A merge that finds no arc v after u makes no state. Reading an arc goes from a row or column to
+what it was copied from, until it meets a lost arc or two bytes; arcs that were read are kept in a bounded table.
+
+Every prefix of a word has one accepted sequence. A word is read byte by byte, from left to right: a table of all labels (Aho-Corasick) gives the arcs that could
+end at a byte, and the one that the state at its beginning has gives the state here. Nothing is taken back. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from . import textvec as tv
 
 #: How the byte-level format splits a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CACHE = 60_000
+_CACHE = 100_000
 _ARCS = 250_000
 _LONG = 64
 
@@ -57,40 +58,49 @@ class Automaton:
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"] or model.get("ignore_merges"):
             raise ValueError("only byte-level BPE without a normalizer is supported")
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that strip or need whole words are not supported")
         letters = _byte_letters()
         self.labels = [b""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]))
         ids = model["vocab"]
         for token, i in ids.items():
             self.labels[i] = bytes(letters[c] for c in token)
-        self.made, self.left, self.right, self.merge = {}, {}, {}, {}
-        for rank, pair in enumerate(model["merges"]):
+        self.time, self.row, self.column, self.lost = {}, {}, {}, {}
+        self.states = {i for i in ids.values() if len(self.labels[i]) == 1}
+        for time, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            x, y, z = ids[a], ids[b], ids[a + b]
-            self.made[z], self.left[z], self.right[z], self.merge[x, y] = rank, x, y, rank
+            self._gadget(time, ids[a], ids[b], ids[a + b])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.added.items():
             self.labels[i] = token.encode()
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.trie: dict[int, int] = {}  # by node * 256 + byte: the next node
-        self.ends: list[int] = [-1]
-        for token in ids.values():
-            if len(self.labels[token]) == 1 or token in self.made:
-                at = 0
-                for byte in self.labels[token]:
-                    at = self.trie.setdefault(at << 8 | byte, len(self.ends))
-                    if at == len(self.ends):
-                        self.ends.append(-1)
-                self.ends[at] = token
-        self.shorter = [-1] * len(self.labels)  # by token: the longest one that begins it
-        for token in filter(lambda t: t >= 0, self.ends):
-            at, last = 0, -1
-            for byte in self.labels[token][:-1]:
-                at = self.trie[at << 8 | byte]
-                last = self.ends[at] if self.ends[at] >= 0 else last
-            self.shorter[token] = last
+        self.ending = ahocorasick.Automaton()
+        for token in self.states:
+            self.ending.add_word(self.labels[token].decode("latin-1"), (len(self.labels[token]), token))
+        self.ending.make_automaton()
         self.arcs: dict[int, bool] = {}
         self.words = _Words(self)
 
+    def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
+        if uv in self.states or u not in self.states or v not in self.states or not self._read(u, v, time):
+            return
+        self.states.add(uv)
+        self.time[uv], self.row[uv], self.column[uv] = time, v, u
+        self.lost[u, v] = time
+
+    def _read(self, x: int, y: int, time: float) -> bool:
+        """Whether the state after token ``x`` had an arc ``y`` before the gadget of that time."""
+        lost, made = self.lost.get, self.time.get
+        while lost((x, y), time) >= time:
+            at_x, at_y = made(x, -1), made(y, -1)
+            if at_x < 0 and at_y < 0:
+                return True
+            if at_y >= at_x:
+                time, y = at_y + 0.5, self.column[y]  # copied after the gadget's loss
+            else:
+                time, x = at_x, self.row[x]  # copied before it
+        return False
+
     def arc(self, x: int, y: int) -> bool:
         """Whether the state after token ``x`` has an arc ``y``."""
         key = x << 24 | y
@@ -98,54 +108,35 @@ class Automaton:
         if known is None:
             if len(self.arcs) >= _ARCS:
                 self.arcs.clear()
-            known = self.arcs[key] = self._arc(x, y)
+            known = self.arcs[key] = self._read(x, y, float("inf"))
         return known
 
-    def _arc(self, x: int, y: int) -> bool:
-        limit = len(self.merge) + 1.0
-        made = self.made.get
-        while True:
-            if self.merge.get((x, y), limit) < limit:
-                return False
-            kx, ky = made(x, -1), made(y, -1)
-            if kx < 0 and ky < 0:
-                return True
-            if ky >= kx:
-                limit, y = ky + 0.5, self.left[y]  # a new arc is copied after its merge's removal
-            else:
-                limit, x = kx, self.right[x]  # a new state is copied before it
-
     def word(self, word: bytes) -> list[int]:
-        """The accepted sequence of a word. From each state the longest token that has an arc is followed first; a place without a way on is never entered again."""
-        n, step, ends, arc, shorter, labels = len(word), self.trie.get, self.ends, self.arc, self.shorter, self.labels
-        out: list[int] = []
-        dead: set[int] = set()
-        at, state, token = 0, -1, None
-        while at < n:
-            if token is None:
-                token, node, j = -1, 0, at
-                while j < n:
-                    node = step(node << 8 | word[j])
-                    if node is None:
-                        break
-                    j += 1
-                    if ends[node] >= 0:
-                        token = ends[node]
-            while token >= 0:
-                to = at + len(labels[token])
-                if to not in dead and (state < 0 or arc(state, token)):
-                    break
-                token = shorter[token]
-            if token >= 0:
-                out.append(token)
-                at, state, token = to, token, None
-            elif out:
-                dead.add(at)
-                token = out.pop()
-                at -= len(labels[token])
-                state, token = (out[-1] if out else -1), shorter[token]
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        """The accepted sequence of a word."""
+        known, arc, states, begins, here = self.arcs.get, self.arc, [-1], [0], 0
+        for end, (size, token) in self.ending.iter(word.decode("latin-1")):
+            if end == here - 1:
+                continue  # the state here is known
+            at = end + 1 - size
+            if at:
+                x = states[at]
+                ok = known(x << 24 | token)
+                if ok is None:
+                    ok = arc(x, token)
+                if not ok:
+                    continue
+            states.append(token)
+            begins.append(at)
+            here += 1
+            if here != end + 1:
+                break
+        if here != len(word):
+            raise ValueError("the vocabulary lacks a byte")
+        out = []
+        while here:
+            out.append(states[here])
+            here = begins[here]
+        out.reverse()
         return out
 
     def encode(self, text: str) -> bytes:
@@ -196,7 +187,7 @@ def _mapped(df: DataFrame, path: str, schema: str, step) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = automaton(spec.value)
         for b in batches:
-            for part in tv.slices(b, b.schema.names[-1], 1 << 23):
+            for part in tv.slices(b, b.schema.names[-1], 1 << 21):
                 yield step(own, part)
         tv.release()
 
@@ -225,3 +216,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         return pa.record_batch([*b.columns, pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return _mapped(encoded.select("doc_id", "n_tokens", "ids"), path, "doc_id long, n_tokens long, ids binary, decoded string", step)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids, decoded, intact)`` for each row: ``encode`` and ``decode`` in one pass, and whether the text came back. Edge cases are theirs."""
+
+    def step(own: Automaton, b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        ids = [own.encode(t) for t in texts]
+        back = [own.decode(x) for x in ids]
+        return pa.record_batch([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string()), pa.array([x == t for x, t in zip(back, texts, strict=True)], pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded", "intact"])
+
+    return _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path, "doc_id long, n_tokens long, ids binary, decoded string, intact boolean", step)

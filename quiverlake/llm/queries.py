@@ -45,8 +45,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    out = bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

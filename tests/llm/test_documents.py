@@ -154,7 +154,9 @@ def test_bpe(spark, sf):
     path = tokenizer_path()
     got = [(r[0], r[1], bytes(r[2]), r[3]) for r in bpe.decode(bpe.encode(table(spark, rows), path), path).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert bpe.encode(table(spark, []), path).count() == 0
+    both = bpe.round_trip(table(spark, rows), path).collect()
+    assert sorted([(r[0], r[1], bytes(r[2]), r[3]) for r in both], key=repr) == sorted(want, key=repr) and all(r["intact"] for r in both)
+    assert bpe.encode(table(spark, []), path).count() == bpe.round_trip(table(spark, []), path).count() == 0
 
 
 def test_bpe_small_automaton():
@@ -182,6 +184,10 @@ def test_bpe_small_automaton():
                             i += 1
                     parts = out
                 assert own.word(word.encode()) == [vocab[p] for p in parts], (merges, word)
+    spec = {"model": {"type": "BPE", "vocab": {"a": 0}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel"}, "normalizer": None, "added_tokens": [{"id": 1, "content": "<x>", "lstrip": True}]}
+    with pytest.raises(ValueError, match="added tokens"):
+        bpe.Automaton(json.dumps(spec))
+    assert not own.arc(vocab["a"], vocab["a"]) and own.arc(vocab["aa"], vocab["a"])  # the first gadget takes a from the state after a; the state after aa is the copy made before
 
 
 def test_quality(spark, sf):
