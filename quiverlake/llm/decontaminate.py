@@ -6,7 +6,7 @@ shingles, ``s`` apart (a shorter one: whole). Any stretch of ``2s`` shingles lie
 ``t / (3.2)`` or more in some window, and single-row bands find it but for odds of ``(1 - t / 3.2) ** bands`` (under 0.0002 at 0.8 and 32 bands).
 
 A candidate is verified at once by exact containment of its word shingles in the whole document. One pass over the documents,
-without a shuffle. Items are sent to the executors in blocks of at most ``block`` (a proven bound); more items mean more passes.
+without a shuffle. Items are sent to the executors in blocks of about ``block`` items and 16 MB of text (the number of blocks follows both); more items mean more passes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 
 _TABLE = 1 << 20
+_BYTES = 16 << 20
 _COLUMNS = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
 
@@ -95,11 +96,13 @@ def _candidates(sh: np.ndarray, doc: np.ndarray, classes: dict[int, tuple], band
     return found
 
 
-def _search(prepared, k: int, bands: int, least: float):
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+def _search(prepared, k: int, bands: int, least: float, whole: list[str] | None = None):
+    """The found pairs; with ``whole``, these columns of the rows without one."""
+
+    def hits(b: pa.RecordBatch) -> list[tuple]:
+        """By place in the batch."""
         rows: list[tuple] = []
-        texts = [(t or "").lower().encode() for t in b.column("text").to_pylist()]
-        ids = b.column("doc_id").to_pylist()
+        texts = [(t or "").lower().encode() for t in b.column("text" if whole is None else "__text").to_pylist()]
         buf, offsets = tv.joined(texts)
         s, e = tv.words(buf, tv.PUNCTUATION)
         h, doc = tv.hashes(buf, s, e), np.searchsorted(offsets, s, "right") - 1
@@ -117,14 +120,23 @@ def _search(prepared, k: int, bands: int, least: float):
                     item, exact = classes[c][3][i]
                     shared = len(exact & all_own)
                     if shared >= least * len(exact):
-                        rows.append((ids[d], item, len(exact), shared, shared / len(exact)))
+                        rows.append((d, item, len(exact), shared, shared / len(exact)))
+        return rows
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows, ids = hits(b), b.column("doc_id").to_pylist() if whole is None else []
+        if whole is not None:
+            clean = np.ones(b.num_rows, bool)
+            clean[[r[0] for r in rows]] = False
+            return b.filter(pa.array(clean)).select(whole)
+        rows = [(ids[r[0]], *r[1:]) for r in rows]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in tv.slices(b, "text", 1 << 22):
+            for part in tv.slices(b, "text" if whole is None else "__text", 1 << 22):
                 yield batch(part)
         tv.release()
 
@@ -140,13 +152,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, containment:
     """
     if not 0 < containment <= 1:
         raise ValueError("containment must be in (0, 1]")
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    passes, out = max(1, -(-items.count() // block)), None
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * passes if passes > 1 else 1))  # twice as many blocks as needed: hashed blocks vary in size
-    for p in range(2 * passes if passes > 1 else 1):
-        own = [tuple(r) for r in items.where(part == p).collect()]  # at most about a block of short items
-        found = texts.mapInArrow(_search(spark.sparkContext.broadcast(_prepare(own, k, bands)), k, bands, containment), _COLUMNS)
+    texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
+    for prepared in _blocks(benchmark, k, bands, block):
+        found = texts.mapInArrow(_search(prepared, k, bands, containment), _COLUMNS)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _blocks(benchmark: DataFrame, k: int, bands: int, block: int):
+    """The items, prepared and broadcast in blocks."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // block), -(-size // _BYTES))
+    passes = 2 * passes if passes > 1 else 1  # twice as many blocks as needed: hashed blocks vary in size
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    for p in range(passes):
+        yield benchmark.sparkSession.sparkContext.broadcast(_prepare([tuple(r) for r in items.where(part == p).collect()], k, bands))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, k: int = 5, containment: float = 0.8, bands: int = 32, block: int = 5000) -> DataFrame:
+    """The rows of ``docs`` that hold no item as ``contaminated`` has it, with all their columns: each row is judged where it lies, without a join."""
+    names, out = docs.columns, docs
+    if "__text" in names:
+        raise ValueError("the column name __text is taken")
+    for prepared in _blocks(benchmark, k, bands, block):
+        judged = out.select("*", F.col("text").cast("string").alias("__text"))
+        out = judged.mapInArrow(_search(prepared, k, bands, containment, names), docs.schema)
+    return out

@@ -1,23 +1,24 @@
 """Quality classifier by co-training.
 
-Two views see a document: its text (presence of telling words, character and repetition ratios) and its metadata (language, source,
-recorded length). Each is a logistic regression. Over a few rounds each view labels unlabelled documents and hands those it is sure of to the
+Two views see a document: its text (presence of telling words and beginnings of words, character and repetition ratios) and its metadata (language, source,
+recorded length). Each is a logistic regression. Over a few rounds each view labels the unlabelled documents, all of them, and hands some of those it is sure of to the
 *other* view's training set. Both are then calibrated on labelled documents held out of training, and combined by a calibrated sum of
-their log-odds. There is one such pair for ``quality`` and one for ``toxic``.
+their log-odds, shifted to where fewest of those rows are wrong. There is one such pair for ``quality`` and one for ``toxic``.
 
-Training takes bounded samples (``n_labelled``, ``n_unlabelled``); the words are chosen by their counts in the labelled sample. Every
-document is scored, whole, in one pass without a shuffle.
+What is bounded: labelled training rows (``n_labelled``, by a hash of doc_id), and the pseudo-labelled rows that a view takes in a round (``quota`` for each
+class: of all documents that the other view is sure of, those of smallest hash). The views of every document are written once, whole texts in one pass; rounds and scores
+read that table.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -29,6 +30,7 @@ _SPACE += b" "
 _SYMBOL = bytes(b for b in range(33, 127) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123))
 TARGETS = ("quality", "toxic")
 _HASHED = 256
+_BEGIN = range(3, 9)
 
 
 def text_words(text: str) -> list[str]:
@@ -43,10 +45,20 @@ def _ratios(text: str, words: list[str], distinct: set[str]) -> list[float]:
     return [*count, count[0] / (count[0] + count[1] + 0.01), len(distinct) / max(1, len(words)), np.log1p(len(words)), len(set(lines)) / len(lines), raw.count(b"|") / size, raw.count(b"!") / size, len(words) / size]
 
 
-def content_view(text: str, index: dict[str, int]) -> tuple[list[float], list[int]]:
+def flags(distinct: set[str], wanted: set[str] | None = None) -> set[str]:
+    """The words, and the beginnings of 3 to 8 letters of longer ones: ``abc*`` if one word has it, ``abc**`` if two, ``abc***`` if three or more. With ``wanted``, of these beginnings alone."""
+    times: dict[str, int] = {}
+    for w in distinct:
+        for k in _BEGIN[: max(0, len(w) - _BEGIN[0])]:
+            if wanted is None or w[:k] in wanted:
+                times[w[:k]] = times.get(w[:k], 0) + 1
+    return distinct | {b + "***"[:m] for b, n in times.items() for m in range(1, min(n, 3) + 1)}
+
+
+def content_view(text: str, index: dict[str, int], wanted: set[str]) -> tuple[list[float], list[int]]:
     words = text_words(text)
     distinct = set(words)
-    return _ratios(text, words, distinct), [index[w] for w in distinct & index.keys()]
+    return _ratios(text, words, distinct), [index[w] for w in flags(distinct, wanted) & index.keys()]
 
 
 def metadata_view(lang, source, n_chars) -> tuple[list[float], list[int]]:
@@ -56,15 +68,28 @@ def metadata_view(lang, source, n_chars) -> tuple[list[float], list[int]]:
     return [np.log1p(float(n_chars)) if known else 0.0, float(known)], [crc32(f"{k}={v}".encode()) % _HASHED for k, v in (("lang", lang), ("source", source))]
 
 
-def _matrix(rows: list[tuple[list[float], list[int]]], n_dense: int, n_sparse: int) -> np.ndarray:
-    x = np.zeros((len(rows), n_dense + n_sparse), np.float32)
-    for i, (dense, hot) in enumerate(rows):
-        x[i, :n_dense] = dense
-        for j in hot:
-            x[i, n_dense + j] = 1
+_DENSE = (12, 2)
+
+
+def _matrix(dense: pa.Array, hot: pa.Array, n_dense: int, n_sparse: int) -> np.ndarray:
+    """Rows of ``n_dense`` numbers and of numbered flags."""
+    x = np.zeros((len(dense), n_dense + n_sparse), np.float32)
+    x[:, :n_dense] = dense.flatten().to_numpy().reshape(len(dense), n_dense)
+    sizes = np.diff(hot.offsets.to_numpy())
+    x[np.repeat(np.arange(len(hot)), sizes), n_dense + hot.flatten().to_numpy()] = 1
     return x
 
 
+def _matrices(b: pa.RecordBatch | pa.Table, n_words: int) -> list[np.ndarray]:
+    """Both views of a batch of the views table."""
+    out = []
+    for k, n in enumerate((max(1, n_words), _HASHED)):
+        dense, hot = (b.column(f"{c}{k}") for c in "dh")
+        dense, hot = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (dense, hot))
+        out.append(_matrix(dense, hot, _DENSE[k], n))
+    return out
+
+
 @dataclass
 class Logistic:
     """Ridge logistic regression by Newton steps, on standardized columns, with Platt calibration."""
@@ -74,7 +99,7 @@ class Logistic:
     w: np.ndarray = None
     platt: tuple[float, float] = (1.0, 0.0)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 12) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 20.0, steps: int = 12) -> Logistic:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1), np.float32)]).astype(np.float64)
         w, keep = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
@@ -98,84 +123,99 @@ class Logistic:
 
 
 def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (0 at least) and intercept; targets are smoothed, so that few rows cannot give certainty."""
-    good, bad = y.sum(), len(y) - y.sum()
-    t, a, b = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2)), 1.0, 0.0
+    """Slope (0 at least) and intercept; targets are smoothed, so that few rows cannot give certainty. Newton steps are halved until they help."""
+    good, bad, scale = y.sum(), len(y) - y.sum(), s.std() + 1e-9
+    t, s = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2)), s / scale
+
+    def loss(c: np.ndarray) -> float:
+        z = c[0] * s + c[1]
+        return float((np.logaddexp(0, z) - t * z).sum() + 5e-4 * c[0] ** 2)
+
+    c, now = np.zeros(2), None
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(c[0] * s + c[1], -30, 30)))
         v = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((t - p) * s).sum() - 1e-3 * a, (t - p).sum()])
-        h = np.array([[(v * s * s).sum() + 1e-3, (v * s).sum()], [(v * s).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
+        g = np.array([((t - p) * s).sum() - 1e-3 * c[0], (t - p).sum()])
+        step = np.linalg.solve(np.array([[(v * s * s).sum() + 1e-3, (v * s).sum()], [(v * s).sum(), v.sum() + 1e-6]]), g)
+        now = loss(c)
+        while loss(c + step) > now and np.abs(step).max() > 1e-6:
+            step = step / 2
+        c = c + step
         if np.abs(step).max() < 1e-6:
             break
-    return (float(a), float(b)) if a > 0 else (0.0, float(np.log((good + 1) / (bad + 1))))
+    return (float(c[0] / scale), float(c[1])) if c[0] > 0 else (0.0, float(np.log((good + 1) / (bad + 1))))
 
 
-@dataclass
-class CoTrained:
-    """The two calibrated views of one target and their combination; ``constant`` where the labels hold no two classes."""
+class CoTraining:
+    """The two views of one target while they learn, and their calibrated combination; ``constant`` where the labels hold no two classes.
+
+    Of the labelled rows, three quarters train, an eighth calibrates and weighs the views, and an eighth is for ``report`` alone.
+    """
 
-    constant: float | None = None
-    views: list[Logistic] = field(default_factory=list)
-    weights: tuple[float, float, float] = (0.5, 0.5, 0.0)
-    exchanged: list[int] = field(default_factory=list)
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, otherwise: float):
+        part = np.arange(len(y)) % 8
+        own, self.calibrate, self.test = part % 4 != 3, part == 3, part == 7
+        self.views, self.y = views, y
+        self.x, self.t = [[v[own]] for v in views], [[y[own]], [y[own]]]
+        self.models, self.weights, self.exchanged, self.report = [Logistic(), Logistic()], (0.5, 0.5, 0.0), [], {}
+        few = min(y[own].sum(), (1 - y[own]).sum()) < 5 or min(y[self.calibrate].sum(), (1 - y[self.calibrate]).sum()) < 2
+        self.constant = (float(y.mean()) if len(y) else otherwise) if few else None
+
+    def fit(self) -> None:
+        if self.constant is None:
+            for m, x, t, v in zip(self.models, self.x, self.t, self.views, strict=True):
+                m.fit(np.concatenate(x), np.concatenate(t))
+                m.platt = _platt(m.raw(v[self.calibrate]), self.y[self.calibrate])
+
+    def take(self, view: int, label: int, rows: np.ndarray) -> None:
+        self.x[view].append(rows)
+        self.t[view].append(np.full(len(rows), float(label)))
+
+    def _errors(self) -> dict[str, float]:
+        wrong = lambda p: float(((p >= 0.5) != (self.y[self.test] == 1)).mean()) if self.test.any() else 0.0
+        odds = [m.odds(v[self.test]) for m, v in zip(self.models, self.views, strict=True)]
+        return {"content": wrong(1 / (1 + np.exp(-odds[0]))), "metadata": wrong(1 / (1 + np.exp(-odds[1]))), "both": wrong(self.probability([v[self.test] for v in self.views]))}
+
+    def combine(self, name: str) -> None:
+        """Weigh the views; note the errors on labelled rows that nothing was fitted on as ``report[name]``."""
+        if self.constant is None:
+            y = self.y[self.calibrate]
+            a, b = (m.odds(v[self.calibrate]) for m, v in zip(self.models, self.views, strict=True))
+            best = max(((1, 0), (1, 0.25), (1, 0.5), (1, 1), (0.5, 1), (0, 1)), key=lambda w: -np.logaddexp(0, -(2 * y - 1) * (w[0] * a + w[1] * b)).sum())
+            slope, shift = _platt(best[0] * a + best[1] * b, y)
+            z = slope * (best[0] * a + best[1] * b) + shift
+            steps = np.arange(-12, 13) / 4
+            wrong = np.array([((z >= c) != (y == 1)).sum() for c in steps])
+            self.weights = slope * best[0], slope * best[1], shift - float(steps[wrong == wrong.min()].mean())  # one half lies where fewest rows are wrong
+            self.report[name] = self._errors()
 
     def probability(self, views: list[np.ndarray]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(views[0]), self.constant)
-        a, b = (v.odds(x) for v, x in zip(self.views, views, strict=True))
+        a, b = (v.odds(x) for v, x in zip(self.models, views, strict=True))
         return 1 / (1 + np.exp(-np.clip(self.weights[0] * a + self.weights[1] * b + self.weights[2], -30, 30)))
 
-
-def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, unlabelled: list[np.ndarray], rounds: int, sure: float, quota: int) -> CoTrained:
-    """``held``: rows for calibration. Each round, a view hands its surest pseudo-labels (probability ``sure`` or more, ``quota`` a class at most) to the other."""
-    own = ~held
-    if min(y[own].sum(), (1 - y[own]).sum()) < 5 or min(y[held].sum(), (1 - y[held]).sum()) < 2:
-        return CoTrained(constant=float(y.mean()) if len(y) else None)
-    x = [[v[own]] for v in views]
-    t = [[y[own]], [y[own]]]
-    free = [np.ones(len(unlabelled[0]), bool), np.ones(len(unlabelled[0]), bool)]
-    models, exchanged = [Logistic(), Logistic()], []
-
-    def fit(i: int) -> None:
-        models[i].fit(np.concatenate(x[i]), np.concatenate(t[i]))
-        models[i].platt = _platt(models[i].raw(views[i][held]), y[held])
-
-    for i in (0, 1):
-        fit(i)
-    for _ in range(rounds):
-        given = 0
-        said = [m.odds(u) if len(u) else np.zeros(0) for m, u in zip(models, unlabelled, strict=True)]
-        bound = np.log(sure / (1 - sure))
-        for i in (0, 1):
-            to = 1 - i
-            for label, s in ((1.0, said[i]), (0.0, -said[i])):
-                pick = np.flatnonzero((s >= bound) & free[to])
-                pick = pick[np.argsort(-s[pick], kind="stable")[:quota]]
-                free[to][pick] = False
-                x[to].append(unlabelled[to][pick])
-                t[to].append(np.full(len(pick), label))
-                given += len(pick)
-        exchanged.append(given)
-        if not given:
-            break
-        for i in (0, 1):
-            fit(i)
-    a, b = (m.odds(v[held]) for m, v in zip(models, views, strict=True))
-    best = max(((wa, wb) for wa, wb in ((1, 0), (1, 0.25), (1, 0.5), (1, 1), (0.5, 1), (0, 1))), key=lambda w: -np.logaddexp(0, -(2 * y[held] - 1) * (w[0] * a + w[1] * b)).sum())
-    slope, shift = _platt(best[0] * a + best[1] * b, y[held])
-    return CoTrained(None, models, (slope * best[0], slope * best[1], shift), exchanged)
+    def done(self) -> CoTraining:
+        """Without the training rows, to be sent to the executors."""
+        self.views = self.x = self.t = self.y = self.calibrate = self.test = None
+        return self
 
 
 @dataclass
 class Model:
     index: dict[str, int]
-    targets: dict[str, CoTrained]
+    targets: dict[str, CoTraining]
+
+    def scores(self, views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(self.targets[n].probability(views) for n in TARGETS)
+
+
+def kept(scores: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return (scores[0] >= 0.5) & (scores[1] < 0.5)
 
 
 _FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+_VIEWS = "doc_id long, pick long, d0 array<float>, h0 array<int>, d1 array<float>, h1 array<int>"
 
 
 def _fields(docs: DataFrame) -> DataFrame:
@@ -183,37 +223,82 @@ def _fields(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (x.split(" ") for x in _FIELDS.split(", "))])
 
 
-def _views(rows, index: dict[str, int]) -> list[np.ndarray]:
-    """Rows of (text, lang, source, n_chars)."""
-    content = [content_view(r[0] or "", index) for r in rows]
-    return [_matrix(content, 12, max(1, len(index))), _matrix([metadata_view(*r[1:]) for r in rows], 2, _HASHED)]
+def _views(texts, langs, sources, sizes, index: dict[str, int]) -> list[pa.Array]:
+    """Columns d0, h0, d1 and h1."""
+    wanted = {w.rstrip("*") for w in index if w.endswith("*")}
+    rows = [content_view(t or "", index, wanted) for t in texts], [metadata_view(*r) for r in zip(langs, sources, sizes, strict=True)]
+    return [pa.array([r[k] for r in own], pa.list_(t)) for own in rows for k, t in ((0, pa.float32()), (1, pa.int32()))]
+
+
+def views_table(fields: DataFrame, index: dict[str, int]) -> DataFrame:
+    """``_VIEWS`` for each row of ``fields``; ``pick`` is a hash of doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in tv.slices(b, "text", 1 << 22):
+                columns = _views(*(part.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")), index)
+                yield pa.record_batch([part.column("doc_id"), part.column("pick"), *columns], ["doc_id", "pick", "d0", "h0", "d1", "h1"])
+        tv.release()
+
+    return fields.select("*", F.xxhash64(F.lit("pick"), "doc_id", "text").alias("pick")).mapInArrow(run, _VIEWS)
+
 
+_SURE = "number int, pick long, d0 array<float>, h0 array<int>, d1 array<float>, h1 array<int>"
 
-def train(docs: DataFrame, labels: DataFrame, n_labelled: int = 12_000, n_unlabelled: int = 4_000, n_words: int = 240, rounds: int = 3, sure: float = 0.97, quota: int = 300) -> Model:
-    """Fit on at most ``n_labelled`` labelled and about ``n_unlabelled`` other documents, both by order of a hash of doc_id."""
+
+def sure_rows(pool: DataFrame, targets: list[CoTraining], n_words: int, sure: float, quota: int, taken: dict[int, set[int]]) -> DataFrame:
+    """Of the whole ``pool``, by (target, view, label) numbered ``4 t + 2 v + l``: the ``quota`` rows of smallest ``pick`` that the view gives the label with a probability of ``sure`` or more, but for those ``taken``."""
+    bound = float(np.log(sure / (1 - sure)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.Table] = {}
+        for b in batches:
+            views, pick = _matrices(b, n_words), b.column("pick").to_numpy()
+            for t, own in enumerate(targets):
+                for v in (0, 1) if own.constant is None else ():
+                    odds = own.models[v].odds(views[v])
+                    for label in (0, 1):
+                        k = 4 * t + 2 * v + label
+                        at = np.flatnonzero((odds if label else -odds) >= bound)
+                        at = at[~np.isin(pick[at], list(taken.get(k, ())))]
+                        at = at[np.argsort(pick[at], kind="stable")[:quota]]
+                        if len(at):
+                            rows = pa.Table.from_batches([b]).select(["pick", "d0", "h0", "d1", "h1"]).take(pa.array(at))
+                            rows = pa.concat_tables([best[k], rows]) if k in best else rows
+                            best[k] = rows.take(pa.array(np.argsort(rows.column("pick").to_numpy(), kind="stable")[:quota])).combine_chunks()
+        for k, rows in best.items():
+            yield from rows.add_column(0, "number", pa.array([k] * rows.num_rows, pa.int32())).to_batches()
+        tv.release()
+
+    found = pool.mapInArrow(run, _SURE)
+    for groups in ([F.col("number"), F.pmod("pick", F.lit(64))], [F.col("number")]):  # a bounded number of rows of each partition meets in two steps
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("pick"))).where(F.col("rank") <= quota).drop("rank")
+    return found
+
+
+def _fit(docs: DataFrame, labels: DataFrame, n_labelled: int = 12_000, n_words: int = 240, min_count: int = 4, rounds: int = 3, sure: float = 0.97, quota: int = 300) -> tuple[Model, DataFrame, str]:
+    """The model, the views of all rows, and the folder where they are."""
     spark, docs = docs.sparkSession, _fields(docs)
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    chosen = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(t).cast("int")).alias(t) for t in TARGETS]).orderBy(order).limit(n_labelled)
-    others = docs.where("doc_id is not null").select("doc_id").orderBy(order).limit(n_unlabelled).select("doc_id", *[F.lit(None).cast("int").alias(t) for t in TARGETS])
-    wanted = F.broadcast(chosen.unionByName(others).groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TARGETS]))  # n_labelled + n_unlabelled rows at most
-    sample, path = materialize(docs.join(wanted, "doc_id"), "sample")
+    given = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(t).cast("int")).alias(t) for t in TARGETS])
+    chosen = F.broadcast(given.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(n_labelled))  # n_labelled rows at most
+    sample = docs.join(chosen, "doc_id").groupBy("doc_id", *TARGETS).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))  # and as many documents
+    sample, sample_path = materialize(sample.select("doc_id", *TARGETS, "row.*"), "sample")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in tv.slices(b, "text", 1 << 22):
                 seen: dict[str, list[int]] = {}
-                for text, q, t in zip(part.column("text").to_pylist(), part.column("quality").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                    for w in set(text_words(text or "")):
+                for text, q, t in zip(*(part.column(c).to_pylist() for c in ("text", *TARGETS)), strict=True):
+                    for w in flags(set(text_words(text or ""))):
                         c = seen.setdefault(w, [0, 0, 0])
                         c[0] += 1
                         c[1] += q == 0
                         c[2] += t == 1
-                yield pa.record_batch([pa.array(list(seen)), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in range(3))], ["word", "n", "bad", "toxic"])
+                yield pa.record_batch([pa.array(list(seen), pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in range(3))], ["word", "n", "bad", "toxic"])
 
-    labelled = sample.where("quality is not null or toxic is not null")
-    total = labelled.agg(F.count(F.lit(1)), F.sum((F.col("quality") == 0).cast("int")), F.sum((F.col("toxic") == 1).cast("int"))).first()
+    total = sample.agg(F.count(F.lit(1)), F.sum((F.col("quality") == 0).cast("int")), F.sum((F.col("toxic") == 1).cast("int"))).first()
     n, totals = max(1, total[0]), [total[1] or 0, total[2] or 0]
-    counts = labelled.select("text", "quality", "toxic").mapInArrow(words_of, "word string, n long, bad long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic")).where("n >= 4")
+    counts = sample.select("text", *TARGETS).mapInArrow(words_of, "word string, n long, bad long, toxic long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "toxic")]).where(F.col("n") >= min_count)
     index: dict[str, int] = {}
     for name, own in zip(("bad", "toxic"), totals, strict=True):
         rate = own / n
@@ -221,45 +306,54 @@ def train(docs: DataFrame, labels: DataFrame, n_labelled: int = 12_000, n_unlabe
         for r in counts.orderBy(F.abs(gap).desc(), "word").limit(n_words // 2).select("word").collect():
             index.setdefault(r[0], len(index))
 
-    def views_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in tv.slices(b, "text", 1 << 22):
-                content = [content_view(t or "", index) for t in part.column("text").to_pylist()]
-                meta = [metadata_view(*r) for r in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
-                dense, hot = pa.list_(pa.float64()), pa.list_(pa.int32())
-                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "quality", "toxic")), *(pa.array([r[k] for r in rows], t) for rows in (content, meta) for k, t in ((0, dense), (1, hot)))], ["doc_id", "quality", "toxic", "d0", "h0", "d1", "h1"])
-
-    rows = sample.select("doc_id", "quality", "toxic", "text", "lang", "source", "n_chars").mapInArrow(views_of, "doc_id long, quality int, toxic int, d0 array<double>, h0 array<int>, d1 array<double>, h1 array<int>")
-    kept = rows.orderBy("doc_id", "d0").collect()  # the bounded sample, as features
-    views = [_matrix([(r[3], r[4]) for r in kept], 12, max(1, len(index))), _matrix([(r[5], r[6]) for r in kept], 2, _HASHED)]
-    remove(spark, path)
-    held = np.array([i % 4 == 3 for i in range(len(kept))], bool)
-    targets = {}
-    for j, name in enumerate(TARGETS, 1):
-        has = np.array([k[j] is not None for k in kept], bool)
-        y = np.array([float(k[j]) for k in kept if k[j] is not None])
-        targets[name] = co_train([v[has] for v in views], y, held[has], [v[~has] for v in views], rounds, sure, quota)
-        if targets[name].constant is None and not targets[name].views:
-            targets[name].constant = 1.0 if name == "quality" else 0.0
-    return Model(index, targets)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, quality_score, toxic_score, keep)`` for each row; null texts count as empty, null metadata as a value of its own."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred words and weights
+    views, views_path = materialize(views_table(docs, index), "views")
+    rows = views_table(sample.select(*[x.split(" ")[0] for x in _FIELDS.split(", ")]), index).join(sample.select("doc_id", *TARGETS), "doc_id").toArrow().sort_by("doc_id")  # n_labelled rows at most, as features
+    x, targets = _matrices(rows, len(index)), []
+    for name, otherwise in zip(TARGETS, (1.0, 0.0), strict=True):
+        y = rows.column(name).to_pylist()
+        has = np.array([v is not None for v in y], bool)
+        targets.append(CoTraining([v[has] for v in x], np.array([float(v) for v in y if v is not None]), otherwise))
+    pool, taken = views.join(given.select("doc_id"), "doc_id", "left_anti"), {}
+    for own in targets:
+        own.fit()
+        own.combine("labels alone")
+    if any(own.constant is None for own in targets) and rounds:
+        pool, pool_path = materialize(pool, "pool")
+        for _ in range(rounds):
+            found = sure_rows(pool, [_bare(t) for t in targets], len(index), sure, quota, taken).toArrow()  # 8 quota rows at most
+            numbers = found.column("number").to_numpy() if found.num_rows else np.zeros(0, int)
+            for t, own in enumerate(targets):
+                own.exchanged.append(0)
+                for v in (0, 1):
+                    for label in (0, 1):
+                        k = 4 * t + 2 * v + label
+                        got = found.filter(pa.array(numbers == k)).sort_by("pick")
+                        if got.num_rows:
+                            own.take(1 - v, label, _matrices(got, len(index))[1 - v])
+                            taken.setdefault(k, set()).update(got.column("pick").to_pylist())
+                            own.exchanged[-1] += got.num_rows
+                own.fit()
+            if not found.num_rows:
+                break
+        remove(spark, pool_path)
+    for own in targets:
+        own.combine("co-trained")
+    remove(spark, sample_path)
+    return Model(index, {name: own.done() for name, own in zip(TARGETS, targets, strict=True)}), views, views_path
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for b in batches:
-            for part in tv.slices(b, "text", 1 << 22):
-                for at in range(0, part.num_rows, 1000):
-                    p = part.slice(at, 1000)
-                    views = _views(list(zip(*(p.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")), strict=True)), own.index)
-                    q, t = (own.targets[n].probability(views) for n in TARGETS)
-                    yield pa.record_batch([p.column("doc_id"), pa.array(q), pa.array(t), pa.array((q >= 0.5) & (t < 0.5))], ["doc_id", "quality_score", "toxic_score", "keep"])
-        tv.release()
 
-    return _fields(docs).mapInArrow(run, "doc_id long, quality_score double, toxic_score double, keep boolean")
+def _bare(own: CoTraining) -> CoTraining:
+    """A copy that holds the models alone."""
+    out = CoTraining.__new__(CoTraining)
+    out.constant, out.models = own.constant, own.models
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, **settings) -> Model:
+    """Fit on at most ``n_labelled`` labelled documents and on pseudo-labels from all others."""
+    model, _, path = _fit(docs, labels, **settings)
+    remove(docs.sparkSession, path)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -267,6 +361,37 @@ def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
     ``keep`` is a quality of 0.5 or more and a toxicity under 0.5. Without labels of two classes a target has a constant score:
     the labels' mean, or 1 for quality and 0 for toxicity if there are none, so documents stay. Labels repeated for a doc_id: the larger counts;
-    labels without a document or doc_id are ignored. Missing metadata columns count as null; other columns are not read.
+    labels without a document or doc_id are ignored, and of rows that share a labelled doc_id the smallest trains. Each row is scored by its own text: null texts count
+    as empty, null metadata as a value of its own, missing metadata columns as null; other columns are not read. An empty table gives an empty table.
     """
-    return score(docs, train(docs, labels, **settings))
+    model, views, path = _fit(docs, labels, **settings)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred words and weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, t = sent.value.scores(_matrices(b, len(sent.value.index)))
+            yield pa.record_batch([b.column("doc_id"), pa.array(q), pa.array(t), pa.array(kept((q, t)))], ["doc_id", "quality_score", "toxic_score", "keep"])
+
+    out, _ = materialize(views.mapInArrow(run, "doc_id long, quality_score double, toxic_score double, keep boolean"), "quality")
+    remove(docs.sparkSession, path)
+    return out
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` would keep, with all their columns: each row is judged where it lies, without a join."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **settings))
+    names = docs.columns
+    own = [n for n in ("text", "lang", "source", "n_chars") if n in names]
+    judged = docs.select("*", F.struct(*[F.col(n).cast("long" if n == "n_chars" else "string").alias(n) for n in own]).alias("__judged"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for b in batches:
+            for part in tv.slices(b, "text", 1 << 22):
+                row = dict(zip(own, part.column("__judged").flatten(), strict=True))
+                columns = _views(*(row[n].to_pylist() if n in row else [None] * part.num_rows for n in ("text", "lang", "source", "n_chars")), model.index)
+                views = _matrices(pa.record_batch(columns, ["d0", "h0", "d1", "h1"]), len(model.index))
+                yield part.select(names).filter(pa.array(kept(model.scores(views))))
+        tv.release()
+
+    return judged.mapInArrow(run, docs.schema)

@@ -204,6 +204,62 @@ def test_quality(spark, sf):
     assert quality.classify(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), labels).count() == 1
 
 
+def test_quality_brute_force(spark, sf):
+    """Scores against a model applied row by row, and the pseudo-labels of a round against a choice from all rows at once."""
+    import pyarrow as pa
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rows += [(9000, None, None, None, None), (9001, "", "en", "s", 0), (9001, "", "en", "s", 0), (9002, rows[0][1], "xx", "new", -4), (None, rows[1][1], "en", "s", 3), (9003, "word " * 60_000, "de", "s", 300_000), (rows[0][0], rows[0][1] + " more", "en", "s", 1)]
+    frame = spark.createDataFrame([(*r, True, 1.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, keep boolean, pick double")
+    model, views, _ = quality._fit(frame, labels, min_count=2)
+    assert model.targets["quality"].constant is None
+
+    def score(r):
+        got = quality._matrices(pa.record_batch(quality._views(*([x] for x in r[1:]), model.index), ["d0", "h0", "d1", "h1"]), len(model.index))
+        return tuple(float(x[0]) for x in model.scores(got))
+
+    want = sorted((r[0] or -1, *map(lambda x: round(x, 6), score(r))) for r in rows)
+    out = quality.classify(frame, labels, min_count=2).collect()
+    assert sorted((r["doc_id"] or -1, round(r["quality_score"], 6), round(r["toxic_score"], 6)) for r in out) == want
+    assert all(r["keep"] == (r["quality_score"] >= 0.5 and r["toxic_score"] < 0.5) for r in out)
+    good = quality.good_documents(frame, labels, min_count=2)
+    assert good.columns == frame.columns and sorted((r["doc_id"] or -1, r["text"] or "", r["pick"]) for r in good.collect()) == sorted((r[0] or -1, r[1] or "", 1.5) for r in rows if (s := score(r))[0] >= 0.5 > s[1])
+    targets = list(model.targets.values())
+    for quota, taken in ((5, {}), (1000, {2: {0}})):
+        found = quality.sure_rows(views.repartition(7), targets, len(model.index), 0.9, quota, taken).collect()
+        table_ = views.toArrow().combine_chunks()
+        x, pick = quality._matrices(table_, len(model.index)), table_.column("pick").to_pylist()
+        want = set()
+        for t, own in enumerate(targets):
+            for v in (0, 1) if own.constant is None else ():
+                odds = own.models[v].odds(x[v])
+                for label in (0, 1):
+                    sure = sorted(p for p, o in zip(pick, odds if label else -odds, strict=True) if o >= np.log(9))[:quota]
+                    want |= {(4 * t + 2 * v + label, p) for p in sure}
+        assert {(r["number"], r["pick"]) for r in found} == want and len(found) <= 8 * quota
+
+
+def test_toxic_words(spark):
+    """Held-out documents with telling words, and with telling beginnings of words, are found; clean ones stay."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    rows = []
+    for i in range(2000):
+        w = [word() for _ in range(60)]
+        toxic = i % 8 == 0
+        for at in range(0, 60, 10) if toxic else ():
+            w[at] = rng.choice(["nasty", "vile"]) if i % 16 else "zorgl" + word()
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 3 and 1, x) for i, _, x in rows if i % 5], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["toxic_score"] >= 0.5 for r in quality.classify(docs, labels).collect()}
+    held = [(got[i], bool(x)) for i, _, x in rows if i % 5 == 0]
+    assert sum(a == b for a, b in held) >= 0.98 * len(held) and sum(a and b for a, b in held) >= 0.95 * sum(b for _, b in held)
+
+
 def test_pipeline(spark, sf):
     """run() against the stages' brute-force versions on what the classifier keeps."""
     import corpus_pipeline
