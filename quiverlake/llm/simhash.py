@@ -161,15 +161,17 @@ def simhash_components(docs: DataFrame, bits: int = 3, k: int = 3) -> DataFrame:
     fingerprints, all linked. A row with a null doc_id takes no part in linking: its component_id is null. Other columns of
     ``docs`` are not read. An empty table gives an empty table.
     """
-    prints, _ = materialize(fingerprints(docs, k), "prints")
+    prints, prints_path = materialize(fingerprints(docs, k), "prints")
     known = prints.where("doc_id is not null")
     classes = known.groupBy("fp").agg(F.min("doc_id").alias("node"))
     shared = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
     repeated = known.join(shared, "doc_id").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     # a doc_id may be the smallest of several fingerprints; the links then run between fingerprints' nodes all the same
-    links, path = materialize(fingerprint_links(classes.withColumnRenamed("node", "rep"), bits).unionByName(repeated), "pairs")
+    links, links_path = materialize(fingerprint_links(classes.withColumnRenamed("node", "rep"), bits).unionByName(repeated), "pairs")
     found = connected_components(links)
-    remove(prints.sparkSession, path)
-    classes = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(classes, "fp", "left")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    classes, classes_path = materialize(classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    out = prints.join(classes, "fp", "left")  # both sides are plain tables here, so that a fingerprint of very many documents can be split
+    out = out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out, _ = materialize(out, "components")
+    remove(prints.sparkSession, prints_path, links_path, classes_path)
+    return out

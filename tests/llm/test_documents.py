@@ -260,18 +260,75 @@ def test_toxic_words(spark):
     assert sum(a == b for a, b in held) >= 0.98 * len(held) and sum(a and b for a, b in held) >= 0.95 * sum(b for _, b in held)
 
 
+def brute_contaminated(rows, items):
+    """Places of the rows that hold 0.8 of an item's distinct shingles."""
+    import re
+
+    def grams(text, n=None):
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        n = n or min(5, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set(), n
+
+    out = set()
+    for t in items:
+        own, n = grams(t)
+        out |= {k for k, (_, text) in enumerate(rows) if own and len(own & grams(text, n)[0]) >= 0.8 * len(own)}
+    return out
+
+
+def edges(spark, sf):
+    """The documents with nulls, empty, repeated and very long rows, and extra columns with clashing names."""
+    rows = [(*r, 1, "x", 2) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    text, item = rows[0][1], spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows += [(9000, None, None, None, None, 1, "x", 2), (9001, "", "en", "s", 0, 1, "x", 2), (9002, text, "en", "s", 5, 1, "x", 2), (9002, text, "en", "s", 5, 1, "x", 2), (9003, text + " " + item, "en", "s", 5, 1, "x", 2), (9003, "own " + text, "en", "s", 5, 1, "x", 2), (None, rows[1][1], "en", "s", 5, 1, "x", 2), (9004, (text + "\n") * 400, "en", "s", 5, 1, "x", 2)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keep int, fp string, component_id int")
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = edges(spark, sf)
+    rows = [tuple(r)[:2] for r in docs.select("doc_id", "text").collect()]
+    items = [r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect()]
+    order = lambda own: sorted(((i, t or "") for i, t in own), key=repr)
+    groups = brute_components({i: brute_print(t) for i, t in rows if i is not None and i != 9003} | {9003: brute_print(rows[-4][1])})
+    dirty = brute_contaminated(rows, items)
+    want = {
+        "line dedup": order((i, t) for i, t, *_ in brute_lines(rows)),
+        "benchmark decontamination": order(r for k, r in enumerate(rows) if k not in dirty),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema.names == docs.columns
+        got = order((r["doc_id"], r["text"]) for r in out.collect())
+        assert name not in want or got == want[name], name
+        if name == "SimHash near-dedup":
+            plain = {i for i, g in groups.items() if i != g and i != 9003 and g != 9003}
+            assert not plain & {i for i, _ in got} and (None, rows[1][1]) in got and [i for i, _ in got].count(9000) == 1 and 9001 not in {i for i, _ in got}
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    out = corpus_pipeline.bpe_stage(spark, docs, sf)
+    assert out.count() == len(rows) and out.where("intact").count() == len(rows) and corpus_pipeline.bpe_stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline(spark, sf):
-    """run() against the stages' brute-force versions on what the classifier keeps."""
+    """run() against brute-force versions of all stages but the classifier, whose decisions test_quality_brute_force covers, and the tokenizers library."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    got = {r[0]: bytes(r[2]) for r in corpus_pipeline.run(spark, sf).collect()}
+    got = {r["doc_id"]: (r["n_tokens"], bytes(r["ids"]), r["decoded_sha256"], r["intact"]) for r in corpus_pipeline.run(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = corpus_pipeline.quality_stage(spark, docs, sf)
-    assert kept.columns == docs.columns
-    rows = [(i, t) for i, t, *_ in brute_lines([tuple(r) for r in kept.select("doc_id", "text").collect()])]
+    keep = {r["doc_id"] for r in quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("keep").collect()}
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect() if r["doc_id"] in keep]
+    rows = [(i, t) for i, t, *_ in brute_lines(rows)]
     groups = brute_components({i: brute_print(t) for i, t in rows})
     rows = [(i, t) for i, t in rows if groups[i] == i]
-    dirty = {r[0] for r in decontaminate.contaminated(table(spark, rows), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-    own = bpe.automaton(open(tokenizer_path(), "rb").read())
-    assert got == {i: own.encode(t) for i, t in rows if i not in dirty}
-    assert hashlib.sha256(b"").hexdigest()
+    dirty = brute_contaminated(rows, [r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect()])
+    t = Tokenizer.from_file(tokenizer_path())
+    t.no_truncation(), t.no_padding()
+    want = {}
+    for k, (i, text) in enumerate(rows):
+        if k not in dirty:
+            ids = t.encode(text, add_special_tokens=False).ids
+            want[i] = (len(ids), np.array(ids, "<u4").tobytes(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest(), True)
+    assert got == want and len(got) > 50
