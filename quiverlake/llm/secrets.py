@@ -1,10 +1,12 @@
 """Secret scans in DataFrame functions only: fixed rules, and two character Markov models compared by log-likelihood ratio.
 
-One model is trained on random strings, the other on ordinary identifiers; both samples are labelled by how they are made: random strings come from
-digests of numbers, identifiers from tokens of a bounded sample of the documents outside all rule matches, and a fixed list. A token of
-``min_chars`` or more goes if the sum over its character pairs of log P(random) - log P(ordinary) reaches ``threshold``.
+One model is trained on random strings, the other on ordinary identifiers; both samples are labelled by how they are made. Random strings come from
+digests of numbers. Identifiers are put together from a fixed list of words in many styles; to them come words of a bounded sample of the documents, outside all rule
+matches, that are letters of one case alone. A token of ``min_chars`` or more goes if the sum over its character pairs of log P(random) - log P(ordinary)
+reaches ``threshold``.
 
-Each text is scanned where it lies: no shuffle, no join. Positions come from the lengths of the pieces between matches, summed in blocks.
+Each text is scanned where it lies: no shuffle, no join. A cheap test tells first whether a text can hold a match of a rule. Positions come from the lengths of the pieces between
+matches, summed in blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,16 @@ from .common import text_of
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-ORDINARY = "getUserName set_default_value request_handler ConnectionPool parseArguments MAX_BUFFER_SIZE content-type background-color is_available toLowerCase StringBuilder application/json user_profile_image configuration_manager test_invalid_input calculateTotalPrice documentElement left_outer_join internationalization createElement DEFAULT_TIMEOUT_SECONDS load_balancer_name"
+#: Words of identifiers.
+WORDS = (
+    "get set is has add remove create delete update find load save read write open close start stop run init build make parse format render fetch send receive handle process validate check test "
+    "user name value default request response handler connection pool argument buffer size content type background color available lower upper string builder application image profile configuration manager "
+    "invalid input output calculate total price document element left right outer join national timeout seconds load balancer index key file path directory list map array node tree graph table column row "
+    "field record message error exception warning event listener callback thread process lock queue stack cache memory storage database query result filter sort group order count number integer float double "
+    "boolean date time zone year month day client server service host port address network socket protocol http url header body cookie session token password account customer product invoice payment order "
+    "option parameter setting property attribute method function class object instance module package version release status state mode level depth width height length offset position start end first last next "
+    "previous current new old max min average sum code byte char encode decode compress extract convert transform register unregister enable disable visible hidden active public private static abstract"
+)
 
 _BLOCK = 512
 _CHARS = 128
@@ -45,12 +56,16 @@ def _starts(lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, begin, walk))
 
 
-def spans(text: Column, pattern: str, keep: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches as ``array<struct<start, end>>`` in code points; with ``keep`` (an array of booleans, one a match), those it names."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def matches(text: Column, pattern: str, can: Column, group: int = 0) -> Column:
+    """All leftmost non-overlapping matches, or a group of them; only texts that ``can`` have any are searched."""
+    return F.when(can, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+
+
+def spans(text: Column, pattern: str, found: Column, keep: Column | None = None) -> Column:
+    """Where the matches ``found`` lie, as ``array<struct<start, end>>`` in code points; with ``keep`` (an array of booleans, one a match), those it names."""
     lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.char_length(p).cast("long").alias("gap"), F.char_length(m).cast("long").alias("size")))
-    all_of = F.when(F.size(found) > 0, _starts(lengths)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return all_of if keep is None else F.filter(all_of, lambda _, i: F.get(keep, i))
+    all_of = _starts(lengths) if keep is None else F.filter(_starts(lengths), lambda _, i: F.get(keep, i))
+    return F.when(F.size(found) > 0, all_of).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
@@ -60,8 +75,32 @@ def _pairs(tokens: DataFrame) -> DataFrame:
     return tokens.where("length(token) > 1").select("label", codes.alias("codes")).select("label", pair.alias("p")).groupBy("label", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def labelled_sample(docs: DataFrame, token: str, n_docs: int, n_random: int) -> DataFrame:
-    """``(label, token)``: 1 for random strings in three alphabets, 0 for ordinary tokens of about ``n_docs`` documents and the fixed list."""
+def identifiers(spark: SparkSession, n: int) -> DataFrame:
+    """``(token)``: ``n`` identifiers of two to five words in ten styles, numbers among them."""
+    words = F.array(*[F.lit(w) for w in WORDS.split(" ")])
+    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.lit("word"), "id", k), F.size(words)) + 1).cast("int"))
+    own = F.transform(F.sequence(F.lit(1), (F.pmod(F.xxhash64(F.lit("size"), "id"), F.lit(4)) + 2).cast("int")), pick)
+    titled = F.transform("own", F.initcap)
+    number = F.when(F.pmod(F.xxhash64(F.lit("end"), "id"), F.lit(4)) == 0, F.pmod(F.xxhash64(F.lit("number"), "id"), F.lit(100)).cast("string")).otherwise("")
+    camel = F.concat(F.element_at("own", 1), F.array_join(F.slice(titled, F.lit(2), F.size("own")), ""))
+    styles = [
+        F.array_join("own", "_"),
+        F.upper(F.array_join("own", "_")),
+        camel,
+        F.array_join(titled, ""),
+        F.array_join("own", "-"),
+        F.array_join("own", "/"),
+        F.array_join("own", ""),
+        F.concat(F.lit("_"), F.array_join("own", "_")),
+        F.array_join(titled, "_"),
+        F.concat(F.upper(F.element_at("own", 1)), F.array_join(F.slice(titled, F.lit(2), F.size("own")), "")),
+    ]
+    rows = spark.range(n).select("id", own.alias("own"))
+    return rows.select(F.concat(F.element_at(F.array(*styles), (F.col("id") % len(styles) + 1).cast("int")), number).alias("token"))
+
+
+def labelled_sample(docs: DataFrame, n_docs: int, n_random: int) -> DataFrame:
+    """``(label, token)``: 1 for random strings in three alphabets, 0 for as many identifiers and for the plain words of six letters or more in about ``n_docs`` documents."""
     spark: SparkSession = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("quiverlake"), F.col("id").cast("string")), 256)
     letters = F.translate(F.base64(F.unhex(digest)), "=", "")
@@ -71,9 +110,8 @@ def labelled_sample(docs: DataFrame, token: str, n_docs: int, n_random: int) ->
     text = text_of()
     for rule in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, rule, " ")
-    own = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), "doc_id"), F.lit(every)) == 0).select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(text, F.lit(token.replace("{16,}", "{6,}")), F.lit(0))).alias("token"))
-    fixed = spark.range(20).select(F.lit(0).alias("label"), F.explode(F.split(F.lit(ORDINARY), " ")).alias("token"))
-    return random.unionByName(own).unionByName(fixed)
+    own = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), "doc_id", "text"), F.lit(every)) == 0).select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]?[a-z]{5,}|[A-Z]{6,})(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"))
+    return random.unionByName(identifiers(spark, n_random).select(F.lit(0).alias("label"), "token")).unionByName(own)
 
 
 def ratios(sample: DataFrame, prior: float = 200.0) -> list[float]:
@@ -98,24 +136,39 @@ def ratios(sample: DataFrame, prior: float = 200.0) -> list[float]:
     return [log(1, a, b) - log(0, a, b) for a in range(_CHARS) for b in range(_CHARS)]
 
 
-def scan(docs: DataFrame, min_chars: int = 16, threshold: float = 8.0, n_docs: int = 4000, n_random: int = 6000) -> DataFrame:
+def ratio_table(sample: DataFrame) -> Column:
+    return F.split(F.lit(",".join(f"{x:.5f}" for x in ratios(sample))), ",").cast("array<double>")
+
+
+def ratio(token: Column, table: Column) -> Column:
+    """The sum over the token's character pairs; characters are ASCII."""
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
+    n = F.size(codes) - 1
+    return F.aggregate(F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.get(table, a * _CHARS + b)), F.lit(0.0), lambda s, x: s + x)
+
+
+def scan(docs: DataFrame, min_chars: int = 16, threshold: float = 10.0, n_docs: int = 4000, n_random: int = 6000) -> DataFrame:
     """``(doc_id, assign, access, hex, markov)`` for each row: arrays of ``(start, end)`` in code points, end exclusive.
 
     Null text counts as empty: empty arrays. Rows are independent: repeated and null doc_ids are kept. Other columns are not read. An empty
-    table gives an empty table. ``n_docs`` bounds the sample that trains the ordinary model; all documents are scanned, whole.
+    table gives an empty table. ``n_docs`` bounds the sample that adds words to the ordinary model; all documents are scanned, whole.
     """
-    token = r"[A-Za-z0-9+/_=-]{%d,}" % min_chars
-    table = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios(labelled_sample(docs, r"[A-Za-z0-9+/_=-]{16,}", n_docs, n_random)))), ",").cast("array<double>")
-    text = F.col("text")
-
-    def ratio(t: Column) -> Column:
-        codes = F.transform(F.split(t, ""), lambda c: F.ascii(c))
-        n = F.size(codes) - 1
-        return F.aggregate(F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.get(table, a * _CHARS + b)), F.lit(0.0), lambda s, x: s + x)
-
-    random = F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda t: ratio(t) >= threshold)
-    named = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.char_length(v) >= 6)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", spans(text, ASSIGN, named).alias("assign"), spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"), spans(text, token, random).alias("markov"))
+    table, text = ratio_table(labelled_sample(docs, n_docs, n_random)), F.col("text")
+    token, plain = r"[A-Za-z0-9+/_=-]{%d,}" % min_chars, F.lower(text)
+    named = (text.contains(":") | text.contains("=")) & (plain.contains("passw") | plain.contains("secret") | plain.contains("token") | plain.contains("api"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", "text", named.alias("named"))
+    rows = rows.select(
+        "doc_id",
+        "text",
+        matches(text, ASSIGN, F.col("named")).alias("assign"),
+        matches(text, ASSIGN, F.col("named"), 2).alias("values"),
+        matches(text, ACCESS, text.contains("AKIA")).alias("access"),
+        matches(text, HEX, text.rlike(HEX)).alias("hex"),
+        matches(text, token, text.rlike(token)).alias("markov"),
+    )
+    long = F.transform("values", lambda v: F.char_length(v) >= 6)
+    random = F.transform("markov", lambda t: ratio(t, table) >= threshold)
+    return rows.select("doc_id", spans(text, ASSIGN, F.col("assign"), long).alias("assign"), spans(text, ACCESS, F.col("access")).alias("access"), spans(text, HEX, F.col("hex")).alias("hex"), spans(text, token, F.col("markov"), random).alias("markov"))
 
 
 KINDS = ("assign", "access", "hex", "markov")

@@ -1,10 +1,15 @@
 """Chat, secrets, language model and nearest neighbours against brute-force versions and held-out checks."""
 
+import itertools
 import math
+import random
 import re
+import string
+import sysconfig
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -47,10 +52,30 @@ def brute_secrets(text):
     return [sum(s[1] == k for s in spans) for k in range(3)], ",".join(s[2] for s in sorted(spans))
 
 
+def markov_score(table, token):
+    return sum(round(table[ord(a) * 128 + ord(b)], 5) for a, b in itertools.pairwise(token))
+
+
+def test_secrets_held_out(spark, sf):
+    """Identifiers of Python's library and random strings of other alphabets and lengths, none of which trained."""
+    names = set()
+    for f in sorted(Path(sysconfig.get_path("stdlib")).glob("*.py")):
+        names |= {x for x in re.findall(r"\b[A-Za-z_][A-Za-z0-9_]{15,}\b", f.read_text(errors="ignore")) if not re.search("[0-9a-f]{12}", x)}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    table, rng = secrets.ratios(secrets.labelled_sample(docs, 4000, 6000)), random.Random(8)
+    flagged = sum(markov_score(table, x) >= 10.0 for x in names) / len(names)
+    print("identifiers flagged", flagged, "of", len(names))
+    assert flagged < 0.01
+    for alphabet in ("0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits):
+        for size in (20, 24, 40):
+            found = sum(markov_score(table, "".join(rng.choice(alphabet) for _ in range(size))) >= 10.0 for _ in range(500)) / 500
+            assert found >= 0.98, (alphabet, size, found)
+
+
 def test_secrets(spark, sf, tmp_path):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    random = "q7Zx0PfL2vRt9WkYb3NcHd8E"
-    rows += [(9000, None), (9001, ""), (9002, "🙂 é TOKEN = 'abc.def=' secret:token:abcdef ſecret=1234567 api_key=\"short\""), (9003, "AKIAAKIA" + "A1" * 9 + " " + "a" * 23 + " " + "0f" * 12), (9004, " ".join(["password: abcdef0"] * 3000)), (9004, "x"), (None, random), (9005, f"get_default_configuration_value and {random}!")]
+    token = "q7Zx0PfL2vRt9WkYb3NcHd8E"
+    rows += [(9000, None), (9001, ""), (9002, "🙂 é TOKEN = 'abc.def=' secret:token:abcdef ſecret=1234567 api_key=\"short\""), (9003, "AKIAAKIA" + "A1" * 9 + " " + "a" * 23 + " " + "0f" * 12), (9004, " ".join(["password: abcdef0"] * 3000)), (9004, "x"), (None, token), (9005, f"get_default_configuration_value and {token}!")]
     frame = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, markov string")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted([tuple(r) for r in queries.op3_secrets(spark, str(tmp_path)).collect()], key=repr)
@@ -60,10 +85,14 @@ def test_secrets(spark, sf, tmp_path):
         want.append((i, *counts, digest(listed)))
     assert [g[:5] for g in got] == sorted(want, key=repr)
     said = {g[0]: g[5] for g in got}
-    assert said[None] == f"markov:0:{len(random)}" and said[9005] == "markov:36:60"
+    assert said[None] == f"markov:0:{len(token)}" and said[9005] == "markov:36:60"
     for g in got:  # base spans stay
         base = set(brute_secrets(dict(rows)[g[0]] or "")[1].split(",")) - {""}
         assert g[0] == 9004 or base <= set(g[5].split(","))
+    table = secrets.ratios(secrets.labelled_sample(frame, 4000, 6000))
+    for i, t in rows:  # the method's spans against scores taken one by one
+        markov = [f"markov:{m.start()}:{m.end()}" for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", t or "") if markov_score(table, m[0]) >= 10.0]
+        assert i == 9004 or [x for x in said[i].split(",") if x.startswith("markov")] == markov
     plain = [g for g in got if g[0] is not None and g[0] < 9000 and not any(g[1:4])]
     assert sum("markov" in g[5] for g in plain) <= 0.03 * len(plain)
     assert secrets.scan(frame.limit(0)).count() == 0
