@@ -100,11 +100,12 @@ def identifiers(spark: SparkSession, n: int) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, n_docs: int, n_random: int) -> DataFrame:
-    """``(label, token)``: 1 for random strings in three alphabets, 0 for as many identifiers and for the plain words of six letters or more in about ``n_docs`` documents."""
+    """``(label, token)``: 1 for random strings in five alphabets, 0 for as many identifiers and for the plain words of six letters or more in about ``n_docs`` documents."""
     spark: SparkSession = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("quiverlake"), F.col("id").cast("string")), 256)
     letters = F.translate(F.base64(F.unhex(digest)), "=", "")
-    kinds = F.when(F.col("id") % 3 == 0, F.substr(digest, F.lit(1), F.lit(40))).when(F.col("id") % 3 == 1, letters).otherwise(F.upper(F.translate(letters, "+/", "")))
+    bare = F.translate(letters, "+/", "")
+    kinds = F.element_at(F.array(F.substr(digest, F.lit(1), F.lit(40)), letters, F.translate(letters, "+/", "-_"), F.upper(bare), F.lower(bare)), (F.col("id") % 5 + 1).cast("int"))
     random = spark.range(n_random).select(F.lit(1).alias("label"), kinds.alias("token"))
     every = max(1, docs.count() // n_docs)
     text = text_of()

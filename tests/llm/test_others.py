@@ -57,7 +57,7 @@ def markov_score(table, token):
 
 
 def test_secrets_held_out(spark, sf):
-    """Identifiers of Python's library and random strings of other alphabets and lengths, none of which trained."""
+    """Identifiers of Python's library and random strings of another generator and other lengths, none of which trained."""
     names = set()
     for f in sorted(Path(sysconfig.get_path("stdlib")).glob("*.py")):
         names |= {x for x in re.findall(r"\b[A-Za-z_][A-Za-z0-9_]{15,}\b", f.read_text(errors="ignore")) if not re.search("[0-9a-f]{12}", x)}
