@@ -12,6 +12,7 @@ owner. That test joins on key and document together, so a line that a third of a
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,18 @@ from .common import SPACE, lower_ascii, materialize, partitions, remove, scratch
 _LAST = 9223372036854775807
 
 
+@contextmanager
+def _in_order(spark: SparkSession):
+    """Let Spark use that the files of a run are sorted: by default it sorts bucketed tables again for every join."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
+
+
 class LineRuns:
     """The store of runs. ``add`` takes a batch of ``(h1, h2, owner)`` whose owners are larger than those of earlier batches."""
 
@@ -38,9 +51,10 @@ class LineRuns:
 
     def add(self, firsts: DataFrame) -> None:
         """Anti-join the batch with every run and add the rest as a run of level 0; compact full levels."""
-        for run in self.runs():
-            firsts = firsts.join(self.spark.table(run).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._write(firsts))
+        with _in_order(self.spark):
+            for run in self.runs():
+                firsts = firsts.join(self.spark.table(run).select("h1", "h2"), ["h1", "h2"], "left_anti")
+            self.levels[0].append(self._write(firsts))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
@@ -96,12 +110,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 6, fanout:
     )
     lines, lines_path = materialize(lines, "lines", "batch")
     store = LineRuns(spark, fanout)
-    for b in range(len(cuts) + 1):
-        store.add(lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("owner").alias("owner")))
-    dropped = lines.join(store.owners(), ["h1", "h2", "owner"], "left_anti").groupBy("owner", "mark").agg(F.collect_set("pos").alias("gone"))
-    dropped, _ = materialize(dropped, "dropped")
-    store.close()
-    remove(spark, lines_path)
+    try:
+        for b in range(len(cuts) + 1):
+            store.add(lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("owner").alias("owner")))
+        dropped = lines.join(store.owners(), ["h1", "h2", "owner"], "left_anti").groupBy("owner", "mark").agg(F.collect_set("pos").alias("gone"))
+        dropped, _ = materialize(dropped, "dropped")  # stays, as the result reads it
+    finally:
+        store.close()
+        remove(spark, lines_path)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
     rows = docs.select(F.struct(*names).alias("row"), text.alias("text"), owner.alias("owner"), mark.alias("mark"))
     rows = rows.join(dropped, ["owner", "mark"], "left").withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))))

@@ -54,6 +54,21 @@ def test_lines(spark, sf, batches):
     assert {r[0] for r in out.select("pos").collect()} == {7}
 
 
+def test_runs_are_sorted_once(spark):
+    """A batch that meets a run sorts itself alone."""
+    store = line_dedup.LineRuns(spark)
+    frame = spark.range(1000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), F.col("id").alias("owner"))
+    try:
+        store.add(frame)
+        with line_dedup._in_order(spark):
+            batch = frame.groupBy("h1", "h2").agg(F.min("owner").alias("owner"))
+            plan = batch.join(spark.table(store.runs()[0]).hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1, plan
+        assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    finally:
+        store.close()
+
+
 def brute_print(text):
     words = (text or "").encode().lower().split()
     if not words:
