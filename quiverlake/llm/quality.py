@@ -48,7 +48,8 @@ def _ratios(text: str, words: list[str], distinct: set[str]) -> list[float]:
 def flags(distinct: set[str], wanted: set[str] | None = None) -> set[str]:
     """The words, and the beginnings of 3 to 8 letters of longer ones: ``abc*`` if one word has it, ``abc**`` if two, ``abc***`` if three or more. With ``wanted``, of these beginnings alone."""
     times: dict[str, int] = {}
-    for w in distinct:
+    heads = None if wanted is None else {b[: _BEGIN[0]] for b in wanted}
+    for w in distinct if heads is None else [w for w in distinct if w[: _BEGIN[0]] in heads]:
         for k in _BEGIN[: max(0, len(w) - _BEGIN[0])]:
             if wanted is None or w[:k] in wanted:
                 times[w[:k]] = times.get(w[:k], 0) + 1
