@@ -216,6 +216,8 @@ def similar_contents(texts: DataFrame, units: DataFrame, bands: int, similarity:
     chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("size") / _BYTES)).cast("int")
     buckets = buckets.select("key", chunks.alias("chunks"), F.when(chunks == 1, F.col("bucket")).otherwise(F.col("key")).alias("id"))  # small buckets of the same contents are compared once
     members, members_path = materialize(keyed.drop("size").join(buckets, "key").select("content", "id", "chunks").distinct(), "members")
+    del keyed, buckets
+    remove(texts.sparkSession, contents_path)
     free_shuffles(texts.sparkSession)
     wanted = natural.select("content", "doc_id", "start", "end").join(members.select("content").distinct(), "content", "left_semi")
     wanted = wanted.groupBy("content").agg(F.min(F.struct("doc_id", "start", "end")).alias("at")).groupBy("at.doc_id").agg(F.collect_list(F.struct("content", "at.start", "at.end")).alias("wanted"))
@@ -225,7 +227,7 @@ def similar_contents(texts: DataFrame, units: DataFrame, bands: int, similarity:
     pairs = members.join(sets, "content").withColumn("a", F.pmod(F.xxhash64("content", "id"), F.col("chunks")).cast("int"))
     links, links_path = materialize(_compared(pairs.select("id", "a", F.col("a").alias("b"), "content", "text"), similarity), "links")
     groups, groups_path = materialize(connected_components(links).select(F.col("node").alias("content"), "component"), "groups")
-    paths = [contents_path, members_path, sets_path, links_path, groups_path]
+    paths = [members_path, sets_path, links_path, groups_path]
     crowded = members.where("chunks > 1").join(groups, "content", "left").groupBy("id").agg(F.min(F.coalesce("component", "content")).alias("a"), F.max(F.coalesce("component", "content")).alias("b"))
     crowded, crowded_path = materialize(crowded.where("a <> b").select("id"), "crowded")
     if not crowded.isEmpty():
