@@ -46,7 +46,7 @@ def sign_signature_expr(vec: Column, p: np.ndarray) -> Column:
 
 def as_set(vec: Column) -> Column:
     """Components as whole numbers, cut toward zero; negative ones and NaN are 0, those of 2**63 or more are 2**63 - 1; each once."""
-    one = lambda x: F.when(F.isnan(x) | (x < 0), F.lit(0).cast("long")).when(x >= 2.0**63, F.lit(2**63 - 1)).otherwise(F.least(x, F.lit(9.2e18)).cast("long"))
+    one = lambda x: F.when(F.isnan(x) | (x < 0), F.lit(0).cast("long")).when(x >= 2.0**63, F.lit(2**63 - 1)).otherwise(x.cast("long"))
     return F.array_distinct(F.transform(vec, one))
 
 

@@ -63,6 +63,10 @@ def cosine(a, b) -> Column:
     return F.when((magnitude(a) == 0) | (magnitude(b) == 0), _same_size(a, b, F.lit(0.0))).otherwise(dot(a, b) / F.nullif(size, F.lit(0.0)))
 
 
+def _cosine(product: Column, a: Column, b: Column) -> Column:
+    return F.when((a == 0) | (b == 0), product * 0.0).otherwise(product / F.nullif(a * b, F.lit(0.0)))
+
+
 def add(a, b) -> Column:
     a, b = _col(a), _col(b)
     return _same_size(a, b, F.zip_with(a, b, lambda x, y: x + y))
@@ -128,6 +132,25 @@ def f32_l2_squared(a, b) -> Column:
     return _same_size(a, b, _sum(F.zip_with(a, b, lambda x, y: gap(x, y) * gap(x, y))))
 
 
+def f32_add(a, b) -> Column:
+    a, b = _col(a), _col(b)
+    return _same_size(a, b, F.zip_with(a, b, lambda x, y: x.cast("float") + y.cast("float")))
+
+
+def f32_subtract(a, b) -> Column:
+    a, b = _col(a), _col(b)
+    return _same_size(a, b, F.zip_with(a, b, lambda x, y: x.cast("float") - y.cast("float")))
+
+
+def f32_magnitude(v) -> Column:
+    return F.sqrt(f32_dot(v, v))
+
+
+def f32_cosine(a, b) -> Column:
+    """Zero if either vector is zero."""
+    return _cosine(f32_dot(a, b), f32_magnitude(a), f32_magnitude(b))
+
+
 def f32_scaled(v, c: float) -> Column:
     return F.transform(_col(v), lambda x: x.cast("float") * F.lit(c).cast("float"))
 
@@ -158,6 +181,22 @@ def u8_dot(a, b) -> Column:
     return _same_size(a, b, _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))))
 
 
+def u8_magnitude(v) -> Column:
+    return F.sqrt(u8_dot(v, v))
+
+
+def u8_cosine(a, b) -> Column:
+    """Zero if either vector is zero."""
+    return _cosine(u8_dot(a, b), u8_magnitude(a), u8_magnitude(b))
+
+
+def u8_normalized(v) -> Column:
+    """Scaled by the reciprocal of its length and cut to whole bytes; a zero vector stays."""
+    v = _col(v)
+    size = u8_magnitude(v)
+    return F.when(size > 0, F.transform(v, lambda x: _byte(x.cast("double") * (F.lit(1.0) / F.nullif(size, F.lit(0.0)))))).otherwise(v)
+
+
 def u8_l2(a, b) -> Column:
     a, b = _col(a), _col(b)
     return F.sqrt(_same_size(a, b, _sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))))

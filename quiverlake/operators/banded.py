@@ -7,7 +7,7 @@ mean-centred vectors make fewer of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, vector
@@ -52,14 +52,32 @@ class BandedIndex:
         return df
 
     def insert(self, vectors: DataFrame) -> None:
-        """``vectors(vec, [vec_id], [metadata], [seq])``; see ``sources.store.upsert``."""
-        rows = upsert(self.vectors(False), self._check(vectors, "vec")).withColumns({"sig": self.signature(F.col("vec")), "size": self.size(F.col("vec"))})
+        """``vectors(vec, [vec_id], [metadata], [seq])``; see ``sources.store.upsert``. Only new contents and given metadata are written, as a part of their own."""
+        batch = upsert(None, self._check(vectors, "vec")).withColumn("hash", vector.content_hash("vec"))
+        old = self.store.load("vectors")
+        if old is None:
+            batch = batch.withColumn("known", F.lit(None).cast("long"))
+        else:
+            batch = batch.join(old.select("hash", "vec", F.col("vec_id").alias("known")), ["hash", "vec"], "left")
+        batch = batch.persist()
+        rows = batch.where("known is null").withColumns({"sig": self.signature(F.col("vec")), "size": self.size(F.col("vec"))}).select("vec_id", "vec", "seq", "hash", "sig", "size")
         buckets = rows.select("vec_id", F.posexplode(self.keys(F.col("sig"))).alias("band", "key"))
-        self.store.save(self.parameters, vectors=rows, buckets=buckets)
+        metadata = batch.where("metadata is not null").select(F.coalesce("known", "vec_id").alias("vec_id"), "metadata", F.lit(self.store.version).alias("age"))
+        self.store.append(self.parameters, vectors=rows, buckets=buckets, metadata=metadata)
+        batch.unpersist()
 
-    def vectors(self, with_signature: bool = True) -> DataFrame | None:
-        df = self.store.load("vectors")
-        return df if df is None or with_signature else df.drop("sig", "size")
+    def stored(self) -> DataFrame | None:
+        """``(vec_id, vec, seq, hash, sig, size)``."""
+        return self.store.load("vectors")
+
+    def metadata(self) -> DataFrame:
+        """``(vec_id, metadata)``, the last given."""
+        return self.store.load("metadata").groupBy("vec_id").agg(F.max_by("metadata", "age").alias("metadata"))
+
+    def vectors(self) -> DataFrame | None:
+        """``(vec_id, vec, metadata, seq)``; metadata are null where none were given."""
+        rows = self.stored()
+        return None if rows is None else rows.select("vec_id", "vec", "seq").join(self.metadata(), "vec_id", "left").select("vec_id", "vec", "metadata", "seq")
 
     def buckets(self) -> DataFrame | None:
         """``(vec_id, band, key)``, the inverted index."""
@@ -68,11 +86,11 @@ class BandedIndex:
     def bucket(self, key: str) -> DataFrame:
         """The vectors in one bucket, with metadata."""
         band = int(key[1 : key.index("_")])
-        return self.vectors(False).join(self.buckets().where((F.col("band") == band) & (F.col("key") == key)).select("vec_id"), "vec_id", "left_semi")
+        return self.vectors().join(self.buckets().where((F.col("band") == band) & (F.col("key") == key)).select("vec_id"), "vec_id", "left_semi")
 
     def get(self, ids: DataFrame) -> DataFrame:
         """Vectors with metadata by ``ids(vec_id)``; unknown ids give no row."""
-        return self.vectors(False).join(ids.select("vec_id"), "vec_id", "left_semi")
+        return self.vectors().join(ids.select("vec_id"), "vec_id", "left_semi")
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "query_id long, vec_id long, vec array<double>, similarity double, rank int, metadata map<string,string>")
@@ -85,13 +103,13 @@ class BandedIndex:
 
     def query(self, queries: DataFrame, n: int, metadata: bool = False) -> DataFrame:
         """``queries(query_id, q)`` -> ``(query_id, vec_id, vec, similarity, rank, [metadata])``: the ``n`` most similar of at least the threshold, but none equal to the query."""
-        if self.vectors() is None:
+        if self.stored() is None:
             return self._empty() if metadata else self._empty().drop("metadata")
-        rows = self.candidates(queries).join(self._asked(queries), "query_id").join(self.vectors().drop("metadata", "seq"), "vec_id").where(F.col("vec") != F.col("q"))
+        rows = self.candidates(queries).join(self._asked(queries), "query_id").join(self.stored().drop("seq", "hash"), "vec_id").where(F.col("vec") != F.col("q"))
         rows = rows.withColumn("similarity", self.similarity())
         rows = rows.where((F.col("similarity") >= self.threshold) & ~F.isnan("similarity")).select("query_id", "vec_id", "vec", "similarity")
         top = top_k(rows, n, F.desc("similarity"), F.col("vec_id"))
-        return with_metadata(top, self.vectors()) if metadata else top
+        return with_metadata(top, self.metadata()) if metadata else top
 
     def sample_excluding(self, queries: DataFrame, n: int, seed: int = 0) -> DataFrame:
         """Queries and vectors with their signatures and sizes: for each query ``n`` random vectors of those with a bucket that is not the query's, all if fewer.
@@ -100,21 +118,25 @@ class BandedIndex:
         """
         q = self._asked(queries)
         order = F.xxhash64(F.lit(seed), "vec_id")
-        rows = self.vectors().select(F.hash("sig").alias("query_id"), "vec_id", "vec", "sig", "size", order.alias("order"))
+        rows = self.stored().select(F.col("sig").alias("query_id"), "vec_id", "vec", "sig", "size", order.alias("order"))
         pool = top_k(rows, n, F.col("order"), F.col("vec_id")).drop("rank", "query_id").orderBy("order", "vec_id").limit(2 * n)
-        pairs = q.join(F.broadcast(pool), F.col("sig") != F.col("query_sig"))  # 2n rows
-        return top_k(pairs, n, F.col("order"), F.col("vec_id")).drop("order", "rank")
+        pool = pool.withColumn("place", F.row_number().over(Window.orderBy("order", "vec_id")))  # 2n rows, numbered
+        places = q.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(max(1, pool.count())))))  # 2n at most for a query
+        pairs = places.join(pool, "place").where(F.col("sig") != F.col("query_sig"))
+        return top_k(pairs, n, F.col("order"), F.col("vec_id")).drop("order", "rank", "place")
 
     def query_dissimilar(self, queries: DataFrame, n: int, seed: int = 0) -> DataFrame:
         """The ``n`` least similar of a random sample of ``10 n`` vectors outside the query's buckets, with metadata; least first."""
-        if self.vectors() is None:
+        if self.stored() is None:
             return self._empty()
         rows = self.sample_excluding(queries, 10 * n, seed)
         rows = rows.withColumn("similarity", self.similarity()).select("query_id", "vec_id", "vec", "similarity")
-        return with_metadata(top_k(rows, n, F.col("similarity"), F.col("vec_id")), self.vectors())
+        return with_metadata(top_k(rows, n, F.col("similarity"), F.col("vec_id")), self.metadata())
 
     def compact(self) -> None:
-        self.store.compact()
+        """One part a table, with the last metadata alone."""
+        latest = {} if self.stored() is None else {"metadata": self.metadata().withColumn("age", F.lit(-1))}
+        self.store.compact(**latest) if self.store.persistent else self.store.compact()
 
 
 class LshIndex(BandedIndex):

@@ -20,6 +20,11 @@ def squared_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], 1)
 
 
+def nearest_of(d: np.ndarray) -> np.ndarray:
+    """The least of each row, the first of equal ones; a distance that is no number is never the least (the first centroid stands if none is)."""
+    return np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+
+
 def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``points`` with ``cluster`` (the nearest centroid; the lowest number on ties) and ``distance`` (L2)."""
     c = np.asarray(centroids, float)
@@ -29,7 +34,7 @@ def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
         if not len(v):
             return pd.DataFrame({"cluster": pd.Series([], dtype="int32"), "distance": pd.Series([], dtype=float)})
         d = squared_distances(np.stack(v.to_numpy()).astype(float), c)
-        at = d.argmin(axis=1)
+        at = nearest_of(d)
         return pd.DataFrame({"cluster": at.astype(np.int32), "distance": np.sqrt(d[np.arange(len(d)), at])})
 
     return points.withColumn("near", nearest(F.col("vec"))).select("*", "near.cluster", "near.distance").drop("near")
@@ -51,7 +56,7 @@ def cluster_sums(points: DataFrame, centroids: np.ndarray) -> DataFrame:
                 continue
             x = np.stack(pdf["vec"].to_numpy()).astype(float)
             d = squared_distances(x, c)
-            at = d.argmin(axis=1)
+            at = nearest_of(d)
             d = d[np.arange(len(d)), at]
             rows = []
             for k in np.unique(at):
@@ -83,6 +88,19 @@ def should_grow(stats: dict[int, tuple[int, float]], k: int) -> bool:
     return max(s[0] for s in stats.values()) / max(1, n // k) > 1.5 or max(spread) > 100 or (mean > 0 and max(spread) / mean > 1.3)
 
 
+def fit_due(before: int, size: int, k: int) -> bool:
+    """Whether some row number from ``before + 1`` to ``size`` is a multiple of ``max(10, 2 * (number // k))``. Numbers of one quotient are looked at together; beyond a quotient of ``k`` the answer is known."""
+    q = (before + 1) // k
+    while q * k <= size:
+        low, high, every = max(before + 1, q * k), min(size, q * k + k - 1), max(10, 2 * q)
+        if -(-low // every) * every <= high:
+            return True
+        if k % 2 and q >= max(5, k):
+            return False  # the only multiple near q * k, q * (k + 1), lies beyond this quotient's numbers, and so for larger ones
+        q += 1
+    return False
+
+
 class KMeans:
     """The model: centroids (two random ones at first), data, and the fit counter that growth depends on."""
 
@@ -120,15 +138,19 @@ class KMeans:
 
     def fit(self, iterations: int) -> None:
         """Lloyd steps until the centroids move less than 1e-8 in sum; a random centroid is added when the clusters call for it."""
-        data = self.data
+        data, settled, ahead = self.data, len(self.centroids), None
         for _ in range(iterations):
             old = np.array(self.centroids)
-            new = np.zeros_like(old) if data is None else step(data, old)[0]
-            self.centroids = list(new)
-            if np.sqrt(((new - old) ** 2).sum(axis=1)).sum() < 1e-8:
+            new = np.zeros_like(old) if data is None else (ahead or step(data, old))[0]
+            self.centroids, ahead = list(new), None
+            if np.sqrt(((new - old)[:settled] ** 2).sum(axis=1)).sum() < 1e-8:  # a centroid just added does not count
                 break
-            if self.fit_index > 0 and data is not None and should_grow(step(data, new)[1], len(new)):
-                self.centroids.append(self.rng.random(self.dim))
+            settled = len(new)
+            if self.fit_index > 0 and data is not None:
+                ahead = step(data, new)  # the sums of the next step, unless a centroid is added
+                if should_grow(ahead[1], len(new)):
+                    self.centroids.append(self.rng.random(self.dim))
+                    ahead = None
             self.fit_index += 1
 
     def results(self) -> DataFrame:
@@ -140,8 +162,7 @@ class KMeans:
         before = self.size
         self.add(points)
         k = len(self.centroids)
-        every = max(10, 2 * (self.size // k))
-        if any(n % max(10, 2 * (n // k)) == 0 for n in range(before + 1, self.size + 1)) or self.size % every == 0:
+        if fit_due(before, self.size, k):
             self.fit(min(5, max(1, k // 20)))
 
     def query(self, queries: DataFrame, n: int, rank: str = "insertion") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, vector
 from ..operators import kmeans
 from ..operators.banded import LshIndex, MinHashIndex
+from ..operators.database import VectorDatabase
 from ..operators.graph import GraphIndex, build_shards, search_shards
 from ..sources.store import ParquetStore, upsert
 from ..streaming.ingest import ingest
@@ -42,6 +42,19 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/quiverlake-{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Written and read again: what a store that is about to close has answered."""
+    path = shared_path(df.sparkSession, "answers")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir).select("vec_id", "vec")
     return e.crossJoin(F.broadcast(e.where("vec_id = 0").select(F.col("vec").alias("q"))))  # one row
@@ -85,6 +98,16 @@ _scalar("vec_f32_dot", lambda: vector.f32_dot("vec", "q"), f"list_sum([(f[i] * g
 _scalar("vec_f32_l2_squared", lambda: vector.f32_l2_squared("vec", "q"), f"list_sum([(f[i] - g[i])::DOUBLE * (f[i] - g[i])::DOUBLE {_ALL})")
 _scalar("vec_u8_l2", lambda: vector.u8_l2(_bytes("vec"), _bytes("q")), f"list_distance({_A}, {_B})")
 _scalar("vec_u8_dot", lambda: vector.u8_dot(_bytes("vec"), _bytes("q")), f"list_inner_product({_A}, {_B})")
+_scalar("vec_f32_magnitude", lambda: vector.f32_magnitude("vec"), "sqrt(list_sum([(x * x)::DOUBLE for x in f]))")
+_scalar("vec_f32_cosine", lambda: vector.f32_cosine("vec", "q"), f"list_sum([(f[i] * g[i])::DOUBLE {_ALL}) / (sqrt(list_sum([(x * x)::DOUBLE for x in f])) * sqrt(list_sum([(x * x)::DOUBLE for x in g])))")
+_scalar("vec_u8_magnitude", lambda: vector.u8_magnitude(_bytes("vec")), f"sqrt(list_inner_product({_A}, {_A}))")
+_scalar("vec_u8_cosine", lambda: vector.u8_cosine(_bytes("vec"), _bytes("q")), f"list_inner_product({_A}, {_B}) / (sqrt(list_inner_product({_A}, {_A})) * sqrt(list_inner_product({_B}, {_B})))")
+_scalar("vec_is_empty", lambda: vector.is_empty("vec"), "len(v) = 0", False)
+_scalar("vec_display_parts", lambda: F.size(F.split(F.btrim(vector.display("vec"), F.lit("[]")), ", ")).cast("long"), "len(v)::BIGINT", False)
+_scalar("vec_content_hash_equal", lambda: vector.content_hash("vec") == vector.content_hash("q"), "v = q", False)
+_vector("vec_f32_add", lambda: vector.f32_add("vec", "q"), f"[f[i] + g[i] {_ALL}")
+_vector("vec_f32_subtract", lambda: vector.f32_subtract("vec", "q"), f"[f[i] - g[i] {_ALL}")
+_vector("vec_u8_normalized", lambda: vector.u8_normalized(_bytes("vec")), f"[floor(x * (1 / sqrt(list_inner_product({_A}, {_A})))) for x in {_A}]")
 _vector("vec_zeros", lambda: vector.zeros(4), "[0.0, 0.0, 0.0, 0.0]")
 _vector("vec_normalized", lambda: vector.normalized(vector.scaled("vec", 3.0)), "[x * 3.0 * (1 / sqrt(list_inner_product([y * 3.0 for y in v], [y * 3.0 for y in v]))) for x in v]")
 _vector("vec_scaled", lambda: vector.scaled("vec", 2.5), "[x * 2.5 for x in v]")
@@ -157,23 +180,36 @@ def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select("vec_id", sig.alias("sig")).select("vec_id", F.posexplode(hashing.sign_bands(F.col("sig"), BANDS, HASHES // BANDS)).alias("band", "key"))
 
 
-@query("lsh_query", _sign_query_sql("uniform", "{} = 0", 20, 0.1))
-def lsh_query(spark: SparkSession, sf_dir: str, which: str = "{} = 0") -> DataFrame:
-    return _scored(_lsh(spark, sf_dir, 0.1).query(_asked(spark, sf_dir, which), 20))
+@query("lsh_query", _sign_query_sql("uniform", ALL, 20, 0.1))
+def lsh_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_lsh(spark, sf_dir, 0.1).query(_asked(spark, sf_dir, ALL), 20))
 
 
-@query("lsh_query_metadata", _sign_query_sql("uniform", "{} = 0", 20, 0.1, True))
-def lsh_query_metadata(spark: SparkSession, sf_dir: str, which: str = "{} = 0") -> DataFrame:
-    return _scored(_lsh(spark, sf_dir, 0.1).query(_asked(spark, sf_dir, which), 20, metadata=True), F.col("metadata")["label"].alias("label"))
+@query("lsh_query_metadata", _sign_query_sql("uniform", ALL, 20, 0.1, True))
+def lsh_query_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_lsh(spark, sf_dir, 0.1).query(_asked(spark, sf_dir, ALL), 20, metadata=True), F.col("metadata")["label"].alias("label"))
 
 
-@query("lsh_query_batch", _sign_query_sql("gaussian", "{} % 10 = 0", 5, 0.2))
+@query("lsh_query_batch", _sign_query_sql("gaussian", ALL, 5, 0.2))
 def lsh_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(_lsh(spark, sf_dir, 0.2, "gaussian").query(_asked(spark, sf_dir, "{} % 10 = 0"), 5))
+    return _scored(_lsh(spark, sf_dir, 0.2, "gaussian").query(_asked(spark, sf_dir, ALL), 5))
 
 
-@query("lsh_query_persistent", _sign_query_sql("gaussian", "{} % 25 = 0", 5, 0.2))
-def lsh_query_persistent(spark: SparkSession, sf_dir: str, which: str = "{} % 25 = 0") -> DataFrame:
+@query("lsh_query_reopened", _sign_query_sql("gaussian", ALL, 5, 0.2, True))
+def lsh_query_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three inserts, each a part of its own, the last one known vectors with other metadata that then give way to the first; read from a second handle."""
+    store = ParquetStore(spark, mode="temporary")
+    index = LshIndex(spark, HASHES, BANDS, DIM, 0.2, store, "gaussian")
+    e = embeddings(spark, sf_dir)
+    index.insert(e.where("vec_id % 2 = 0").drop("metadata"))
+    index.insert(e.where("vec_id % 2 = 1").withColumn("metadata", F.create_map(F.lit("label"), F.lit("old"))))
+    index.insert(e.select((F.col("vec_id") + 100000).alias("vec_id"), "vec", "metadata"))
+    again = LshIndex(spark, HASHES, BANDS, DIM, 0.2, ParquetStore(spark, store.path, "readonly"), "gaussian")
+    return _scored(again.query(_asked(spark, sf_dir, ALL), 5, metadata=True), F.col("metadata")["label"].alias("label"))
+
+
+@query("lsh_query_persistent", _sign_query_sql("gaussian", ALL, 5, 0.2))
+def lsh_query_persistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two inserts, a compaction, and a read-only reopening in between."""
     store = ParquetStore(spark, mode="temporary")
     index = LshIndex(spark, HASHES, BANDS, DIM, 0.2, store, "gaussian")
@@ -182,18 +218,18 @@ def lsh_query_persistent(spark: SparkSession, sf_dir: str, which: str = "{} % 25
     index.insert(e)
     index.compact()
     again = LshIndex(spark, HASHES, BANDS, DIM, 0.2, ParquetStore(spark, store.path, "readonly"), "gaussian")
-    return _scored(again.query(_asked(spark, sf_dir, which), 5))
+    return _scored(again.query(_asked(spark, sf_dir, ALL), 5))
 
 
-@query("lsh_dissimilar", f"{_sign_sql('uniform')}, r AS (SELECT o.vec_id, o.label, list_cosine_similarity(o.v, q.q) AS sim FROM e o, q WHERE (SELECT sig FROM g WHERE vec_id = o.vec_id) <> (SELECT sig FROM g WHERE vec_id = 0)) SELECT 0::BIGINT AS query_id, vec_id, round(sim, 6) AS similarity, label::VARCHAR AS label FROM r ORDER BY sim, vec_id LIMIT 300")
-def lsh_dissimilar(spark: SparkSession, sf_dir: str, which: str = "{} = 0") -> DataFrame:
-    out = _lsh(spark, sf_dir, 0.1).query_dissimilar(_asked(spark, sf_dir, which), 300)
+@query("lsh_dissimilar", f"{_sign_sql('uniform')}, r AS (SELECT s.vec_id AS query_id, o.vec_id, o.label, list_cosine_similarity(o.v, s.v) AS sim FROM e s JOIN g a ON a.vec_id = s.vec_id, e o JOIN g b ON b.vec_id = o.vec_id WHERE s.vec_id % 20 = 0 AND a.sig <> b.sig), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim, vec_id) AS rank FROM r) SELECT query_id, vec_id, round(sim, 6) AS similarity, label::VARCHAR AS label FROM t WHERE rank <= 300")
+def lsh_dissimilar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _lsh(spark, sf_dir, 0.1).query_dissimilar(_asked(spark, sf_dir, ALL), 300)
     return out.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("metadata")["label"].alias("label"))
 
 
-@query("sample_excluding", f"{_sign_sql('gaussian')} SELECT x.vec_id AS query_id, y.vec_id FROM g x JOIN g y ON x.sig <> y.sig WHERE x.vec_id IN (0, 7)")
-def sample_excluding(spark: SparkSession, sf_dir: str, which: str = "{} IN (0, 7)") -> DataFrame:
-    return _lsh(spark, sf_dir, 0.1, "gaussian").sample_excluding(_asked(spark, sf_dir, which), 100_000).select("query_id", "vec_id")
+@query("sample_excluding", f"{_sign_sql('gaussian')} SELECT x.vec_id AS query_id, y.vec_id FROM g x JOIN g y ON x.sig <> y.sig WHERE x.vec_id % 20 = 0")
+def sample_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lsh(spark, sf_dir, 0.1, "gaussian").sample_excluding(_asked(spark, sf_dir, ALL), 100_000).select("query_id", "vec_id")
 
 
 @query("bucket_sizes", f"{_sign_sql('uniform')} SELECT band, key, count(*)::BIGINT AS n FROM b GROUP BY band, key")
@@ -243,11 +279,7 @@ _MH, _MB = 64, 32
 _SETS = f"""WITH x AS (SELECT DISTINCT l_suppkey AS vec_id, l_partkey AS e FROM lineitem),
 h AS (SELECT vec_id, i::INTEGER AS i, min((((e::UHUGEINT + (i::UHUGEINT * {hashing.SEED_STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT) * {hashing.MULTIPLIER}::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM x, range({_MH}) t(i) GROUP BY vec_id, i),
 b AS (SELECT vec_id, (i // 2)::INTEGER AS band, 'm' || (i // 2) || '_' || string_agg(lower(lpad(to_hex(h::UBIGINT), 16, '0')), '' ORDER BY i) AS key FROM h GROUP BY vec_id, i // 2)"""
-_AGREE = f"(SELECT x.vec_id AS query_id, y.vec_id, sum(CASE WHEN x.h = y.h THEN 1 ELSE 0 END) / {_MH}.0 AS sim FROM h x JOIN h y USING (i) WHERE x.vec_id <= 5 GROUP BY ALL)"
-
-
-#: The query set of the MinHash searches that have this in their SQL.
-FIVE = "{} <= 5"
+_AGREE = f"(SELECT x.vec_id AS query_id, y.vec_id, sum(CASE WHEN x.h = y.h THEN 1 ELSE 0 END) / {_MH}.0 AS sim FROM h x JOIN h y USING (i) WHERE x.vec_id % 20 = 0 GROUP BY ALL)"
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,11 +287,11 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.sort_array(F.collect_set("e")).alias("vec")).withColumn("metadata", F.create_map(F.lit("id"), F.col("vec_id").cast("string")))
 
 
-def _minhash(spark: SparkSession, sf_dir: str, which: str = FIVE) -> tuple[MinHashIndex, DataFrame]:
+def _minhash(spark: SparkSession, sf_dir: str) -> tuple[MinHashIndex, DataFrame]:
     index = MinHashIndex(spark, _MH, _MB, 0.1)
     sets = _sets(spark, sf_dir).persist()
     index.insert(sets)
-    asked = sets.where(which.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    asked = sets.where(ALL.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
     return index, asked
 
 
@@ -274,37 +306,37 @@ def minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("minhash_estimated_jaccard", f"{_SETS} SELECT query_id, vec_id, round(sim, 6)::DOUBLE AS similarity FROM {_AGREE}")
-def minhash_estimated_jaccard(spark: SparkSession, sf_dir: str, which: str = FIVE) -> DataFrame:
+def minhash_estimated_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     sig = _sets(spark, sf_dir).select("vec_id", hashing.minhash_signature(hashing.as_set(F.col("vec")), _MH).alias("sig"))
-    asked = sig.where(which.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("sig").alias("query_sig"))
+    asked = sig.where(ALL.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("sig").alias("query_sig"))
     return sig.crossJoin(asked).select("query_id", "vec_id", F.round(hashing.agreement(F.col("sig"), F.col("query_sig"), _MH), 6).alias("similarity"))
 
 
-_MINHASH = f"""{_SETS}, c AS (SELECT DISTINCT x.vec_id AS query_id, y.vec_id FROM b x JOIN b y USING (band, key) WHERE x.vec_id <= 5 AND x.vec_id <> y.vec_id),
+_MINHASH = f"""{_SETS}, c AS (SELECT DISTINCT x.vec_id AS query_id, y.vec_id FROM b x JOIN b y USING (band, key) WHERE x.vec_id % 20 = 0 AND x.vec_id <> y.vec_id),
 t AS (SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM c JOIN {_AGREE} USING (query_id, vec_id) WHERE sim >= 0.1)"""
 
 
 @query("minhash_query", f"{_MINHASH} SELECT query_id, vec_id, round(sim, 6)::DOUBLE AS similarity, rank::INTEGER AS rank FROM t WHERE rank <= 10")
-def minhash_query(spark: SparkSession, sf_dir: str, which: str = FIVE) -> DataFrame:
-    index, asked = _minhash(spark, sf_dir, which)
+def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked = _minhash(spark, sf_dir)
     return _scored(index.query(asked, 10))
 
 
 @query("minhash_query_metadata", f"{_MINHASH} SELECT query_id, vec_id, round(sim, 6)::DOUBLE AS similarity, rank::INTEGER AS rank, vec_id::VARCHAR AS id FROM t WHERE rank <= 10")
-def minhash_query_metadata(spark: SparkSession, sf_dir: str, which: str = FIVE) -> DataFrame:
-    index, asked = _minhash(spark, sf_dir, which)
+def minhash_query_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked = _minhash(spark, sf_dir)
     return _scored(index.query(asked, 10, metadata=True), F.col("metadata")["id"].alias("id"))
 
 
 @query("minhash_dissimilar", f"{_SETS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim, vec_id) AS rank FROM {_AGREE} WHERE sim < 1) SELECT query_id, vec_id, round(sim, 6)::DOUBLE AS similarity FROM t WHERE rank <= 200")
-def minhash_dissimilar(spark: SparkSession, sf_dir: str, which: str = FIVE) -> DataFrame:
-    index, asked = _minhash(spark, sf_dir, which)
+def minhash_dissimilar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked = _minhash(spark, sf_dir)
     return index.query_dissimilar(asked, 200).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 # graph
 
-_NEAR = f"""{E}, r AS (SELECT s.vec_id AS query_id, o.vec_id, o.label, list_distance(o.v, s.v) AS l2, list_cosine_similarity(o.v, s.v) AS sim FROM e o, e s WHERE s.vec_id % 40 = 3 AND o.v <> s.v AND list_cosine_similarity(o.v, s.v) >= 0.1 {{}}),
+_NEAR = f"""{E}, r AS (SELECT s.vec_id AS query_id, o.vec_id, o.label, list_distance(o.v, s.v) AS l2, list_cosine_similarity(o.v, s.v) AS sim FROM e o, e s WHERE s.vec_id % 20 = 0 AND o.v <> s.v AND list_cosine_similarity(o.v, s.v) >= 0.1 {{}}),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {{}} l2, vec_id) AS rank FROM r)
 SELECT query_id, vec_id, round(l2, 6) AS l2, row_number() OVER (PARTITION BY query_id ORDER BY l2, vec_id)::INTEGER AS rank{{}} FROM t WHERE rank <= 10"""
 
@@ -313,25 +345,29 @@ def _near(df: DataFrame, *more) -> DataFrame:
     return df.select("query_id", "vec_id", F.round("l2", 6).alias("l2"), "rank", *more)
 
 
-def _graph(spark: SparkSession, sf_dir: str, which: str = "true") -> GraphIndex:
+def _graph(spark: SparkSession, sf_dir: str) -> GraphIndex:
     index = GraphIndex(spark, 0.1)
-    index.insert(embeddings(spark, sf_dir).where(which))
+    index.insert(embeddings(spark, sf_dir))
     return index
 
 
 @query("graph_query", _NEAR.format("", "", ""))
-def graph_query(spark: SparkSession, sf_dir: str, which: str = "{} % 40 = 3") -> DataFrame:
-    return _near(_graph(spark, sf_dir).query(_asked(spark, sf_dir, which), 10))
+def graph_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(_graph(spark, sf_dir).query(_asked(spark, sf_dir, ALL), 10))
 
 
 @query("graph_query_metadata", _NEAR.format("", "", ", label::VARCHAR AS label"))
-def graph_query_metadata(spark: SparkSession, sf_dir: str, which: str = "{} % 40 = 3") -> DataFrame:
-    return _near(_graph(spark, sf_dir).query(_asked(spark, sf_dir, which), 10, metadata=True), F.col("metadata")["label"].alias("label"))
+def graph_query_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(_graph(spark, sf_dir).query(_asked(spark, sf_dir, ALL), 10, metadata=True), F.col("metadata")["label"].alias("label"))
 
 
-@query("graph_walk", _NEAR.format("AND o.vec_id < 200", "o0,", "").replace("o.label,", "o.label, o.vec_id <> 0 AS o0,"))
+@query("graph_walk", _NEAR.format("", "o0,", "").replace("o.label,", "o.label, o.vec_id <> 0 AS o0,"))
 def graph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(_graph(spark, sf_dir, "vec_id < 200").query(_asked(spark, sf_dir, "{} % 40 = 3"), 10, walk=True))
+    """With as many links as vectors the graph is complete, and the walk has its closed form over the whole table."""
+    e = embeddings(spark, sf_dir)
+    index = GraphIndex(spark, 0.1, max(1, e.count()))
+    index.insert(e)
+    return _near(index.query(_asked(spark, sf_dir, ALL), 10, walk=True))
 
 
 @query("graph_iterate", f"{E} SELECT row_number() OVER (ORDER BY vec_id) - 1 AS node_id, vec_id, label::VARCHAR AS label FROM e")
@@ -352,8 +388,13 @@ def graph_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_walk_all")
 def graph_walk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk of ``graph_walk``, which ends at the first passing nodes, over real graphs of the whole table; no SQL form."""
-    return _near(search_shards(build_shards(embeddings(spark, sf_dir)), _asked(spark, sf_dir, ALL), 10, 0.1))
+    """Walks over the stored graphs of an index that was filled in two inserts; no SQL form."""
+    store = ParquetStore(spark, mode="temporary")
+    index, e = GraphIndex(spark, 0.1, store=store, links=True), embeddings(spark, sf_dir)
+    index.insert(e.where("vec_id % 2 = 0"))
+    index.insert(e)
+    again = GraphIndex(spark, 0.1, store=ParquetStore(spark, store.path, "readonly"))
+    return _near(again.query(_asked(spark, sf_dir, ALL), 10, walk=True))
 
 
 # k-means with the first two vectors as centroids
@@ -400,12 +441,12 @@ def kmeans_should_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(bool(kmeans.should_grow(stats, 2)),)], "grow boolean")
 
 
-@query("kmeans_query", f"{_KM}, t AS (SELECT vec_id, v, cluster, row_number() OVER (PARTITION BY cluster ORDER BY vec_id) AS rank FROM a) SELECT s.vec_id AS query_id, t.vec_id, t.rank::INTEGER AS rank FROM a s JOIN t USING (cluster) WHERE s.vec_id % 100 = 7 AND t.rank <= 10 AND t.v <> s.v")
-def kmeans_query(spark: SparkSession, sf_dir: str, which: str = "{} % 100 = 7") -> DataFrame:
+@query("kmeans_query", f"{_KM}, t AS (SELECT vec_id, v, cluster, row_number() OVER (PARTITION BY cluster ORDER BY vec_id) AS rank FROM a) SELECT s.vec_id AS query_id, t.vec_id, t.rank::INTEGER AS rank FROM a s JOIN t USING (cluster) WHERE s.vec_id % 20 = 0 AND t.rank <= 10 AND t.v <> s.v")
+def kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = kmeans.KMeans(spark, DIM)
     model.centroids = list(_centroids(spark, sf_dir))
     model.add(embeddings(spark, sf_dir).drop("metadata"))
-    return model.query(_asked(spark, sf_dir, which), 10).select("query_id", "vec_id", "rank")
+    return model.query(_asked(spark, sf_dir, ALL), 10).select("query_id", "vec_id", "rank")
 
 
 @query("kmeans_fit")
@@ -417,20 +458,91 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.results().select("vec_id", "cluster")
 
 
-# the searches above with every id divisible by 20 as a query; lsh_dissimilar's SQL is for one query, so it has none here
-
-for _f, _which in (
-    (lsh_query, "x.vec_id = 0"),
-    (lsh_query_metadata, "x.vec_id = 0"),
-    (lsh_query_persistent, "x.vec_id % 25 = 0"),
-    (lsh_dissimilar, None),
-    (sample_excluding, "x.vec_id IN (0, 7)"),
-    (minhash_estimated_jaccard, "x.vec_id <= 5"),
-    (minhash_query, "x.vec_id <= 5"),
-    (minhash_query_metadata, "x.vec_id <= 5"),
-    (minhash_dissimilar, "x.vec_id <= 5"),
-    (graph_query, "s.vec_id % 40 = 3"),
-    (graph_query_metadata, "s.vec_id % 40 = 3"),
-    (kmeans_query, "s.vec_id % 100 = 7"),
-):
-    query(f"{_f.__name__}_all", _which and SQL[_f.__name__].replace(_which, ALL.format(_which.split()[0])))(partial(_f, which=ALL))
+# the handle over all backends
+
+def _answers(db: VectorDatabase, spark: SparkSession, sf_dir: str, e: DataFrame, n: int, *more) -> DataFrame:
+    """Insert with metadata where that is offered, then ask for the query set."""
+    if "insert_with_metadata" in db.can:
+        db.insert_with_metadata(e)
+        return db.query_with_metadata(_asked(spark, sf_dir, ALL), n).select("query_id", "vec_id", "rank", F.col("metadata")["label"].alias("label"))
+    db.insert(e)
+    return db.query(_asked(spark, sf_dir, ALL), n).select("query_id", "vec_id", "rank")
+
+
+_GRAPH = _NEAR.format("", "", "{}").replace("round(l2, 6) AS l2, ", "")
+
+
+@query("db_lsh", f"SELECT query_id, vec_id, rank, label FROM ({_sign_query_sql('uniform', ALL, 5, 0.1, True)})")
+def db_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(VectorDatabase.with_lsh(spark, HASHES, BANDS, DIM, 0.1), spark, sf_dir, embeddings(spark, sf_dir), 5)
+
+
+@query("db_temporary_lsh", f"SELECT query_id, vec_id, rank, label FROM ({_sign_query_sql('gaussian', ALL, 5, 0.1, True)})")
+def db_temporary_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with VectorDatabase.with_temporary_lsh(spark, HASHES, BANDS, DIM, 0.1, planes="gaussian") as db:
+        return materialized(_answers(db, spark, sf_dir, embeddings(spark, sf_dir), 5))
+
+
+@query("db_persistent_lsh", f"SELECT query_id, vec_id, rank, label FROM ({_sign_query_sql('gaussian', ALL, 5, 0.1, True)})")
+def db_persistent_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled through one handle, compacted, and asked through a read-only one."""
+    path = shared_path(spark, "db")
+    db = VectorDatabase.with_persistent_lsh(spark, HASHES, BANDS, DIM, 0.1, path, planes="gaussian")
+    db.insert_with_metadata(embeddings(spark, sf_dir))
+    db.compact()
+    again = VectorDatabase.with_persistent_lsh(spark, HASHES, BANDS, DIM, 0.1, path, readonly=True, planes="gaussian")
+    return again.query_with_metadata(_asked(spark, sf_dir, ALL), 5).select("query_id", "vec_id", "rank", F.col("metadata")["label"].alias("label"))
+
+
+@query("db_minhash", f"{_MINHASH} SELECT query_id, vec_id, rank::INTEGER AS rank, vec_id::VARCHAR AS id FROM t WHERE rank <= 10")
+def db_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db, sets = VectorDatabase.with_min_hash(spark, _MH, _MB, 0.1), _sets(spark, sf_dir)
+    db.insert_with_metadata(sets)
+    asked = sets.where(ALL.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    return db.query_with_metadata(asked, 10).select("query_id", "vec_id", "rank", F.col("metadata")["id"].alias("id"))
+
+
+@query("db_persistent_minhash", f"{_SETS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim, vec_id) AS rank FROM {_AGREE} WHERE sim < 1) SELECT query_id, vec_id, rank::INTEGER AS rank, vec_id::VARCHAR AS id FROM t WHERE rank <= 200")
+def db_persistent_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least similar, from a stored index."""
+    db, sets = VectorDatabase.with_persistent_min_hash(spark, _MH, _MB, 0.1, shared_path(spark, "db")), _sets(spark, sf_dir)
+    db.insert_with_metadata(sets)
+    asked = sets.where(ALL.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    return db.query_dissimilar_with_metadata(asked, 200).select("query_id", "vec_id", "rank", F.col("metadata")["id"].alias("id"))
+
+
+@query("db_graph", _GRAPH.format(""))
+def db_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(VectorDatabase.with_graph(spark, 0.1), spark, sf_dir, embeddings(spark, sf_dir), 10)
+
+
+@query("db_persistent_graph", _GRAPH.format(", label::VARCHAR AS label"))
+def db_persistent_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(VectorDatabase.with_persistent_graph(spark, 64, 0.1, shared_path(spark, "db")), spark, sf_dir, embeddings(spark, sf_dir), 10)
+
+
+@query("db_capabilities", """SELECT * FROM (VALUES
+  ('kmeans', 'insert'), ('kmeans', 'query'), ('minhash', 'insert'), ('minhash', 'insert_with_metadata'), ('minhash', 'query'), ('minhash', 'query_with_metadata'), ('minhash', 'query_dissimilar'),
+  ('lsh', 'insert'), ('lsh', 'insert_with_metadata'), ('lsh', 'query'), ('lsh', 'query_with_metadata'), ('lsh', 'query_dissimilar'),
+  ('lsh (temporary)', 'insert'), ('lsh (temporary)', 'insert_with_metadata'), ('lsh (temporary)', 'query'), ('lsh (temporary)', 'query_with_metadata'), ('lsh (temporary)', 'query_dissimilar'), ('lsh (temporary)', 'compact'),
+  ('graph', 'insert'), ('graph', 'query'), ('graph', 'iterate')) t(backend, operation)""")
+def db_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [VectorDatabase.with_kmeans(spark, 4), VectorDatabase.with_min_hash(spark, 4, 2, 0.5), VectorDatabase.with_lsh(spark, 4, 2, 4, 0.5), VectorDatabase.with_temporary_lsh(spark, 4, 2, 4, 0.5), VectorDatabase.with_graph(spark, 0.5)]
+    return spark.createDataFrame([(db.name, what) for db in made for what in sorted(db.can)], "backend string, operation string")
+
+
+_STEPS = 3
+
+
+@query("kmeans_steps", _KM.replace("SELECT vec_id, v, i, list_distance(v, c) AS d FROM e, c", "SELECT vec_id, v, i, list_distance(v, c) AS d FROM e, c").split("d AS (")[0].rstrip().rstrip(",") + "".join(
+    f""",
+d{k} AS (SELECT vec_id, v, arg_min(i, (d, i)) AS cluster FROM (SELECT vec_id, v, i, list_distance(v, c) AS d FROM e, {"c" if not k else f"c{k}"}) GROUP BY vec_id, v),
+c{k + 1} AS (SELECT cluster AS i, list(m ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(range(len(v))) AS pos, unnest(v) AS x FROM d{k}) GROUP BY cluster, pos) GROUP BY cluster)"""
+    for k in range(_STEPS)
+) + f" SELECT i::INTEGER AS cluster, unnest(range(len(c)))::INTEGER AS pos, round(unnest(c), 6) + 0.0 AS value FROM c{_STEPS}")
+def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps from two given centroids; growth, which depends on random ones, is left to ``kmeans_fit``."""
+    points, centroids = embeddings(spark, sf_dir), _centroids(spark, sf_dir)
+    for _ in range(_STEPS):
+        centroids, _ = kmeans.step(points, centroids)
+    return spark.createDataFrame([(k, i, round(float(x), 6) + 0.0) for k, c in enumerate(centroids) for i, x in enumerate(c)], "cluster int, pos int, value double")

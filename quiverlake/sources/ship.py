@@ -22,7 +22,11 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quiverlake-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quiverlake-")
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/quiverlake-{uuid.uuid4().hex}.zip")
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
     stream = fs.create(path, True)

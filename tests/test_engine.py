@@ -249,12 +249,162 @@ def test_capabilities(spark, tmp_path):
 def test_whole_query_sets(spark, sf):
     from quiverlake.plans.queries import QUERIES
 
-    for name, f in QUERIES.items():
-        if name.endswith("_all"):
-            ids = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_suppkey AS i") if "minhash" in name else spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS i")
-            want = {r["i"] for r in ids.where("i % 20 = 0").distinct().collect()}
-            got = {r["query_id"] for r in f(spark, sf).select("query_id").distinct().collect()}
-            assert got == want, name
+    searches = [n for n in QUERIES if any(w in n for w in ("query", "dissimilar", "sample_excluding", "graph_shards", "graph_walk", "jaccard")) or n in ("db_lsh", "db_minhash", "db_graph")]
+    assert len(searches) >= 17
+    for name in searches:
+        ids = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_suppkey AS i") if "minhash" in name else spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS i")
+        want = {r["i"] for r in ids.where("i % 20 = 0").distinct().collect()}
+        got = {r["query_id"] for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()}
+        assert got == want, name
+
+
+def _files(path):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def test_inserts_write_their_own_rows(spark, tmp_path):
+    """An insert adds files and leaves all others as they are; compaction leaves one part a table."""
+    index = LshIndex(spark, 16, 4, 5, 0.8, ParquetStore(spark, f"file://{tmp_path}/s"))
+    index.insert(rows(spark, [V1, V2], metadata=True))
+    before = _files(tmp_path)
+    index.insert(rows(spark, [V2, V3], metadata=True, ids=7))
+    after = _files(tmp_path)
+    assert before.items() <= after.items()
+    parts = index.store.manifest["tables"]["vectors"]["parts"]
+    assert [spark.read.parquet(f"{index.store.path}/{p}").count() for p in parts] == [2, 1]
+    assert {r["vec_id"]: r["metadata"]["name"] for r in index.vectors().collect()} == {0: "c0", 1: "c7", 8: "c8"}
+    index.compact()
+    assert all(len(t["parts"]) == 1 for t in index.store.manifest["tables"].values()) and index.vectors().count() == 3
+
+
+def test_crash_between_write_and_publish(spark, tmp_path, monkeypatch):
+    """A version that was written but not named does not exist; a reader keeps the version that it opened through the next one."""
+    path = f"file://{tmp_path}/s"
+    store = ParquetStore(spark, path)
+    index = LshIndex(spark, 16, 4, 5, 0.8, store)
+    index.insert(rows(spark, [V1, V2]))
+    with monkeypatch.context() as m:
+        m.setattr(ParquetStore, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            index.insert(rows(spark, [V3], ids=5))
+    reader = LshIndex(spark, 16, 4, 5, 0.8, ParquetStore(spark, path, "readonly"))
+    assert reader.vectors().count() == 2
+    index.insert(rows(spark, [V3], ids=5))
+    index.compact()
+    assert reader.vectors().count() == 2 and LshIndex(spark, 16, 4, 5, 0.8, ParquetStore(spark, path, "readonly")).vectors().count() == 3
+    late = ParquetStore(spark, path)
+    late.manifest = late._read(late.version - 1)
+    with pytest.raises(StoreError, match="written by another"):
+        LshIndex(spark, 16, 4, 5, 0.8, late).insert(rows(spark, [V4], ids=9))
+
+
+def test_excluding_many(spark):
+    """More vectors of one hashed signature than places, and a pool smaller than asked for."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 5))
+    index = LshIndex(spark, 16, 4, 5, 0.0, planes="gaussian")
+    index.insert(rows(spark, x))
+    sig = {r["vec_id"]: tuple(r["sig"]) for r in index.stored().collect()}
+    for n in (3, 10, 500):
+        got = index.sample_excluding(asked(spark, x[0], x[1]), n).collect()
+        for q in (0, 1):
+            own = [r["vec_id"] for r in got if r["query_id"] == q]
+            others = [i for i in sig if sig[i] != sig[q]]
+            assert len(own) == len(set(own)) == min(n, len(others)) and set(own) <= set(others)
+
+
+def test_graph_refuses_other_lengths(spark):
+    index = GraphIndex(spark, 0.5)
+    with pytest.raises(ValueError, match="Vector sizes does not match, 2 != 5"):
+        index.insert(rows(spark, [V1, [1, 2]]))
+    index.insert(rows(spark, [V1]))
+    with pytest.raises(ValueError, match="Vector sizes does not match, 5 != 2"):
+        index.insert(rows(spark, [[1, 2]]))
+    assert index.count() == 1
+    with pytest.raises(ValueError, match="links=True"):
+        GraphIndex(spark, 0.5, 1, index.store).query(asked(spark, V1), 1, walk=True) if index.insert(rows(spark, [V2, V3], ids=1)) is None else None
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8, 13])
+def test_fit_schedule(k):
+    for before in range(0, 400, 7):
+        for size in range(before, before + 60):
+            assert kmeans.fit_due(before, size, k) == any(n % max(10, 2 * (n // k)) == 0 for n in range(before + 1, size + 1)), (before, size)
+    assert kmeans.fit_due(10**12, 10**12 + 10**9, k) in (True, False)  # at once
+
+
+def _pseudo(size, offset):
+    """The fixed generator of growth fixtures."""
+    part = lambda i, a, b: ((i * a + int(offset) * b) % 1000) / 1000.0 - 0.5
+    return [offset + part(i, 17, 23) * offset * 0.5 + part(i, 37, 47) * 10 + part(i, 53, 71) * 5 for i in range(size)]
+
+
+def _grown(spark, points, fits, dim=None):
+    model = KMeans(spark, dim or len(points[0]))
+    model.add(rows(spark, points))
+    for n in fits:
+        model.fit(n)
+    return len(model.centroids)
+
+
+def test_growth_fixtures(spark):
+    """Unbalanced clusters and natural ones grow; batches grow at least once; a growing table has more centroids at its end than at its start."""
+    grid = [((i % 10) - 5.0, ((i // 10) % 5) - 2.5, 0.0) for i in range(50)]
+    assert _grown(spark, grid + [(50.0 + i - 2,) * 3 for i in range(5)], [12]) > 2
+    centres = [(0, 0, 0, 0), (100, 0, 0, 0), (0, 100, 0, 0), (0, 0, 100, 0), (0, 0, 0, 100)]
+    assert 2 < _grown(spark, [tuple(c + ((i * 7 + j * 3) % 5 - 2) * 0.5 for j, c in enumerate(p)) for p in centres for i in range(10)], [15]) < 25
+    model, changes = KMeans(spark, 2), 0
+    for batch in range(4):
+        spread = [batch * 20.0 + (i - 5.0) * 5.0 for i in range(10)]
+        model.add(rows(spark, [(x, x * 0.5) for x in spread], ids=100 * batch))
+        before = len(model.centroids)
+        model.fit(4)
+        changes += len(model.centroids) > before
+    assert changes >= 1
+    model, counts = KMeans(spark, 64), []
+    for batch in range(5):
+        model.insert(rows(spark, [_pseudo(64, ((batch * 50 + i) // 50) * 20.0) for i in range(1, 51)], ids=50 * batch))
+        counts.append(len(model.centroids))
+    assert len(counts) == 5 and counts[0] >= 2 and counts[-1] > counts[0]
+
+
+def test_convergence_ignores_a_new_centroid(spark, monkeypatch):
+    """The move of a centroid that was only just added does not keep the fit going."""
+    model = KMeans(spark, 1)
+    model.centroids = [np.array([0.0]), np.array([10.0])]
+    model.add(rows(spark, [(0.0,)] * 2 + [(10.0,)] * 2))
+    seen = []
+    monkeypatch.setattr(kmeans, "should_grow", lambda stats, k: seen.append(k) or k == 2)
+    model.fit_index = 1
+    model.centroids[0] = np.array([0.5])
+    model.fit(9)
+    assert seen == [2] and len(model.centroids) == 3
+
+
+@pytest.mark.parametrize("size", [25, 100, 500])
+def test_scaling(spark, size):
+    """Five clusters in as many dimensions as points: an insert and a query take under 5 s."""
+    import time
+
+    rng = np.random.default_rng(42)
+    x = rng.random((5, size))[np.arange(size) % 5] + rng.standard_normal((size, size))
+    db = VectorDatabase.with_kmeans(spark, size)
+    frame = rows(spark, x).persist()
+    frame.count()
+    began = time.time()
+    db.insert(frame)
+    took = time.time() - began
+    began = time.time()
+    assert len(db.query(db.one(x[0]), 5).collect()) >= 0
+    print(size, "insert", round(took, 2), "query", round(time.time() - began, 2))
+    assert took < 5 and time.time() - began < 5
+    frame.unpersist()
+
+
+def test_nan_is_never_nearest(spark):
+    centroids = np.array([[float("nan"), 0.0], [1.0, 1.0]])
+    frame = rows(spark, [(0.0, 0.0)])
+    assert kmeans.assign(frame, centroids).first()["cluster"] == 1 == frame.select(kmeans.nearest_expr(F.col("vec"), centroids)).first()[0]
 
 
 def test_stream(spark, sf, tmp_path):
@@ -288,4 +438,4 @@ print("rows", e.entry(spark).count())
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
-    assert "rows 2" in out.stdout, out.stderr[-2000:]
+    assert "rows 125" in out.stdout, out.stderr[-2000:]
