@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import materialize, remove
 
 
-def _star(links: DataFrame, hubs: DataFrame) -> DataFrame:
-    return links.join(hubs, "a")
+def _hubs(edges: DataFrame, label) -> tuple[DataFrame, str]:
+    """Each node's smallest neighbour, as a table of its own: a join of two plain tables is one whose hot keys Spark can split."""
+    return materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select("a", label.alias("m")), "hubs")
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,13 +34,14 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hub = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _star(both, hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        hub = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = _star(large, hub).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b")
-        edges, was = pairs.where("a <> b").distinct(), path
-        edges, path = materialize(edges, "links")
-        remove(spark, was)
+        hubs, hubs_path = _hubs(both, F.least("a", "m"))
+        large = both.join(hubs, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large, large_path = materialize(large, "links")
+        remove(spark, hubs_path, path)
+        hubs, hubs_path = _hubs(large, F.col("m"))
+        pairs = large.join(hubs, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b")
+        edges, path = materialize(pairs.where("a <> b").distinct(), "links")
+        remove(spark, hubs_path, large_path)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -175,6 +175,14 @@ def test_nearest(spark, sf):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_nearest_extremes(spark):
+    """Components whose squares overflow or vanish."""
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1.0, 0.0]), (3, [-1e200, 1e-200]), (50, [0.0, 5e-324])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[0, 1] == (1, pytest.approx(1)) and got[0, 4] == (3, pytest.approx(-math.sqrt(0.5))) and got[50, 1][0] in (0, 1) and len(got) == 8
+    assert all(math.isfinite(s) for _, s in got.values())
+
+
 def test_nearest_copies(spark):
     """Copies of one vector tie wherever they lie, so the smallest ids come first."""
     rng = np.random.default_rng(11)
