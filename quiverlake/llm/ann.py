@@ -45,7 +45,7 @@ class Shard:
         n, m, queries = len(self.ids), len(self.sorted), _scaled(queries)
         unit = queries / np.linalg.norm(queries, axis=1)[:, None]
         at, need, enough = unit @ self.axes, int(np.ceil(share * m)), min(n, int(budget * n) + 2 * k)
-        width = 0.35
+        width = 0.7
         lo = np.stack([np.searchsorted(self.sorted[j], at[:, j]) for j in range(m)], 1)
         hi = lo.copy()
         count = np.zeros((len(ids), n), np.int16)
@@ -61,7 +61,7 @@ class Shard:
                 passed[q] = np.flatnonzero(count[q] >= need)
             lo[open_], hi[open_] = new_lo, new_hi
             open_ = open_[[len(passed[q]) < enough for q in open_.tolist()]]
-            width *= 1.12
+            width *= 1.25
         out = []
         for q, own in enumerate(passed):
             own = own[self.ids[own] != ids[q]]
@@ -83,7 +83,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, projections: int = 128, share: float = 0.5, budget: float = 0.1, shard: int = 8192, block: int = 16384) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, projections: int = 128, share: float = 0.5, budget: float = 0.07, shard: int = 8192, block: int = 16384) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each vec_id divisible by ``every``, the ``k`` nearest found among all other vectors of its dimension.
 
     Score is the cosine of the original vectors; nearest first, ties to the smaller vec_id. With fewer than ``k`` others all are given.
