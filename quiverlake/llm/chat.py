@@ -79,7 +79,11 @@ def expand(conversations: DataFrame, template: Template | None = None, trainable
 
 
 def read_back(examples: DataFrame, template: Template | None = None) -> DataFrame:
-    """Per conversation, from the formatted examples alone: its turns, its trained texts in order, and the characters formatted."""
+    """Per conversation, from the formatted examples alone: its turns, its trained texts in order, and the characters formatted.
+
+    ``examples`` are those of ``expand``, each once. A null conv_id is a conversation of its own; without a trainable turn the trained text is empty. Other
+    columns are not read; an empty table gives an empty table.
+    """
     template = template or Template()
     loss = F.substr("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
     rows = examples.select("conv_id", "example", F.when(F.col("is_last"), F.col("text")).alias("whole"), F.char_length("text").cast("long").alias("chars"), loss.alias("loss"))

@@ -274,7 +274,10 @@ def repeated_passages(docs: DataFrame, width: int = 28, spread: int = 20, min_wo
 
 
 def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the passages taken out of ``text``."""
+    """``docs`` with the passages taken out of ``text``: all its rows and columns, in any order.
+
+    Null texts stay null, rows with a null doc_id or without a passage stay as they are, and rows with one doc_id lose the same spans (as far as their texts reach).
+    """
     spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
 
     @F.pandas_udf("string")

@@ -96,7 +96,7 @@ def brute_components(prints):
 
 
 def test_simhash(spark, sf):
-    rows = documents(spark, sf) + [(1000 + i, t) for i, t in {5: None, 6: "", 7: "one", 8: "one two", 9: "ONE\ttwo"}.items()]
+    rows = documents(spark, sf) + [(1000 + i, t) for i, t in {5: None, 6: "", 7: "one", 8: "one two", 9: "ONE\ttwo", 10: " ".join(f"w{k % 977}x{k % 31}" for k in range(150_000))}.items()]
     got = {r[0]: (r[1], r[2]) for r in simhash.simhash_components(table(spark, rows)).collect()}
     prints = {i: brute_print(t) for i, t in rows}
     groups = brute_components(prints)

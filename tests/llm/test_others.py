@@ -45,6 +45,16 @@ def test_chat(spark, sf, tmp_path):
         chat.Template(end="a\\")
 
 
+def test_long_conversation(spark):
+    """Hundreds of turns, one of them very long, with ties and repeated rows."""
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} [INST] \\") for i in range(300)] + [(1, 300, "assistant", "x</s>" * 40_000), (1, 300, "assistant", "tie"), (1, 300, "assistant", "tie"), (2, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r["conv_id"]: r for r in chat.read_back(chat.expand(frame)).collect()}
+    turns = sorted((t, r, x) for c, t, r, x in rows if c == 1)
+    assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [(r, x) for _, r, x in turns]
+    assert out[1]["loss"] == "".join(x for _, r, x in turns if r == "assistant") and out[2]["loss"] == "" and len(out[2]["turns"]) == 1
+
+
 def brute_secrets(text):
     spans = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[2]) >= 6]
     spans += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
