@@ -153,12 +153,12 @@ def _keys(bands: int) -> list[str]:
 
 
 def _forest(contents: list[bytes], sets: list[np.ndarray], similarity: float) -> list[tuple[bytes, bytes]]:
-    """Links of a spanning forest of those of this similarity: each set is compared with those not yet reached."""
+    """Links from the least content to all others of each component under this similarity: each set is compared with those not yet reached."""
     sizes = np.array([len(s) for s in sets])
     left, out = np.arange(len(sets)), []
     held, flat, bound = left[:0], None, None
     while len(left):
-        front, left = [left[0]], left[1:]
+        front, left, reached = [left[0]], left[1:], [left[0]]
         while front and len(left):
             at = front.pop()
             if flat is None or 2 * len(left) < len(held):
@@ -167,9 +167,11 @@ def _forest(contents: list[bytes], sets: list[np.ndarray], similarity: float) ->
             place = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
             shared = np.add.reduceat((sets[at][place] == flat).astype(np.int64), bound)[np.searchsorted(held, left)]
             hit = shared >= similarity * (sizes[left] + sizes[at] - shared) - 1e-9
-            out += [(contents[at], contents[i]) for i in left[hit]]
+            reached += left[hit].tolist()
             front.extend(left[hit].tolist())
             left = left[~hit]
+        least = min(contents[i] for i in reached)
+        out += [(least, contents[i]) for i in reached if contents[i] != least]
     return out
 
 
@@ -234,7 +236,8 @@ def similar_contents(texts: DataFrame, units: DataFrame, bands: int, similarity:
         across = pairs.join(crowded, "id", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> a")
         more = _compared(across.select("id", F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b"), "content", "text"), similarity)
         more, more_path = materialize(more, "links")
-        groups, groups_path = materialize(connected_components(links.unionByName(more)).select(F.col("node").alias("content"), "component"), "groups")
+        known = groups.select(F.col("content").alias("a"), F.col("component").alias("b"))  # stands for the links it was made of
+        groups, groups_path = materialize(connected_components(known.unionByName(more)).select(F.col("node").alias("content"), "component"), "groups")
         paths += [more_path, groups_path]
     remove(texts.sparkSession, *paths[:-1], crowded_path)
     return groups, paths[-1:]
