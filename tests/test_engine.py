@@ -2,6 +2,8 @@
 
 import math
 import os
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pytest
@@ -16,6 +18,9 @@ from quiverlake.operators.kmeans import KMeans
 from quiverlake.sources.store import ParquetStore, StoreError, sample_keys
 from quiverlake.streaming.ingest import ingest
 
+SIGN_SEARCHES = [
+    ("db_lsh", 125),
+]
 V1, V2 = [1.0, 2, 3, 4, 5], [1.1, 2.1, 3, 4, 5]
 V3, V4 = [10.0 * x for x in V1], [-x for x in V1]
 
@@ -439,3 +444,43 @@ print("rows", e.entry(spark).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "rows 125" in out.stdout, out.stderr[-2000:]
+
+
+def test_signs_by_blocks_match_brute_force(spark, monkeypatch):
+    """Several blocks and pieces, long bands, equal and scaled vectors, zero and infinite ones: the candidates, order and similarity of a plain search."""
+    monkeypatch.setattr("quiverlake.plans.search.BLOCK", 7)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((700, 6)).round(1)
+    x[1], x[2], x[3], x[4], x[690] = x[0], 2 * x[0], 0, np.inf, 4 * x[0]
+    for hashes, bands in ((16, 4), (140, 2)):
+        index = LshIndex(spark, hashes, bands, 6, 0.3, planes="gaussian")
+        index.insert(rows(spark, x))
+        kept = {r["vec_id"]: (np.array(r["vec"]), np.array(r["sig"]).reshape(bands, -1), r["size"]) for r in index.stored().collect()}
+        for least in (False, True):
+            search = index.query_dissimilar if least else index.query
+            got = {}
+            for r in search(asked(spark, *x[:20]), 9).orderBy("query_id", "rank").collect():
+                got.setdefault(r["query_id"], []).append((r["vec_id"], r["similarity"]))
+            for q in (0, 2, 3, 5, 11, 19):
+                sig = next(s for v, s, _ in kept.values() if (v == x[q]).all())
+                size = math.sqrt(reduce(add, (float(a) * float(a) for a in x[q]), 0.0))
+                want = []
+                for i, (v, s, own) in kept.items():
+                    c = reduce(add, (float(a) * float(b) for a, b in zip(v, x[q])), 0.0) / (own * size) if own * size else 0.0
+                    if (s != sig).any() if least else (s == sig).all(1).any() and c >= 0.3 and not (v == x[q]).all():
+                        want.append((i, c))
+                want.sort(key=lambda p: (math.isnan(p[1]), p[1] if least else -p[1], p[0]))
+                assert got.get(q, []) == want[:9], (hashes, least, q)
+
+
+@pytest.mark.parametrize("name, count", SIGN_SEARCHES)
+def test_sign_searches_write_no_pairs(spark, monkeypatch, name, count):
+    """Few signs a band make nearly all pairs candidates: none of these searches may form them as rows."""
+    from quiverlake.operators.banded import BandedIndex
+    from quiverlake.plans.queries import QUERIES
+
+    def pairs(*_):
+        raise AssertionError("candidate pairs as rows")
+
+    monkeypatch.setattr(BandedIndex, "candidates", pairs)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == count
