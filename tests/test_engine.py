@@ -21,6 +21,7 @@ from quiverlake.streaming.ingest import ingest
 SIGN_SEARCHES = [
     ("db_lsh", 125),
     ("db_persistent_lsh", 125),
+    ("db_temporary_lsh", 125),
 ]
 V1, V2 = [1.0, 2, 3, 4, 5], [1.1, 2.1, 3, 4, 5]
 V3, V4 = [10.0 * x for x in V1], [-x for x in V1]
