@@ -26,6 +26,7 @@ SIGN_SEARCHES = [
     ("lsh_query_batch", 125),
     ("lsh_query_metadata", 500),
     ("lsh_query_persistent", 125),
+    ("lsh_query_reopened", 125),
 ]
 V1, V2 = [1.0, 2, 3, 4, 5], [1.1, 2.1, 3, 4, 5]
 V3, V4 = [10.0 * x for x in V1], [-x for x in V1]
