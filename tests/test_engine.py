@@ -491,3 +491,20 @@ def test_sign_searches_write_no_pairs(spark, monkeypatch, name, count):
 
     monkeypatch.setattr(BandedIndex, "candidates", pairs)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == count
+
+
+@pytest.mark.parametrize("persistent", [False])
+def test_least_similar_of_all(spark, tmp_path, persistent):
+    """More sets than any sample of ten times n: the least similar of all, ties by id."""
+    rng = np.random.default_rng(8)
+    sets = [sorted(rng.choice(40, 25, replace=False).tolist()) for _ in range(150)]
+    index = MinHashIndex(spark, 16, 8, 0.1, ParquetStore(spark, f"file://{tmp_path}/s") if persistent else None)
+    index.insert(rows(spark, sets, metadata=True))
+    sig = {r["vec_id"]: r["sig"] for r in index.stored().collect()}
+    got = {}
+    for r in index.query_dissimilar(asked(spark, *sets[:5]), 4).orderBy("query_id", "rank").collect():
+        assert r["metadata"] == {"name": f"c{r['vec_id']}"}
+        got.setdefault(r["query_id"], []).append((r["similarity"], r["vec_id"]))
+    for q in range(5):
+        share = [(sum(a == b for a, b in zip(s, sig[q])) / 16, i) for i, s in sig.items() if s != sig[q]]
+        assert got[q] == sorted(share)[:4]
