@@ -493,7 +493,7 @@ def test_sign_searches_write_no_pairs(spark, monkeypatch, name, count):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == count
 
 
-@pytest.mark.parametrize("persistent", [False])
+@pytest.mark.parametrize("persistent", [False, True])
 def test_least_similar_of_all(spark, tmp_path, persistent):
     """More sets than any sample of ten times n: the least similar of all, ties by id."""
     rng = np.random.default_rng(8)
