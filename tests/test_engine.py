@@ -508,3 +508,14 @@ def test_least_similar_of_all(spark, tmp_path, persistent):
     for q in range(5):
         share = [(sum(a == b for a, b in zip(s, sig[q])) / 16, i) for i, s in sig.items() if s != sig[q]]
         assert got[q] == sorted(share)[:4]
+
+
+def test_stream_from_a_folder(spark, sf, tmp_path):
+    """A table of several files in a folder, as Spark writes it."""
+    from quiverlake.plans.queries import QUERIES
+
+    spark.read.parquet(f"{sf}/embeddings.parquet").repartition(3).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    want = {(r["vec_id"], str(r["label"])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    for at in (f"file://{tmp_path}", sf):
+        got = [tuple(r) for r in QUERIES["stream_ingest"](spark, at).collect()]
+        assert len(got) == len(want) and set(got) == want
