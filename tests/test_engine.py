@@ -519,3 +519,26 @@ def test_stream_from_a_folder(spark, sf, tmp_path):
     for at in (f"file://{tmp_path}", sf):
         got = [tuple(r) for r in QUERIES["stream_ingest"](spark, at).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_excluding_deals_no_places(spark, sf):
+    """All pairs need no numbered pool: nothing is gathered in one partition or exploded for a query."""
+    from quiverlake.plans.queries import QUERIES
+
+    plan = QUERIES["sample_excluding"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("InMemoryRelation")] if "InMemoryRelation" in plan else plan
+    assert "Generate" not in top and "Window" not in top
+
+
+def test_excluding_cuts_where_a_search_would(spark):
+    """The pool's cut for a query: its first n vectors of another signature in hash order, also where its own signature is common."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((1, 5)) * np.arange(1, 41)[:, None], rng.standard_normal((60, 5))])
+    index = LshIndex(spark, 16, 4, 5, 0.0, planes="gaussian")
+    index.insert(rows(spark, x))
+    held = index.stored().select("vec_id", "sig", F.xxhash64(F.lit(0), "vec_id").alias("order")).orderBy("order", "vec_id").collect()
+    sig = {r["vec_id"]: r["sig"] for r in held}
+    for n in (1, 7, 45, 99):
+        got = index.sample_excluding(asked(spark, x[0], x[50]), n).collect()
+        for q, i in ((0, 0), (1, 50)):
+            assert {r["vec_id"] for r in got if r["query_id"] == q} == set([r["vec_id"] for r in held if r["sig"] != sig[i]][:n])
