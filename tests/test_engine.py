@@ -493,6 +493,28 @@ def test_sign_searches_write_no_pairs(spark, monkeypatch, name, count):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == count
 
 
+@pytest.mark.parametrize("name, n", [("db_temporary_lsh", 5)])
+def test_sign_searches_write_no_more_with_more_partitions(spark, monkeypatch, name, n):
+    """Each task writes its n best of each query: 40 partitions must not write five times as much as 8."""
+    from quiverlake.plans import search
+    from quiverlake.plans.queries import QUERIES
+
+    few = [tuple(r) for r in QUERIES[name](spark, "/root/testdata/sf0.1").collect()]
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    old, written, top_k = {k: spark.conf.get(k) for k in many}, [], search.top_k
+    monkeypatch.setattr(search, "top_k", lambda rows, *a: (written.append(rows.count()), top_k(rows, *a))[1])
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        spark.catalog.clearCache()  # else the first call's partitions are used again
+        got = [tuple(r) for r in QUERIES[name](spark, "/root/testdata/sf0.1").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == sorted(few)
+    assert len(written) == 1 and len(got) <= written[0] <= 8 * 100 * n
+
+
 @pytest.mark.parametrize("persistent", [False, True])
 def test_least_similar_of_all(spark, tmp_path, persistent):
     """More sets than any sample of ten times n: the least similar of all, ties by id."""
