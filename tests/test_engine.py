@@ -493,7 +493,7 @@ def test_sign_searches_write_no_pairs(spark, monkeypatch, name, count):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == count
 
 
-@pytest.mark.parametrize("name, n", [("db_temporary_lsh", 5), ("lsh_query", 20)])
+@pytest.mark.parametrize("name, n", [("db_temporary_lsh", 5), ("lsh_query", 20), ("lsh_query_batch", 5)])
 def test_sign_searches_write_no_more_with_more_partitions(spark, monkeypatch, name, n):
     """Each task writes its n best of each query: 40 partitions must not write five times as much as 8."""
     from quiverlake.plans import search
