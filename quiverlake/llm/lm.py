@@ -6,8 +6,8 @@ the words read. Weights are interpolated absolute discounting: an arc of a conte
 ``f(h) = D n(h) / c(h)``, a root arc add-one unigrams; each order's ``D`` comes from its numbers of n-grams seen once and twice. One left-to-right traversal carries
 the state, follows arcs and failure arcs, and adds up their weights.
 
-The automaton grows with the corpus and is nowhere whole. Documents are packed into blocks of about ``block`` bytes, compressed, and written
-in buckets; the texts do not move after that. Order by order, a block sends its distinct contexts and arcs with their training counts to the parts of the hashed contexts; a part adds
+The automaton grows with the corpus and is nowhere whole. Documents are split into words once, packed into blocks of about ``block`` bytes of text as numbers
+of words beside the hashes of the block's distinct words, compressed, and written in buckets; they do not move after that. Order by order, a block sends its distinct contexts and arcs with their training counts to the parts of the hashed contexts; a part adds
 them up over all blocks and answers with the totals, in the block's own order. From the third order on, a context that no other
 block holds, as the order below has told, is not sent. With the totals a block compiles the states and arcs that its texts can reach, and is traversed: long
 texts in pieces side by side, each led in by the ``order - 1`` words before it. Contexts are 64-bit hashes, arcs 40 bits inside their context. No message is
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ _ANSWER = "part int, block long, phase int, n long, v long, once long, twice lon
 def _pack(*arrays: np.ndarray) -> bytes:
     """Sizes, then the arrays with the bytes of a place together, compressed."""
     head = np.array([len(a) for a in arrays], "<u8").tobytes()
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-    raw = head + body
+    plain = [np.ascontiguousarray(a).view(f"<u{a.itemsize}") for a in arrays]
+    raw = head + b"".join((a >> a.dtype.type(8 * i)).astype(np.uint8).tobytes() for a in plain for i in range(a.itemsize))
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_ZSTD, asbytes=True)
 
 
@@ -47,21 +48,48 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=_ZSTD, asbytes=True)
     sizes, at, out = np.frombuffer(raw, "<u8", len(kinds)), 8 * len(kinds), []
     for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        width = np.dtype(kind).itemsize
-        out.append(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).reshape(n))
-        at += n * width
+        held = np.empty((n, np.dtype(kind).itemsize), np.uint8)
+        for i in range(held.shape[1]):
+            held[:, i] = np.frombuffer(raw, np.uint8, n, at)
+            at += n
+        out.append(held.reshape(-1).view(kind))
     return out
 
 
+def _ranks(count: np.ndarray) -> np.ndarray:
+    """Each word's number: the most frequent first, equals in order."""
+    bits = len(count).bit_length()
+    rank = np.empty(len(count), np.int64)
+    rank[np.sort((count.max(initial=0) - count) << bits | np.arange(len(count))) & ((1 << bits) - 1)] = np.arange(len(count))
+    return rank
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of tokens, the hashes of the distinct ones and of the beginning in order, how often each occurs, and the tokens by ``_ranks``."""
+    buf, offsets = tv.joined([t.lower() for t in texts])
+    s, e = tv.words(buf, tv.SPACES)
+    doc = np.searchsorted(offsets, s, "right") - 1
+    sizes = np.bincount(doc, minlength=len(texts)) + 1
+    ends = np.cumsum(sizes)
+    tokens = np.empty(int(ends[-1]) + 1, np.uint64)
+    tokens[np.arange(len(s)) + doc] = tv.hashes(buf, s, e)
+    tokens[ends - 1] = _END
+    tokens[-1] = _BEGIN
+    keys, word = np.unique(tokens, return_inverse=True)
+    count = np.bincount(word)
+    return sizes, keys, count, _ranks(count)[word[:-1]]
+
+
 def _packed(block: int):
-    """Rows (doc_id, text, held_out) as blocks: ids, null ids, held-out flags, text sizes and texts."""
+    """Rows (doc_id, text, held_out) as blocks: ids, null ids, held-out flags, numbers of tokens, hashes and counts of distinct tokens, and tokens."""
 
     def one(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         texts = t.column("text").cast(pa.binary()).to_pylist()
         ids = t.column("doc_id").combine_chunks()
-        arrays = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), t.column("held_out").to_numpy(), np.array([len(x) for x in texts], "<u4"), np.frombuffer(b"".join(texts), np.uint8)
-        return pa.record_batch([pa.array([number], pa.int64()), pa.array([arrays[-1].size + 8 * len(texts)], pa.int64()), pa.array([_pack(*arrays)], pa.binary())], ["block", "size", "texts"])
+        sizes, keys, count, word = _words(texts)
+        arrays = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), t.column("held_out").to_numpy(), sizes.astype("<u4"), np.diff(keys, prepend=np.uint64(0)), count.astype("<u4"), word.astype("<u4")
+        return pa.record_batch([pa.array([number], pa.int64()), pa.array([sum(map(len, texts)) + 8 * len(texts)], pa.int64()), pa.array([_pack(*arrays)], pa.binary())], ["block", "size", "texts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -79,13 +107,38 @@ def _packed(block: int):
     return run
 
 
+def _distinct(code: np.ndarray, limit: int, where: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of codes below ``limit`` in order; each of ``size`` positions' place among them (-1: none), if code ``i`` is at ``where[i]``; where each is first.
+
+    A code and its position are sorted as one number if they fit.
+    """
+    place, bits = np.full(size, -1, np.int32), size.bit_length()
+    if limit.bit_length() + bits > 63:
+        distinct, first, place[where] = np.unique(code, return_index=True, return_inverse=True)
+        return distinct, place, where[first]
+    both = np.sort(code << bits | where)
+    position = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.ones(len(code), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    place[position] = np.cumsum(new, dtype=np.int32) - 1
+    return both[new], place, position[new]
+
+
+def _running(x: np.ndarray) -> np.ndarray:
+    """Zero, then the running sums."""
+    out = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
 class Level:
-    """The distinct n-grams of a block: context (a gram of the level below) and word, hash, where each position has its gram (-1: none), the gram without its first word, training counts."""
+    """The distinct n-grams of a block: context (a gram of the level below) and word, where each position has its gram (-1: none), where each gram is first, training counts."""
 
     def __init__(self, block: Block, below: Level | None):
-        size = len(block.keys)
+        size, self.below, self.keys = len(block.keys), below, block.keys
         if below is None:
-            self.at, self.ctx, self.word, self.hash, self.shorter = block.word, None, None, block.keys, None
+            self.at, self.ctx, self.word = block.word, None, None
             self.seen = np.bincount(block.word, block.train, size).astype(np.int64)
             self.seen[block.begin] = block.n_train
         else:
@@ -96,68 +149,74 @@ class Level:
             else:
                 ctx[1:] = below.at[:-1]
                 ctx[block.starts] = -1
-            where = np.flatnonzero(ctx >= 0)
-            code, at = np.unique(ctx[where] * size + block.word[where], return_inverse=True)
-            first = np.empty(len(code), np.int64)
-            first[at] = where
-            self.at = np.full(len(block.word), -1, np.int32)
-            self.at[where] = at
-            self.ctx, self.word = (code // size).astype(np.int32), (code % size).astype(np.int32)
-            self.hash = tv.mix(below.hash[self.ctx] * np.uint64(0xD1342543DE82EF95) ^ block.keys[self.word])
-            self.shorter = below.at[first]
-            self.seen = np.bincount(at, block.train[where], len(code)).astype(np.int64)
-            self.ctx_seen = np.bincount(self.ctx, self.seen, len(below.hash)).astype(np.int64)
+            where, wide = np.flatnonzero(ctx >= 0), size.bit_length()
+            code, self.at, first = _distinct(ctx[where] << wide | block.word[where], len(below) << wide, where, len(ctx))
+            self.ctx, self.word = (code >> wide).astype(np.int32), (code & ((1 << wide) - 1)).astype(np.int32)
+            self.first = first.astype(np.int32)
+            self.seen = np.bincount(self.at[block.train] + 1, minlength=len(code) + 1)[1:]
+            self.arcs = np.bincount(self.ctx, minlength=len(below))
+            self.upto = _running(self.arcs)
+            self.ctx_seen = self.sums(self.seen)
         self.total = None
 
+    def __len__(self) -> int:
+        return len(self.seen)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """For each context the sum over its arcs."""
+        return np.diff(_running(x)[self.upto])
+
+    @cached_property
+    def shorter(self) -> np.ndarray:
+        """Each gram without its first word, in the level below."""
+        return self.below.at[self.first]
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        return self.keys[at] if self.below is None else tv.mix(self.below.hashes(self.ctx[at]) * np.uint64(0xD1342543DE82EF95) ^ self.keys[self.word[at]])
+
 
 class Block:
     """A block's tokens and its n-grams up to an order; ``fill`` takes the totals of one order after the other."""
 
     def __init__(self, blob: bytes, order: int):
-        ids, null, held, sizes, text = _unpack(blob, "<i8", "?", "?", "<u4", "u1")
-        ends = np.cumsum(sizes.astype(np.int64))
-        raw = text.tobytes()
-        texts = [raw[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        self.ids, self.held = pa.array(ids, pa.int64(), mask=null), held
-        buf, offsets = tv.joined([t.lower() for t in texts])
-        s, e = tv.words(buf, tv.SPACES)
-        doc = np.searchsorted(offsets, s, "right") - 1
-        self.sizes = np.bincount(doc, minlength=len(texts)) + 1
-        ends = np.cumsum(self.sizes)
-        tokens = np.empty(int(ends[-1]), np.uint64)
-        tokens[np.arange(len(s)) + doc] = tv.hashes(buf, s, e)
-        tokens[ends - 1] = _END
-        self.starts = ends - self.sizes
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        ids, null, held, sizes, keys, count, word = _unpack(blob, "<i8", "?", "?", "<u4", "<u8", "<u4", "<u4")
+        self.ids, self.held, self.sizes = pa.array(ids, pa.int64(), mask=null), held, sizes.astype(np.int64)
+        keys, self.by_hash, self.word = np.cumsum(keys, dtype=np.uint64), _ranks(count.astype(np.int64)), word.astype(np.int64)
+        self.end, self.begin = self.by_hash[np.searchsorted(keys, [_END, _BEGIN])].tolist()
+        self.keys = np.empty_like(keys)
+        self.keys[self.by_hash] = keys
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
         self.train, self.n_train = ~held[self.doc], int((~held).sum())
-        self.keys, at = np.unique(np.concatenate((tokens, [_BEGIN])), return_inverse=True)
-        self.begin, self.word = int(at[-1]), at[:-1]
         self.levels = [Level(self, None)]
         for _ in range(order - 1):
             self.levels.append(Level(self, self.levels[-1]))
 
-    def _sent(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For order ``n``: the contexts that other blocks hold too (all words at order 2), by hash, their numbers of arcs, and the arcs."""
+    def _sent(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For order ``n``: the contexts that other blocks hold too (all words at order 2), in the order of the upper 32 bits of their hashes at least; the hashes, their numbers of arcs, and the arcs."""
         level, below = self.levels[n - 1], self.levels[n - 2]
-        fan = np.bincount(level.ctx, minlength=len(below.hash))
-        own = np.arange(len(below.hash)) if n == 2 else np.flatnonzero((fan > 0) & ~below.alone)
-        own = own[np.argsort(below.hash[own])]
-        first = np.cumsum(fan) - fan
-        size = fan[own]
-        arcs = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return own, size, arcs
+        if n == 2:
+            own, h = self.by_hash, self.keys[self.by_hash]
+        else:
+            own = np.flatnonzero((level.arcs > 0) & ~below.alone)
+            h, bits = below.hashes(own), np.uint64(len(own).bit_length())
+            at = np.sort(h >> bits << bits | np.arange(len(own), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))
+            own, h = own[at], h[at]
+        size = level.arcs[own]
+        arcs = np.repeat(level.upto[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return own, h, size, arcs
 
     def requests(self, n: int, parts: int) -> list[tuple[int, bytes, tuple[int, int, int, int]]]:
         """``(part, message, counts)``; the first message carries what the block counts on its own: training tokens, and arcs not sent that were seen once and twice."""
         level, below = self.levels[n - 1], self.levels[n - 2]
-        own, size, arcs = self._sent(n)
-        kept = np.ones(len(level.hash), bool)
+        own, h, size, arcs = self._sent(n)
+        kept = np.ones(len(level), bool)
         kept[arcs] = False
         counts, out = (int(self.train.sum()) if n == 2 else 0, 0, int((level.seen[kept] == 1).sum()), int((level.seen[kept] == 2).sum())), []
-        ctx_seen = below.seen if n == 2 else level.ctx_seen
-        for p, a, b, c, d in self._parts(below.hash[own], size, parts):
-            h, x = below.hash[own[a:b]], level.hash[arcs[c:d]]
-            out.append((p, _pack(np.diff(h, prepend=np.uint64(0)), ctx_seen[own[a:b]].astype("<u4"), size[a:b].astype("<u4"), x.astype("<u4"), (x >> np.uint64(32)).astype("u1"), level.seen[arcs[c:d]].astype("<u4")), counts))
+        ctx_seen, x, seen = (below.seen if n == 2 else level.ctx_seen)[own].astype("<u4"), level.hashes(arcs), level.seen[arcs].astype("<u4")
+        low, high = x.astype("<u4"), (x >> np.uint64(32)).astype("u1")
+        for p, a, b, c, d in self._parts(h, size, parts):
+            out.append((p, _pack(np.diff(h[a:b], prepend=np.uint64(0)), ctx_seen[a:b], size[a:b].astype("<u4"), low[c:d], high[c:d], seen[c:d]), counts))
             counts = (0, 0, 0, 0)
         return out or [(0, _pack(*(np.zeros(0, k) for k in ("<u8", "<u4", "<u4", "<u4", "u1", "<u4"))), counts)]
 
@@ -166,20 +225,20 @@ class Block:
         """Parts that are not empty, with the bounds of their contexts and arcs."""
         part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, int)
-        upto = np.concatenate(([0], np.cumsum(size)))
+        upto = _running(size)
         return [(int(part[a]), int(a), int(b), int(upto[a]), int(upto[b])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def fill(self, n: int, answers: dict[int, bytes], parts: int) -> None:
         """Totals of order ``n``: contexts (count, arcs seen) and arcs (count, whether no other block holds it); those not sent are the block's own."""
         level, below = self.levels[n - 1], self.levels[n - 2]
-        own, size, arcs = self._sent(n)
-        level.ctx_total, level.total, level.alone = level.ctx_seen.copy(), level.seen.copy(), np.ones(len(level.hash), bool)
-        level.fan = np.bincount(level.ctx, level.seen > 0, len(below.hash)).astype(np.int64)
-        for p, a, b, c, d in self._parts(below.hash[own], size, parts):
+        own, h, size, arcs = self._sent(n)
+        level.ctx_total, level.total, level.alone = level.ctx_seen.copy(), level.seen.copy(), np.ones(len(level), bool)
+        level.fan = level.sums(level.seen > 0)
+        for p, a, b, c, d in self._parts(h, size, parts):
             level.ctx_total[own[a:b]], level.fan[own[a:b]], level.total[arcs[c:d]], level.alone[arcs[c:d]] = _unpack(answers[p], "<u4", "<u4", "<u4", "?")
         if n == 2:
             below.total = level.ctx_total.copy()
-            level.ctx_total[np.searchsorted(self.keys, _END)] = 0  # the end is no context
+            level.ctx_total[self.end] = 0  # the end is no context
 
 
 def _totals(parts_of: list[bytes]) -> tuple[list[bytes], tuple[int, int, int]]:
@@ -207,31 +266,32 @@ class Automaton:
     def __init__(self, block: Block, n: int, v: int, discounts: list[float]):
         self.block, levels, size = block, block.levels, len(block.keys)
         self.root = (levels[0].total + 1) / (n + v + 1)
-        offsets = np.cumsum([0, *(len(x.hash) for x in levels[:-1])])
+        offsets = np.cumsum([0, *(len(x) for x in levels[:-1])])
         self.n_states = int(offsets[-1])
         self.failure, self.failure_weight = np.full(self.n_states, self.n_states, np.int64), np.zeros(self.n_states)
-        p, target, keys, weights, targets = self.root, None, [], [], []
+        p, target, keys, weights, targets, arcs = self.root, None, [], [], [], []
         for k, level in enumerate(levels):
             if k:
                 total, fan = level.ctx_total, level.fan
-                f = discounts[k - 1] * fan / np.maximum(total, 1)
-                own = total > 0
-                states = offsets[k - 1] + np.flatnonzero(own)
-                self.failure_weight[states] = np.log10(f[own])
-                p = np.where(own[level.ctx], np.maximum(level.total - discounts[k - 1], 0) / np.maximum(total, 1)[level.ctx] + f[level.ctx] * p[level.shorter], p[level.shorter])
-            follow = levels[k + 1].ctx_total > 0 if k + 1 < len(levels) else np.zeros(len(level.hash), bool)
-            shorter = np.full(len(level.hash), self.n_states) if k == 0 else target[level.shorter]
-            target = np.where(follow, (offsets[k] if k + 1 < len(levels) else 0) + np.arange(len(level.hash)), shorter)
+                f = np.where(total > 0, discounts[k - 1] * fan / np.maximum(total, 1), 1.0)  # a context that training lacks leaves the weight as it is
+                self.failure_weight[offsets[k - 1] : offsets[k - 1] + len(f)] = np.log10(f)
+                p = np.maximum(level.total - discounts[k - 1], 0) / np.maximum(total, 1)[level.ctx] + f[level.ctx] * p[level.shorter]
+            follow = levels[k + 1].ctx_total > 0 if k + 1 < len(levels) else np.zeros(len(level), bool)
+            shorter = np.full(len(level), self.n_states) if k == 0 else target[level.shorter]
+            target = np.where(follow, (offsets[k] if k + 1 < len(levels) else 0) + np.arange(len(level)), shorter)
             if k + 1 < len(levels):
-                self.failure[offsets[k] : offsets[k] + len(level.hash)] = shorter
+                self.failure[offsets[k] : offsets[k] + len(level)] = shorter
             if k:
                 there = level.total > 0
                 keys.append((offsets[k - 1] + level.ctx[there]) * size + level.word[there])
                 weights.append(np.log10(p[there]))
                 targets.append(target[there])
+                arcs.append(level.sums(there))
             else:
                 self.first = target
         self.keys, self.weights, self.targets = (np.concatenate(x) for x in (keys, weights, targets))
+        self.arcs = np.concatenate(arcs)
+        self.arc = np.minimum(np.cumsum(self.arcs) - self.arcs, max(0, len(self.keys) - 1))  # a state's first; most states have one
         self.lead = len(levels) - 1
 
     def traverse(self) -> np.ndarray:
@@ -257,8 +317,11 @@ class Automaton:
                 now[todo[top]] = self.first[w[top]]
                 todo, here, w = todo[~top], here[~top], w[~top]
                 key = here * size + w
-                place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+                place = self.arc[here]
                 hit = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
+                rest = np.flatnonzero(~hit & (self.arcs[here] > 1))
+                place[rest] = np.minimum(np.searchsorted(self.keys, key[rest]), max(0, len(self.keys) - 1))
+                hit[rest] = self.keys[place[rest]] == key[rest]
                 said[todo[hit]] += self.weights[place[hit]]
                 now[todo[hit]] = self.targets[place[hit]]
                 todo, here = todo[~hit], here[~hit]

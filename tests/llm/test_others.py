@@ -12,6 +12,7 @@ from hashlib import sha256
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quiverlake.llm import ann, chat, lm, queries, secrets
@@ -158,6 +159,45 @@ def test_language_model(spark, sf, order, block):
     assert lm.score_documents(frame.limit(0), order=order).count() == 0
 
 
+def test_language_model_reads_texts_once(monkeypatch):
+    """A block holds its tokens, so that no later stage splits and hashes its texts again; and an arc is searched for only where a state has several."""
+    texts = ["A b a\x0bc", "", "b  a B", "a b a b new"]
+    batch = pa.record_batch([pa.array([1, None, 3, 4], pa.int64()), pa.array(texts), pa.array([False, False, False, True])], ["doc_id", "text", "held_out"])
+    monkeypatch.setattr(lm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Own", (), {"partitionId": lambda self: 0})())}))
+    (blob,) = (x for b in lm._packed(1 << 20)(iter([batch])) for x in b.column("texts").to_pylist())
+
+    def again(*_):
+        raise AssertionError("a text is read again")
+
+    monkeypatch.setattr(lm.tv, "words", again)
+    monkeypatch.setattr(lm.tv, "hashes", again)
+    order = 3
+    block = lm.Block(blob, order)
+    assert block.sizes.tolist() == [5, 1, 4, 6] and block.ids.to_pylist() == [1, None, 3, 4]
+    words = [w for t in texts for w in [*t.lower().split(), None]]
+    assert len({*zip(words, block.keys[block.word].tolist(), strict=True)}) == len({*words}) == len(block.keys) - 1
+    for n in range(2, order + 1):
+        asked = block.requests(n, 1)
+        block.fill(n, {p: lm._totals([m])[0][0] for p, m, _ in asked}, 1)
+    looked = []
+    find = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x: (looked.append(len(v)) if a is automaton.keys else None, find(a, v, *x))[1])
+    automaton = lm.Automaton(block, 10, 4, [0.5] * (order - 1))
+    assert np.isfinite(automaton.traverse()).all()
+    assert sum(looked) < len(words) / 2
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 1 << 62])
+def test_distinct(limit):
+    """Codes sorted together with their positions, and codes too wide for that."""
+    code = np.random.default_rng(3).integers(0, 50, 400) * (limit // 50)
+    where = np.delete(np.arange(410), np.arange(0, 410, 41))
+    distinct, place, first = lm._distinct(code, limit, where, 410)
+    assert (distinct == np.unique(code)).all() and (distinct[place[where]] == code).all() and (place[::41] == -1).all()
+    assert (first == where[np.unique(code, return_index=True)[1]]).all()
+    assert [x.tolist() for x in lm._distinct(code[:0], limit, where[:0], 2)] == [[], [-1, -1], []]
+
+
 def test_nearest(spark, sf):
     sf = sf.replace("0.001", "0.1")
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
